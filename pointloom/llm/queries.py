@@ -6,6 +6,7 @@ from .best_fit_packing import op9_best_fit_packing
 from .chat_formatting import OP6_SQL, op6_chat_formatting
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import op10_quality_rules
+from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op6_chat_formatting, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_chat_formatting, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules)}
 ORACLE_SQL = {"op6_chat_formatting": OP6_SQL}
