@@ -270,7 +270,7 @@ def similar_sets(nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _th, n_shingles, component_id of every row.
+    """_id, _th, n_shingles, component_id, stays (the first of its component) of every row.
 
     component_id is the smallest id reachable by links, itself included. A text with fewer words than a shingle has
     one, its whole sequence; a null, empty or blank text has none and links with nothing. Equal sets are alike. Rows
@@ -280,16 +280,34 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int
     rows = keyed(docs, id_col, text_col)
     meeting = _meeting(rows, shingle, share)
     members = settle(_as_nodes(rows, meeting, shingle), "members").filter("n > 0")
-    nodes = members.groupBy("node").agg(F.min("_id").alias("first"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(4)], F.min("text").alias("text"))
+    nodes = members.groupBy("node").agg(F.min(F.struct("_id", F.hash("text").alias("_th"))).alias("first"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(4)], F.min("text").alias("text"))
     nodes = settle(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     labels = similar_sets(nodes, shingle, share)
     of_node = nodes.select("node", "nid", "first").join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    smallest = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = of_node.join(smallest, "component").select("node", "component_id")
-    by_doc = members.select("_id", F.hash("text").alias("_th"), "node").join(named, "node").select(F.col("_id").alias("i"), F.col("_th").alias("t"), "component_id").distinct()
+    smallest = of_node.groupBy("component").agg(F.min("first").alias("least"))
+    named = of_node.join(smallest, "component").select("node", "least")
+    by_doc = members.select("_id", F.hash("text").alias("_th"), "node").join(named, "node").select(F.col("_id").alias("i"), F.col("_th").alias("t"), "least").distinct()
     sizes = _count(rows, shingle)
     both = sizes.join(by_doc, sizes["_id"].eqNullSafe(by_doc["i"]) & (sizes["_th"] == by_doc["t"]), "left")
-    return both.select("_id", "_th", "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+    alone = F.col("least").isNull()
+    least = F.col("least._id").eqNullSafe(F.col("_id")) & (F.col("least._th") == F.col("_th"))
+    return both.select("_id", "_th", "n_shingles", F.coalesce("least._id", "_id").alias("component_id"), (alone | least).alias("stays"))
+
+
+def jaccard_dedup(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those linked to another: of each component the one with the smallest id stays, once.
+
+    Texts without a word are linked with nothing and all stay.
+    """
+    cols = docs.columns
+    found = jaccard_components(docs, shingle, share, id_col, text_col)
+    none = F.lit(-(1 << 63))  # stands for a null id, so that joins are plain equalities
+    gone = found.filter("not stays").select(F.coalesce("_id", none).alias("_jid"), "_th").distinct()
+    rows = keyed(docs, id_col, text_col, cols).withColumn("_jid", F.coalesce("_id", none))
+    rows = rows.withColumn("_blank", F.coalesce(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "") == "", F.lit(True)))
+    left = rows.join(gone, ["_jid", "_th"], "left_anti")
+    once = left.filter("not _blank").dropDuplicates(["_jid", "_th"])
+    return once.unionByName(rows.filter("_blank")).select("_carry.*")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
