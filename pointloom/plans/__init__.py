@@ -1 +1 @@
-
+"""Registered queries, family by family."""

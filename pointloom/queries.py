@@ -1,6 +1,8 @@
-"""Registered queries of the library, by name, and DuckDB SQL for the same rows."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import joins, prep  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
