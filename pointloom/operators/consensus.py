@@ -95,8 +95,8 @@ def within_group_pairs(locs: DataFrame, group: str) -> DataFrame:
 def map_n(hist: DataFrame, by: list[str]) -> DataFrame:
     """Number of sources from a histogram (k, n): the mode, and its lead over the second; where that is under 1.5 the
     largest mean of three neighbouring bins decides. Ties go to the smaller k."""
-    span = hist.groupBy(*by).agg(F.min("k").alias("a"), F.max("k").alias("b"))
-    dense = span.select(*by, F.explode(F.sequence("a", "b")).alias("k")).join(hist, [*by, "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    span = hist.groupBy(*by).agg(F.max("k").alias("b"))
+    dense = span.select(*by, F.explode(F.sequence(F.lit(0), F.col("b").cast("int"))).alias("k")).join(hist, [*by, "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy(*by)
     smooth = F.avg("n").over(w.orderBy("k").rowsBetween(-1, 1))
     d = dense.withColumn("m", smooth).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "k"))).withColumn("order", F.row_number().over(w.orderBy(F.desc("m"), "k")))

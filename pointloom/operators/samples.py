@@ -83,27 +83,31 @@ def _pdf(z):
     return F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
 
 
-def pixel_mass(a0, a1, b0, b1, rho):
-    """Mass of a standard bivariate normal with correlation rho over [a0, a1] x [b0, b1]."""
-    weak = (phi_cdf(a1) - phi_cdf(a0)) * (phi_cdf(b1) - phi_cdf(b0))
-    # tetrachoric series: sum rho^k/k! (phi He_{k-1})(a) differences times the same in b
-    he = lambda z: [F.lit(1.0), z]
-    lists = {}
-    for name, z in (("a0", a0), ("a1", a1), ("b0", b0), ("b1", b1)):
-        h = he(z)
-        for k in range(2, _HERMITE_TERMS):
-            h.append(z * h[-1] - float(k - 1) * h[-2])
-        lists[name] = [_pdf(z) * x for x in h]
-    power = rho
+def _weak_mass(df: DataFrame) -> DataFrame:
+    """Adds m, by the tetrachoric series: sum rho^k/k! times differences of phi He_{k-1} along both axes."""
+    edges = ("ex0", "ex1", "ey0", "ey1")
+    df = df.withColumns({f"p_{e}": phi_cdf(F.col(e)) for e in edges}).withColumns({f"d_{e}": _pdf(F.col(e)) for e in edges})
+    value = (F.col("p_ex1") - F.col("p_ex0")) * (F.col("p_ey1") - F.col("p_ey0"))
+    he = {e: [F.lit(1.0), F.col(e)] for e in edges}
+    for k in range(2, _HERMITE_TERMS):
+        for e in edges:
+            he[e].append(F.col(e) * he[e][-1] - float(k - 1) * he[e][-2])
+    power = F.col("rho")
     for k in range(1, _HERMITE_TERMS + 1):
-        weak = weak + power * (lists["a1"][k - 1] - lists["a0"][k - 1]) * (lists["b1"][k - 1] - lists["b0"][k - 1]) / float(math.factorial(k))
-        power = power * rho
-    s = F.sqrt(1.0 - rho * rho)
-    strong = F.lit(0.0)
-    for x, w in _NODES8:
-        u = (a0 + a1) / 2.0 + (a1 - a0) / 2.0 * x
-        strong = strong + w * _pdf(u) * (phi_cdf((b1 - rho * u) / s) - phi_cdf((b0 - rho * u) / s))
-    return F.when(F.abs(rho) <= WEAK, weak).otherwise(strong * (a1 - a0) / 2.0)
+        x, y = (F.col(f"d_e{a}1") * he[f"e{a}1"][k - 1] - F.col(f"d_e{a}0") * he[f"e{a}0"][k - 1] for a in "xy")
+        value = value + power * x * y / float(math.factorial(k))
+        power = power * F.col("rho")
+    return df.withColumn("m", value)
+
+
+def _strong_mass(df: DataFrame) -> DataFrame:
+    """Adds m: the conditional normal integrated over each pixel's column at fixed nodes."""
+    nodes = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in _NODES8])
+    s = F.sqrt(1.0 - F.col("rho") * F.col("rho"))
+    n = df.withColumn("_n", F.explode(nodes)).withColumn("u", (F.col("ex0") + F.col("ex1")) / 2.0 + (F.col("ex1") - F.col("ex0")) / 2.0 * F.col("_n.x"))
+    n = n.withColumns({"p1": phi_cdf((F.col("ey1") - F.col("rho") * F.col("u")) / s), "p0": phi_cdf((F.col("ey0") - F.col("rho") * F.col("u")) / s)})
+    part = F.col("_n.w") * _pdf(F.col("u")) * (F.col("p1") - F.col("p0")) * (F.col("ex1") - F.col("ex0")) / 2.0
+    return n.groupBy("_id", "w", "ix", "iy").agg(F.sum(part).alias("m"))
 
 
 @aggregation
@@ -120,7 +124,8 @@ def posterior_raster(clusters: DataFrame, pixel: float, weight: str | None = Non
     for a in "xy":
         for k in (0, 1):
             c = c.withColumn(f"e{a}{k}", edge(a, k))
-    c = c.withColumn("m", pixel_mass(F.col("ex0"), F.col("ex1"), F.col("ey0"), F.col("ey1"), F.col("rho")))
+    weak = F.abs(F.col("rho")) <= WEAK
+    c = _weak_mass(c.filter(weak)).select("_id", "w", "ix", "iy", "m").unionByName(_strong_mass(c.filter(~weak)))
     total = F.sum("m").over(Window.partitionBy("_id"))
     return c.withColumn("m", F.col("w") * F.col("m") / total).groupBy("ix", "iy").agg(F.sum("m").alias("mass"))
 

@@ -225,7 +225,7 @@ def g13(spark, d):
     return SA.k_trace(fx.samples(spark, d), 2).select("partition_id", L("iter"), "k")
 
 
-@query("h1_map_n", f"""{TR}, h as (select partition_id, k, count(*) as n from trace group by all), sp as (select partition_id, unnest(range(min(k), max(k)+1)) as k from h group by partition_id),
+@query("h1_map_n", f"""{TR}, h as (select partition_id, k, count(*) as n from trace group by all), sp as (select partition_id, unnest(range(0, max(k)+1)) as k from h group by partition_id),
  d as (select sp.partition_id, sp.k, coalesce(n,0) as n from sp left join h on sp.partition_id=h.partition_id and sp.k=h.k),
  w as (select *, avg(n) over (partition by partition_id order by k rows between 1 preceding and 1 following) as m from d),
  q as (select partition_id, arg_max(k,(n,-k)) as top, max(n) as n1, arg_max(k,(m,-k)) as sm from w group by partition_id),
