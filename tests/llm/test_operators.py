@@ -1,0 +1,292 @@
+"""Every operator on awkward rows, and against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pointloom.llm import (
+    best_fit_packing,
+    chat_formatting,
+    fingerprints,
+    jaccard_join,
+    lm_scoring,
+    piece_codec,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+)
+from pointloom.llm._pieces import default_vocabulary
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, h long, n_words string, score string"
+
+
+def corpus():
+    """Copies, near copies, shared passages, repetition, nulls, empty and very long texts, repeated rows and ids."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, base = text(60), [word() for _ in range(120)]
+    rows = [(i, text(rng.randint(1, 90))) for i in range(20)]
+    rows += [(20 + i, f"{text(15)} {passage} {text(20)}") for i in range(4)]
+    for i in range(8):
+        near = list(base)
+        for _ in range(rng.randint(0, 5)):
+            near[rng.randrange(120)] = word()
+        rows.append((30 + i, " ".join(near)))
+    rows += [(40, None), (41, ""), (42, " \t\n "), (43, "one"), (44, "one"), (45, "la " * 300), (46, text(9000)), (47, "ONE two Three four five"), (48, "one TWO three four five"), (49, "é ☃\n日本 $$$ <|x|>")]
+    rows += [rows[3], rows[3], (30, text(50)), (None, text(40)), (None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, i, "clash", "clash") for i, t in corpus()], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_substring_dedup(docs, empty, hot):
+    rows = [(i, WORDS.findall(t or "")) for i, t in corpus()]
+    seen = Counter(tuple(w[k : k + 35]) for _, w in rows for k in range(len(w) - 34))
+    want = []
+    for i, w in rows:
+        stay = np.ones(len(w), bool)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                stay[k : k + 35] = False
+        want.append((i, len(w), int((~stay).sum()), " ".join(x for x, s in zip(w, stay, strict=True) if s)))
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(docs, hot=hot).collect()]
+    key = lambda r: (r[0] is not None, *map(str, r))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_automaton_matches_brute_force():
+    rng = random.Random(1)
+    for _ in range(30):
+        seqs = [[rng.choice("ab") for _ in range(rng.randint(0, 25))] for _ in range(4)]
+        times = [rng.choice([1, 1, 2]) for _ in seqs]
+        auto = substring_dedup.SuffixAutomaton()
+        for s, n in zip(seqs, times, strict=True):
+            auto.add(s, n)
+        auto.settle()
+        seen = Counter()
+        for s, n in zip(seqs, times, strict=True):
+            for k in range(len(s) - 3):
+                seen[tuple(s[k : k + 4])] += n
+        for s in seqs:
+            want = set()
+            for k in range(len(s) - 3):
+                if seen[tuple(s[k : k + 4])] > 1:
+                    want |= set(range(k, k + 4))
+            assert {i for lo, hi in auto.repeated(s, 4) for i in range(lo, hi)} == want
+
+
+def components(rows, n, num, den):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        w = WORDS.findall((t or "").translate(low))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = [y if g == x else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min((v for v in (least.get(g), i) if v is not None), default=None)
+    return sets, [least[g] for g in group], group
+
+
+@pytest.mark.parametrize("crowd", [4096, 2])
+def test_jaccard_join(docs, empty, crowd, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    rows = [r for r in corpus() if r[0] is not None]
+    sets, want, group = components(rows, 4, 85, 100)
+    got = jaccard_join.jaccard_components(docs.filter("doc_id is not null")).collect()
+    assert Counter((r["_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((i, len(s), w) for (i, _), s, w in zip(rows, sets, want, strict=True))
+    assert jaccard_join.jaccard_components(docs).count() == len(corpus())
+    kept = jaccard_join.jaccard_dedup(docs.filter("doc_id is not null"))
+    assert kept.columns == docs.columns
+    # one row of each group, and every row without words
+    assert kept.count() == sum(not s for s in sets) + len({g for g, s in zip(group, sets, strict=True) if s})
+    assert jaccard_join.jaccard_dedup(empty).count() == 0
+
+
+def test_sketch_bounds_and_levels():
+    share = (85, 100)
+    for n in (1, 5, 12, 60, 500, 4000):
+        for level, sure in jaccard_join.levels(n, share):
+            assert sure >= 1 and (1 << level) > 0
+    rng = np.random.default_rng(0)
+    plans = {}
+    for n in (7, 20, 100, 600):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            cut = int(n * 15 / 185)
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 85 * (len(a) + len(b) - common):
+                assert len(np.intersect1d(jaccard_join.sketch_parts(a, share, plans), jaccard_join.sketch_parts(b, share, plans)))
+
+
+def test_fingerprints(docs, empty):
+    out = fingerprints.fingerprints(docs.filter("doc_id is not null")).collect()
+    rows = sorted({(i, t or "") for i, t in corpus() if i is not None})
+    assert len(out) == len([r for r in corpus() if r[0] is not None])
+    by = {}
+    for r in out:
+        by.setdefault(r["n_chars"], r)
+        assert r["near_edited"] is not None and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    same = {r["fingerprint"] for r in out if r["doc_id"] in (43, 44)}
+    assert len(same) == 1
+    alone = [i for i in range(43, 50)]
+    texts = dict(rows)
+    got = {r["doc_id"]: r for r in out}
+    for i in alone[:-1]:
+        t, nxt = texts[i], texts[i + 1]
+        q = len(t) // 4
+        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()
+    assert fingerprints.fingerprints(empty).count() == 0
+
+
+def test_likeness_is_near_jaccard(spark):
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(0, " ".join(w)), (1, " ".join(w[:300] + [f"v{i}" for i in range(100)])), (2, " ".join(f"u{i}" for i in range(400)))]
+    out = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(out[0]["near_next"] - 296 / 496) < 0.12 and out[1]["near_next"] < 0.1
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "a\\b"), (1, 1, "user", "</s>[INST] x [/INST]"), (1, 2, "assistant", "<s>\\\\</s>"), (1, 3, "assistant", None), (1, 4, "user", "bye\n"), (2, 0, "user", ""), (3, 0, "as[INST]", "t"), (None, None, None, None), (1, 2, "assistant", "<s>\\\\</s>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("t", F.lit(1))
+    back = {r["conv_id"]: r for r in chat_formatting.read_back(chat_formatting.format_examples(df)).collect()}
+    for c in (1, 2, 3, None):
+        want = sorted(((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c), key=lambda x: (x[0] is not None, x))
+        assert [(t["role"], t["text"]) for t in back[c]["turns"]] == [w[1:] for w in want]
+        assert back[c]["loss"] == "".join(w[2] for w in want if w[1] == "assistant")
+    assert chat_formatting.format_examples(df.limit(0)).count() == 0
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = best_fit_packing.default_tokenizer()
+    t = Tokenizer.from_file(path)
+    parts = best_fit_packing.pieces(docs, path, capacity=64, with_ids=True).collect()
+    want = Counter()
+    for i, text in corpus():
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        for k, s in enumerate(range(0, len(ids), 64)):
+            want[i, k, s, zlib.crc32(np.array(ids[s : s + 64], "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in parts) == want
+    out = best_fit_packing.pack(best_fit_packing.pieces(docs, path, capacity=64), capacity=64, shard=50).collect()
+    assert len(out) == len(parts)
+    for rule in ("norm", "dot"):
+        lengths = np.array([5, 60, 64, 30, 30, 4, 4, 1, 59, 33])
+        bins, offset = best_fit_packing.place(lengths, 64, max_docs=3, max_attention=4000, rule=rule)
+        for b in set(bins.tolist()):
+            inside = bins == b
+            assert lengths[inside].sum() <= 64 and inside.sum() <= 3 and ((lengths[inside] ** 2).sum() <= 4000 or inside.sum() == 1)
+            assert sorted(offset[inside].tolist()) == np.concatenate([[0], np.cumsum(lengths[inside][np.argsort(offset[inside])])[:-1]]).tolist()
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        end = 0
+        for o, n in sorted(b):
+            assert o == end
+            end += n
+        assert end <= 64
+    assert best_fit_packing.pack_documents(empty, path).count() == 0
+
+
+def test_quality_rules(docs, empty):
+    got = Counter()
+    for r in quality_rules.quality_rules(docs).collect():
+        got[tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))] += 1
+    want = Counter()
+    for i, t in corpus():
+        t = t or ""
+        w = WORDS.findall(t)
+        seen = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        hit = {j for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if WORDS.search(x)]
+        want[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)] += 1
+    assert got == want
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_repetition_verdict(spark):
+    line = "alpha beta gamma delta"
+    rows = [(0, "\n".join([line] * 6 + [f"w{i} x{i} y{i}" for i in range(8)])), (1, " ".join(f"w{i}" for i in range(50)))]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0]["dup_line_chars"] == 5 * 19 and not out[0]["kept"] and out[1]["kept"]
+
+
+def test_classifier_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = quality_classifier.op8_quality_classifier(spark, d).filter("held_out").join(labels, "doc_id").toPandas()
+    assert (out["predicted"] == out["quality"]).mean() > 0.95
+    model = quality_classifier.fit(docs, labels.limit(0))
+    assert quality_classifier.score(docs.limit(3), model).agg(F.max("score")).first()[0] == 0.5
+
+
+def test_classifier_awkward_rows(docs, empty, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(None, 1), (3, 0), (5, None)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    out = quality_classifier.score(docs, model).collect()
+    assert len(out) == len(corpus()) and all(0 <= r["score"] <= 1 for r in out)
+    assert quality_classifier.score(empty, model).count() == 0
+
+
+def test_pieces_and_counts(docs, empty):
+    from tokenizers import models
+
+    import sentencepiece
+
+    path = default_vocabulary()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    normal = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    u = models.Unigram([("<unk>", 0.0)] + [(sp.id_to_piece(i), sp.get_score(i)) for i in normal], 0, False)
+    byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.vocab_size()) if sp.is_byte(i)}
+    want = Counter()
+    for i, t in corpus():
+        ids = []
+        for x in u.tokenize("▁" + t.replace(" ", "▁")) if t else []:
+            ids += [normal[x.id - 1]] if x.id else [byte[b] for b in x.value.encode()]
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    out = piece_codec.encode(docs, path)
+    assert Counter((r["doc_id"], r["n_ids"], r["ids_crc32"]) for r in out.collect()) == want and out.filter("not round_trip").count() == 0
+    back = Counter((r["doc_id"], r["text"]) for r in piece_codec.decode(out, path).collect())
+    assert back == Counter((i, t or "") for i, t in corpus())
+    n = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(docs, path).collect())
+    assert n == Counter((k[0], k[1]) for k in want.elements())
+    assert piece_codec.encode(empty, path).count() == token_counts.token_counts(empty, path).count() == 0
+
+
+def test_lm_scoring_learns(docs, empty, spark):
+    rows = spark.createDataFrame([(i, "the cat sat on the mat and the dog lay by the door " * 20) for i in range(30)], "doc_id long, text string")
+    weights, words = lm_scoring.fit(rows)
+    before = lm_scoring.score(rows, lm_scoring.WindowNetwork().weights, words).first()["mean_log_likelihood"]
+    after = lm_scoring.score(rows, weights, words).first()["mean_log_likelihood"]
+    assert after > before + 0.8
+    out = lm_scoring.score(docs, weights, words).collect()
+    assert len(out) == len(corpus()) and all((r["mean_log_likelihood"] is None) == (r["n_words"] == 0) for r in out)
+    assert lm_scoring.score(empty, *lm_scoring.fit(empty)).count() == 0
