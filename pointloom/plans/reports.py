@@ -11,7 +11,7 @@ from ..operators import consensus as H
 from ..operators import evaluation as V
 from ..operators import graph as G
 from ..operators import neighbors as N
-from ..operators.grouping import GroupingConfig, group_localizations, merge_groups, sample_groupings
+from ..operators.grouping import GroupingConfig, component_emitters, group_localizations, merge_groups, sample_groupings
 from ..registry import query
 from .chains import L
 from .joins import WG_SQL
@@ -117,6 +117,12 @@ def j2(spark, d):
     return sample_groupings(_members(spark, d), GroupingConfig(rounds=1, sweeps=1, chains=1))[0]
 
 
+@query("j0_component_emitters", f"{W} select min(loc_id) as component, round(sum(x/(sigma_x*sigma_x))/sum(1/(sigma_x*sigma_x)),8) as x, round(sum(y/(sigma_y*sigma_y))/sum(1/(sigma_y*sigma_y)),8) as y, count(*) as n from locs group by pair")
+def j0(spark, d):
+    e = component_emitters(fx.locs(spark, d))
+    return e.select("component", r("x", 8).alias("x"), r("y", 8).alias("y"), "n")
+
+
 @query("j3_group_localizations")
 def j3(spark, d):
     return group_localizations(fx.locs(spark, d))
