@@ -9,10 +9,10 @@ an equal part. Sets are compared within bands of size, each with a P of its own,
 A part that is empty in both sets says nothing. A set with so many empty parts that all its agreeing parts might be
 empty ones is sketched again with another hash, until it isn't; of two alike sets either one is fine, or both go on.
 
-Candidates are verified exactly. Groups that share a part are never expanded into all pairs: each round compares the
-members of a group with a few pivots that they are not connected to yet, twice as many in every round, and a group
-is done when its members are in one component or each has been a pivot. So no link between different components is
-missed, and the number of pairs stays near the number of members.
+Groups that share a part are never expanded into all pairs: a task compares their members' sketches and gives out
+just pairs within the bound that connect two components of the group, which are verified exactly. Pairs that fail are
+left out in the next round, and rounds go on until a group has no pair within the bound between two components. So
+no link between different components is missed, and the pairs are about as many as the members.
 """
 
 from __future__ import annotations
@@ -99,31 +99,20 @@ def _batch(schema: str, cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
 
-def _count(rows: DataFrame, n: int) -> DataFrame:
-    schema = "_id long, _th int, n_shingles long"
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, buf, at in W.slices(b.column("_text")):
-                sizes = np.array([len(s) for s in _sets(buf, at, n)], np.int64)
-                yield _batch(schema, [b.column("_id").slice(lo, hi - lo), b.column("_th").slice(lo, hi - lo), pa.array(sizes)])
-
-    return rows.select("_id", "_th", "_text").mapInArrow(count, schema)
-
-
 def _meeting(rows: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """(_id, _th) of the documents that share a part with another one.
+    """_id, _th, n: the set size of every document (n not null), and ids that share a part with another document.
 
     Documents of one slice that share a part are found there, and one of them stands for all in the shuffle, so a
-    part that very many documents have sends one row a slice.
+    part that very many documents have sends one row a slice. Such an id is sent twice under a key of its own.
     """
-    schema = "sig long, _id long, _th int, met boolean"
+    schema = "key long, _id long, _th int, n int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict = {}
         for b in batches:
             for lo, hi, buf, at in W.slices(b.column("_text"), 2 * W.SLICE):
-                found = [sketch_parts(s, share, plans) if len(s) else s for s in _sets(buf, at, n)]
+                sets = _sets(buf, at, n)
+                found = [sketch_parts(s, share, plans) if len(s) else s for s in sets]
                 doc = np.repeat(np.arange(hi - lo), [len(f) for f in found])
                 sig = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 order = np.argsort(sig, kind="stable")
@@ -132,43 +121,49 @@ def _meeting(rows: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
                 new[1:] = sig[1:] != sig[:-1]
                 group = np.cumsum(new) - 1
                 met = np.unique(doc[np.bincount(group, minlength=1)[group] > 1]) if len(sig) else doc
-                pick = np.concatenate([doc[new], met]) + lo
-                sent = np.concatenate([sig[new].view(np.int64), np.zeros(len(met), np.int64)])
-                take = pa.array(pick)
-                yield _batch(schema, [pa.array(sent), b.column("_id").take(take), b.column("_th").take(take), pa.array(np.arange(len(pick)) >= int(new.sum()))])
+                own = W.mix((met + lo).astype(np.uint64) ^ (sig[:1] if len(sig) else W.U(0)))
+                every = np.arange(hi - lo)
+                sent = np.concatenate([sig[new], own, own, W.mix(every.astype(np.uint64))]).view(np.int64)
+                pick = pa.array(np.concatenate([doc[new], met, met, every]) + lo)
+                plain = len(sent) - (hi - lo)
+                sizes = pa.array(np.concatenate([np.zeros(plain, np.int32), np.array([len(x) for x in sets], np.int32)]), mask=np.arange(len(sent)) < plain)
+                names = b.column("_th").take(pick)
+                yield _batch(schema, [pa.array(sent), b.column("_id").take(pick), pa.array(np.where(np.arange(len(sent)) < plain, 0, names.to_numpy(zero_copy_only=False)).astype(np.int32)), sizes])
 
-    parts = rows.select("_id", "_th", "_text").mapInArrow(scan, schema)
-    # one shuffle: a row whose part is in another row too. Rows that met in their slice go to random keys.
-    key = F.when(F.col("met"), F.xxhash64("_id", "_th")).otherwise(F.col("sig"))
-    w = Window.partitionBy("key", "met")
-    seen = parts.select(key.alias("key"), "met", "_id", "_th").withColumn("k", F.count("*").over(w))
-    return seen.filter("met or k > 1").select("_id", "_th").distinct()
+    sent = rows.select("_id", "_th", "_text").mapInArrow(scan, schema)
+    w = Window.partitionBy("key", F.col("n").isNull())
+    seen = sent.withColumn("k", F.count("*").over(w)).filter("n is not null or k > 1").select("_id", "_th", "n")
+    return settle(seen, "meeting")
 
 
-_NODE = "_id long, node binary, n int, s0 long, s1 long, s2 long, s3 long, text string"
+WORDS = 16  # a set's own sketch: so many words of 64 parities
+_NODE = "_id long, _th int, node binary, n int, sketch binary, text string"
 
 
-def _as_nodes(rows: DataFrame, meeting: DataFrame, n: int) -> DataFrame:
-    """Candidate documents with their set's 128-bit name, its size and a sketch of 256 parities."""
-    m = meeting.withColumnsRenamed({"_id": "i", "_th": "t"})
-    both = rows.join(m, rows["_id"].eqNullSafe(m["i"]) & (rows["_th"] == m["t"]), "left_semi")
+def _as_nodes(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Candidate documents with their set's 128-bit name, its size and a sketch of 1024 parities."""
+    none = F.lit(-(1 << 63))  # stands for a null id, so that the join is a plain equality
+    keyed_rows = rows.select("_id", "_th", "_text", F.coalesce("_id", none).alias("_jid"))
+    both = keyed_rows.join(ids.select(F.coalesce("_id", none).alias("_jid")).distinct(), "_jid", "left_semi")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, at in W.slices(b.column("_text")):
-                names, sizes, bits = [], [], np.zeros((hi - lo, 4), np.uint64)
-                for d, s in enumerate(_sets(buf, at, n)):
+                names, sizes, sketches = [], [], []
+                for s in _sets(buf, at, n):
                     two = [np.bitwise_xor.reduce(W.mix(s + np.uint64(k))) if len(s) else np.uint64(0) for k in (5, 6)]
                     names.append(np.array(two, "<u8").tobytes())
                     sizes.append(len(s))
-                    np.bitwise_xor.at(bits[d], ((s >> np.uint64(6)) & np.uint64(3)).astype(np.int64), _BITS[(s & np.uint64(63)).astype(np.int64)])
-                cols = [b.column("_id").slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(bits[:, k].copy().view(np.int64)) for k in range(4)], b.column("_text").slice(lo, hi - lo)]
+                    odd = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                cols = [b.column("_id").slice(lo, hi - lo), b.column("_th").slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), b.column("_text").slice(lo, hi - lo)]
                 yield _batch(_NODE, cols)
 
-    return both.select("_id", "_text").mapInArrow(name, _NODE)
+    return both.select("_id", "_th", "_text").mapInArrow(name, _NODE)
 
 
-def _parts(nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+def _groups(nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """sig, nid, k, p, q, x of the nodes that share a part: its members' number, least, greatest and XORed hash."""
     schema = "sig long, nid long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +175,100 @@ def _parts(nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
                 sig = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 yield _batch(schema, [pa.array(sig.view(np.int64)), b.column("nid").take(pa.array(doc + lo))])
 
-    return nodes.select("nid", "text").mapInArrow(scan, schema)
+    out = "sig long, nid long, k long, p long, q long, x long"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(sig: np.ndarray, nid: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+            k = np.diff(np.append(at, len(sig)))
+            if len(at):
+                low, high, x = nid[at], nid[at + k - 1], np.bitwise_xor.reduceat(W.mix(nid.astype(np.uint64) + W.U(1)), at).view(np.int64)
+            else:
+                low = high = x = nid
+            rows = np.repeat(k > 1, k)
+            wide = lambda v: pa.array(np.repeat(v, k)[rows])
+            return _batch(out, [pa.array(sig[rows]), pa.array(nid[rows]), wide(k), wide(low), wide(high), wide(x)])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            sig, nid = b.column("sig").to_numpy(), b.column("nid").to_numpy()
+            if not len(sig):
+                continue
+            cut = int(np.searchsorted(sig, sig[-1]))  # the last group may go on in the next batch
+            if cut or (held and held[-1][0][-1] != sig[0]):
+                before = [*held, (sig[:cut], nid[:cut])]
+                yield done(np.concatenate([x[0] for x in before]), np.concatenate([x[1] for x in before]))
+                held = []
+            held.append((sig[cut:], nid[cut:]))
+        if held:
+            yield done(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+
+    parts = nodes.select("nid", "text").mapInArrow(scan, schema)
+    return parts.repartition("sig").sortWithinPartitions("sig", "nid").mapInArrow(gather, out)
+
+
+def forest(rows: list[tuple], share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of a group's members (nid, n, component, sketch, failed) that may be alike and join its components.
+
+    A member is compared with all members of other components at once, by the Hamming distance of their sketches;
+    of each component the nearest one within the bound is given out, and none that has failed before. Once the
+    members outside the largest component have all been compared, every pair of two components has been.
+    """
+    num, den = share
+    nid = np.array([r[0] for r in rows], np.int64)
+    size = np.array([r[1] for r in rows], np.int64)
+    comp = np.unique([r[2] for r in rows], return_inverse=True)[1]
+    bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), WORDS)
+    place = {v: k for k, v in enumerate(nid.tolist())}
+    seen, out, i = np.zeros(len(rows), bool), [], 0
+    while True:
+        seen[i] = True
+        other = np.flatnonzero(comp != comp[i])
+        other = other[np.minimum(size[other], size[i]) * den >= np.maximum(size[other], size[i]) * num]
+        far = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = far * (den + num) <= (den - num) * (size[other] + size[i])
+        other, far = other[near], far[near]
+        if rows[i][4] and len(other):
+            fresh = ~np.isin(other, [place[f] for f in rows[i][4] if f in place])
+            other, far = other[fresh], far[fresh]
+        if len(other):
+            other = other[np.argsort(far, kind="stable")]
+            names, first = np.unique(comp[other], return_index=True)
+            out += [(min(a, b), max(a, b)) for a, b in zip(nid[other[first]].tolist(), [int(nid[i])] * len(first), strict=True)]
+            comp[np.isin(comp, names)] = comp[i]
+        left = np.flatnonzero(~seen & (comp != np.bincount(comp).argmax()))
+        if not len(left):
+            return out
+        i = int(left[0])
+
+
+def _forests(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs a, b of every group (key; nid, n, component, sketch, failed), as ``forest`` gives them."""
+    schema = "a long, b long"
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        names = ("key", "nid", "n", "component", "sketch", "failed")
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if row[0] != last:
+                    out += forest(held, share) if len(held) > 1 else []
+                    held, last = [], row[0]
+                held.append(row[1:])
+            yield _batch(schema, [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)])
+        out = forest(held, share) if len(held) > 1 else []
+        yield _batch(schema, [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)])
+
+    return members.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(grow, schema)
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of nodes that are alike, by their whole sets."""
+    """a, b, alike: whether the whole sets of two nodes are alike."""
     num, den = share
     texts = nodes.select("nid", "text")
     both = pairs.join(texts.withColumnsRenamed({"nid": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"nid": "b", "text": "tb"}), "b")
-    schema = "a long, b long"
+    schema = "a long, b long, alike boolean"
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ours = None, np.zeros(0, np.uint64)
@@ -207,7 +287,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, n: int, share: tuple[int, int])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 good[i] = den * common >= num * (len(left[i]) + len(ours) - common)
-            yield _batch(schema, [pa.array(a[good]), pa.array(b[good])])
+            yield _batch(schema, [pa.array(a), pa.array(b), pa.array(good)])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(check, schema)
 
@@ -235,38 +315,64 @@ def connect(links: DataFrame, name: str = "components") -> DataFrame:
         edges = after
 
 
+CROWD = 4096  # members of a group that meet in one task; larger groups are compared block by block
+
+
 def similar_sets(nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """nid, component of the nodes (distinct sets) that are alike to others."""
-    parts = _parts(nodes, n, share)
-    shared = parts.groupBy("sig").agg(F.count("*").alias("k"), F.min("nid").alias("p"), F.max("nid").alias("q")).filter("p != q").select("sig", "k")
-    left = settle(parts.join(shared.select("sig"), "sig", "left_semi"), "parts")
-    labels = nodes.sparkSession.createDataFrame([], "node long, component long")
-    links = None
-    sketch = nodes.select("nid", "n", "s0", "s1", "s2", "s3")
+    """nid, component of the nodes (distinct sets; nid, n, sketch, text) that are alike to others."""
     num, den = share
-    pivots = 1
+    shared = settle(_groups(nodes, n, share), "groups")
+    # groups with the same members are one; those of two are a pair
+    pairs = shared.filter("k = 2").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+    one = shared.filter("k > 2").groupBy("k", "p", "q", "x").agg(F.min("sig").alias("sig")).select("sig", "k")
+    left = settle(shared.filter("k > 2").select("sig", "nid").join(one, "sig"), "members")
+    facts = nodes.select("nid", "n", "sketch")
+    both = pairs.join(facts.withColumnsRenamed({"nid": "a", "n": "na", "sketch": "sa"}), "a").join(facts.withColumnsRenamed({"nid": "b", "n": "nb", "sketch": "sb"}), "b")
+    pairs = _within(both, share).select("a", "b")
+    links = failed = None
+    labels = nodes.sparkSession.createDataFrame([], "nid long, component long")
     while True:
-        label = labels.select(F.col("node").alias("nid"), "component")
-        now = left.join(label, "nid", "left").select("sig", "nid", F.coalesce("component", "nid").alias("component"))
-        # a group is open while two of its members are in different components
-        open_ = now.groupBy("sig").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("nid").alias("p")).filter("c0 != c1").select("sig", "k", "p")
-        now = settle(now.join(open_, "sig"), "open")
-        # the smallest ids are pivots: the first, and others by chance, about `pivots` in a group
-        chance = F.pmod(F.xxhash64("nid"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * (pivots - 1) / F.col("k")
-        now = now.withColumn("pivot", (F.col("nid") == F.col("p")) | chance)
-        chosen = now.filter("pivot").select("sig", F.col("nid").alias("b"), F.col("component").alias("cb"))
-        pairs = now.join(chosen, "sig").filter("component != cb and (not pivot or nid < b)").select(F.col("nid").alias("a"), "b").distinct()
-        sa, sb = (sketch.withColumnsRenamed({c: f"{x}_{c}" for c in sketch.columns}) for x in "ab")
-        far = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0))
-        near = pairs.join(sa, F.col("a") == F.col("a_nid")).join(sb, F.col("b") == F.col("b_nid"))
-        near = near.filter((F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (far * (den + num) <= (den - num) * (F.col("a_n") + F.col("b_n")))).select("a", "b")
-        found = settle(_verify(near, nodes, n, share), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = connect(links)
-        left = settle(now.filter("not pivot").select("sig", "nid"), "parts")
-        if not left.take(1):
-            return labels.withColumnRenamed("node", "nid")
-        pivots *= 2
+        now = left.join(labels, "nid", "left").select("sig", "nid", "k", F.coalesce("component", "nid").alias("component"))
+        open_ = settle(now.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("sig"), "open")
+        now = now.join(open_, "sig").join(facts, "nid")
+        if failed is None:
+            now = now.withColumn("failed", F.array().cast("array<bigint>"))
+        else:
+            bad = failed.groupBy(F.col("a").alias("nid")).agg(F.collect_list("b").alias("failed"))
+            now = now.join(bad, "nid", "left")
+        # a large group's blocks: every two blocks meet under a key of their own
+        blocks = F.ceil(F.col("k") / (CROWD // 2)).cast("int")
+        block = F.pmod(F.xxhash64("nid"), blocks).cast("int")
+        twos = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("sig", F.least(block, j), F.greatest(block, j)))
+        key = F.explode(F.when(F.col("k") > CROWD, twos).otherwise(F.array("sig")))
+        found = _forests(now.select(key.alias("key"), "nid", "n", "component", "sketch", "failed"), share)
+        todo = found.distinct() if links is not None else found.unionByName(pairs).distinct()
+        checked = settle(_verify(todo, nodes, n, share), "checked")
+        if links is not None and not checked.take(1):
+            return labels
+        good, bad = checked.filter("alike").select("a", "b"), checked.filter("not alike").select("a", "b")
+        links = good if links is None else links.unionByName(good)
+        # both directions, as either one may be the row that looks
+        bad = bad.unionByName(bad.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        failed = bad if failed is None else failed.unionByName(bad)
+        labels = connect(links).withColumnRenamed("node", "nid")
+
+
+def _within(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (na, nb, sa, sb) whose sizes and sketches allow that they are alike."""
+    num, den = share
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("sa", "sb"))
+            far = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+            yield b.filter(pa.array((np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (far * (den + num) <= (den - num) * (na + nb))))
+
+    return pairs.mapInArrow(near, schema)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,16 +384,16 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int
     row of the input gives one row; other columns are ignored; an empty table gives an empty one.
     """
     rows = keyed(docs, id_col, text_col)
-    meeting = _meeting(rows, shingle, share)
-    members = settle(_as_nodes(rows, meeting, shingle), "members").filter("n > 0")
-    nodes = members.groupBy("node").agg(F.min(F.struct("_id", F.hash("text").alias("_th"))).alias("first"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(4)], F.min("text").alias("text"))
+    seen = _meeting(rows, shingle, share)
+    members = settle(_as_nodes(rows, seen.filter("n is null"), shingle), "members").filter("n > 0")
+    nodes = members.groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("text").alias("text"))
     nodes = settle(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     labels = similar_sets(nodes, shingle, share)
     of_node = nodes.select("node", "nid", "first").join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     smallest = of_node.groupBy("component").agg(F.min("first").alias("least"))
     named = of_node.join(smallest, "component").select("node", "least")
-    by_doc = members.select("_id", F.hash("text").alias("_th"), "node").join(named, "node").select(F.col("_id").alias("i"), F.col("_th").alias("t"), "least").distinct()
-    sizes = _count(rows, shingle)
+    by_doc = members.select("_id", "_th", "node").join(named, "node").select(F.col("_id").alias("i"), F.col("_th").alias("t"), "least").distinct()
+    sizes = seen.filter("n is not null").select("_id", "_th", F.col("n").cast("long").alias("n_shingles"))
     both = sizes.join(by_doc, sizes["_id"].eqNullSafe(by_doc["i"]) & (sizes["_th"] == by_doc["t"]), "left")
     alone = F.col("least").isNull()
     least = F.col("least._id").eqNullSafe(F.col("_id")) & (F.col("least._th") == F.col("_th"))
@@ -312,3 +418,16 @@ def jaccard_dedup(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP5_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[p:p+3], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 2)) as p from w where len(ws) >= 4)
+ union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 3),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id, doc_id as other from documents union select r.doc_id, e.b from r join e on e.a = r.other)
+select r.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(other) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""

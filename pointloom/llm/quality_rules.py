@@ -127,3 +127,25 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _ngram_sql(n: int) -> str:
+    return f"""g{n} as (select doc_id, p, array_to_string(ws[p:p+{n - 1}], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - {n - 2})) as p from w)),
+c{n} as (select distinct doc_id, unnest(range(p, p + {n})) as p from (select *, count(*) over (partition by doc_id, k) as c from g{n}) where c > 1),
+d{n} as (select doc_id, count(*) as words, sum(length(word)) as chars from c{n} join t using (doc_id, p) group by doc_id)"""
+
+
+OP10_SQL = rf"""
+with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+t as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+b as (select doc_id, sum(length(word)) as word_chars from t group by doc_id),
+l as (select doc_id, line, row_number() over (partition by doc_id, line order by i) as k from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from w) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+ld as (select doc_id, count(*) as n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) as chars from l where k > 1 group by doc_id),
+{", ".join(_ngram_sql(n) for n in COVERAGE)},
+a as (select w.doc_id, len(ws)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+ coalesce(ld.n, 0)::bigint as n_dup_lines, coalesce(ld.chars, 0) as line_chars, coalesce(d5.words, 0)::bigint as n_repeat_words, {", ".join(f"coalesce(d{n}.chars, 0) as x{n}" for n in COVERAGE)}
+ from w left join b using (doc_id) left join ld using (doc_id) {" ".join(f"left join d{n} using (doc_id)" for n in COVERAGE)}),
+f as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words as base_failed from a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ not base_failed and line_chars <= {LINES}e0 * word_chars and {" and ".join(f"x{n} <= {c}e0 * word_chars" for n, c in COVERAGE.items())} as kept from f
+"""

@@ -5,13 +5,13 @@ from __future__ import annotations
 from .best_fit_packing import op9_best_fit_packing
 from .chat_formatting import OP6_SQL, op6_chat_formatting
 from .fingerprints import op4_fingerprints
-from .jaccard_join import op5_jaccard_join
+from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .lm_scoring import op3_lm_scoring
 from .piece_codec import op2_piece_codec
 from .quality_classifier import op8_quality_classifier
-from .quality_rules import op10_quality_rules
-from .substring_dedup import op1_substring_dedup
+from .quality_rules import OP10_SQL, op10_quality_rules
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op7_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_piece_codec, op3_lm_scoring, op4_fingerprints, op5_jaccard_join, op6_chat_formatting, op7_token_counts, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules)}
-ORACLE_SQL = {"op6_chat_formatting": OP6_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op10_quality_rules": OP10_SQL}

@@ -294,3 +294,14 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = rf"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+t as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+g as (select doc_id, p, array_to_string(ws[p:p+{THRESHOLD - 1}], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - {THRESHOLD - 2})) as p from w)),
+c as (select distinct doc_id, unnest(range(p, p + {THRESHOLD})) as p from (select doc_id, p, count(*) over (partition by k) as n from g) where n > 1),
+k as (select t.doc_id, string_agg(word, ' ' order by t.p) as kept, count(*) as n from t anti join c on t.doc_id = c.doc_id and t.p = c.p group by t.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (doc_id)
+"""
