@@ -128,7 +128,7 @@ def j3(spark, d):
     return group_localizations(fx.locs(spark, d))
 
 
-MATCH_SQL = f"""{EMITTERS_SQL}, {TRUTH_SQL}, mt as (select e.emitter_id, arg_min(t.true_id, (sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y)), t.true_id)) as true_id, min(sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y))) as d from em e, truth t group by all qualify row_number() over (partition by true_id order by d, emitter_id)=1),
+MATCH_SQL = f"""{EMITTERS_SQL}, {TRUTH_SQL}, mt as (select * from (select e.emitter_id, arg_min(t.true_id, (sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y)), t.true_id)) as true_id, min(sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y))) as d from em e, truth t group by all) qualify row_number() over (partition by true_id order by d, emitter_id)=1),
 ma as (select * from mt where d<=0.02e0)"""
 
 
