@@ -1,8 +1,10 @@
 """LM scoring by masked pseudo-likelihood.
 
 A small bidirectional window network predicts every word of a text from the words on both of its sides; the sum of
-the log-probabilities scores the document. Words are the corpus's most frequent ones, counted over all documents;
-the others share buckets by hash. The output is a softmax in two steps (class, then word in the class).
+the log-probabilities scores the document. The network knows the corpus's most frequent words, counted over all
+documents; the others share buckets by hash. Its output is a softmax in two steps (class, then word in the class). A
+word in a bucket has the bucket's probability times its own share of the bucket, from a table of every word's count
+that is joined by hash, so each word has a probability of its own, whatever the size of the corpus.
 
 Training runs where the data is: in each round every task trains on its own documents' share in numpy, and the
 tasks' weights are averaged by the words they saw, summed as whole numbers so that their order doesn't matter. Over
@@ -13,20 +15,23 @@ the average depends on how the input is split.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._common import documents, keyed
+from ._common import documents, keyed, settle
 
 CLASSES, MEMBERS, BUCKETS = 32, 32, 64
 VOCABULARY = CLASSES * MEMBERS
 SIDE, WIDTH, HIDDEN = 2, 16, 24
 ROUNDS, BATCH, RATE, SEED = 3, 4096, 0.1, 7
 PARTIALS = 32  # sums of weights that reach the driver in a round
+SMOOTH = 0.5  # added to the count of each word of a bucket, and of one that stands for unseen words
 _SCALE = float(1 << 20)
 _SHAPES = {"words": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "bias": (HIDDEN,), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 LARGEST = 60.0  # of a logit, so that exponentials don't overflow
@@ -153,19 +158,32 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("t")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent words, and their ids by frequency; ties go by hash."""
+class Words(NamedTuple):
+    hashes: np.ndarray  # sorted, of the words that have ids of their own
+    ids: np.ndarray
+    log_totals: np.ndarray  # of each bucket: log of its words' smoothed counts
+    counts: DataFrame  # h, n of every word
+
+
+def vocabulary(counts: DataFrame) -> Words:
+    """The most frequent words with ids by frequency (ties go by hash), and the buckets of the others."""
     rows = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS).collect()
     h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], order.astype(np.int64)
+    total, distinct = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r in counts.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        total[r["bucket"]], distinct[r["bucket"]] = r["n"], r["words"]
+    own = (h % W.U(BUCKETS)).astype(np.int64)
+    np.subtract.at(total, own, np.array([r["n"] for r in rows], np.int64))
+    np.subtract.at(distinct, own, 1)
+    return Words(h[order], order.astype(np.int64), np.log(total + SMOOTH * (distinct + 1)), counts)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Weights trained on every document once, and the vocabulary."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Words]:
+    """Weights trained on every document once, and the words."""
     sc = docs.sparkSession.sparkContext
-    words = vocabulary(word_counts(docs, text_col))
-    known = sc.broadcast(words)
+    words = vocabulary(settle(word_counts(docs, text_col), "words"))
+    known = sc.broadcast((words.hashes, words.ids))
     rows = keyed(docs, id_col, text_col)
     weights = WindowNetwork().weights
     for r in range(rounds):
@@ -201,18 +219,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     return weights, words
 
 
-def score(docs: DataFrame, weights: np.ndarray, words: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _distinct(flat: W.Flat, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words at ``at``: bounds of each document's distinct ones, their hashes, and how often the document has them."""
+    order = at[np.lexsort((flat.word[at], flat.doc[at]))]
+    doc, word = flat.doc[order], flat.word[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
+    first = np.flatnonzero(new)
+    return np.searchsorted(doc[first], np.arange(flat.n + 1)), word[first], np.diff(np.append(first, len(order)))
+
+
+def score(docs: DataFrame, weights: np.ndarray, words: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_likelihood (sum), mean_log_likelihood of every whole text.
 
     A null, empty or blank text has no words, a sum of 0 and a null mean. Equal texts have equal scores but for
     rounding, each row its own; other columns are ignored; an empty table gives an empty one.
+
+    One pass writes the network's sums and each row's words in buckets; these meet the words' counts in a shuffle.
     """
     sc = docs.sparkSession.sparkContext
-    model, known = sc.broadcast(weights), sc.broadcast(words)
-    schema = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double"
+    model, known = sc.broadcast(weights), sc.broadcast((words.hashes, words.ids))
+    log_totals = words.log_totals
+    schema = "row long, doc_id long, n_words long, net double, rare array<struct<h:bigint,c:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = WindowNetwork(model.value)
+        net, row = WindowNetwork(model.value), TaskContext.get().partitionId() << 40
         for b in batches:
             for lo, hi, flat in _flats(b.column("_text")):
                 ids = _ids(flat, *known.value)
@@ -220,12 +251,19 @@ def score(docs: DataFrame, weights: np.ndarray, words: tuple[np.ndarray, np.ndar
                 for s in range(0, len(ids), 4 * BATCH):
                     e = min(len(ids), s + 4 * BATCH)
                     logs[s:e] = net.log_probabilities(_windows(flat, ids, s, e), ids[s:e])
+                at = np.flatnonzero(ids >= VOCABULARY - BUCKETS)
+                logs[at] -= log_totals[ids[at] - (VOCABULARY - BUCKETS)]
                 sums = np.bincount(flat.doc, weights=logs, minlength=flat.n)  # each document by itself
-                n = flat.count()
-                mean = pa.array(np.divide(sums, n, out=np.zeros(flat.n), where=n > 0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(sums), mean], names=[c.split()[0] for c in schema.split(", ")])
-
-    return keyed(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, schema)
+                bounds, h, c = _distinct(flat, at)
+                rare = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + flat.n)), b.column("_id").slice(lo, hi - lo), pa.array(flat.count().astype(np.int64)), pa.array(sums), rare], names=["row", "doc_id", "n_words", "net", "rare"])
+                row += flat.n
+
+    rows = settle(keyed(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, schema), "scored")
+    known_counts = words.counts.hint("shuffle_hash")
+    shares = rows.select("row", F.inline("rare")).join(known_counts, "h", "left").groupBy("row").agg(F.sum(F.col("c") * F.ln(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("share"))
+    total = F.col("net") + F.coalesce("share", F.lit(0.0))
+    return rows.drop("rare").join(shares, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

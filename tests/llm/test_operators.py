@@ -290,3 +290,27 @@ def test_lm_scoring_learns(docs, empty, spark):
     out = lm_scoring.score(docs, weights, words).collect()
     assert len(out) == len(corpus()) and all((r["mean_log_likelihood"] is None) == (r["n_words"] == 0) for r in out)
     assert lm_scoring.score(empty, *lm_scoring.fit(empty)).count() == 0
+
+
+def test_lm_scoring_of_words_in_buckets(spark):
+    own, rare = [f"own{i}" for i in range(960)], [f"rare{i}" for i in range(300)]
+    texts = [" ".join(own)] * 9 + [" ".join(w for i, w in enumerate(rare) if i % 5 <= k) for k in range(5)]
+    texts += [f"{w} {w} {w}" for w in rare[:3]] + ["never seen"]
+    corpus, scored = ([(i, t) for i, t in enumerate(x)] for x in (texts[:-1], texts))
+    weights, words = lm_scoring.fit(spark.createDataFrame(corpus, "doc_id long, text string"))
+    net = lm_scoring.WindowNetwork(weights)
+    flat = lambda t: lm_scoring.W.flatten(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+    bucket = lambda w: int(flat(w).word[0] % np.uint64(lm_scoring.BUCKETS))
+    seen = Counter(w for _, t in corpus for w in t.split() if w.startswith("rare"))
+    a, total, distinct = lm_scoring.SMOOTH, Counter(), Counter()
+    for w, n in seen.items():
+        total[bucket(w)] += n
+        distinct[bucket(w)] += 1
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(scored, "doc_id long, text string"), weights, words).collect()}
+    assert len(got) == len(scored)
+    for i, t in scored:
+        f = flat(t)
+        ids = lm_scoring._ids(f, words[0], words[1])
+        want = float(net.log_probabilities(lm_scoring._windows(f, ids, 0, len(ids)), ids).astype(float).sum())
+        want += sum(np.log((seen[w] + a) / (total[bucket(w)] + a * (distinct[bucket(w)] + 1))) for w in t.split() if not w.startswith("own"))
+        assert abs(got[i]["log_likelihood"] - want) < 1e-3 * max(1, abs(want)) and got[i]["n_words"] == len(t.split())
