@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import consensus, graph, localizations, neighbors, samples
+from pointloom.operators import consensus, graph, grouping, localizations, neighbors, samples
 from pointloom.operators.clusters import cluster_stats, remove_rows
 from pointloom.operators.grouping import GroupingConfig, merge_groups, sample_groupings
 
@@ -88,3 +88,12 @@ def test_merging_and_sampling_find_two_sources(spark):
     assert drawn.count() == 48 and hyper.count() == 2
     key = lambda d: sorted((r["iter"], r["loc_id"], r["cluster"]) for r in d.collect())
     assert key(drawn) == key(again)
+
+
+def test_merging_goes_on_until_no_pair_merges(spark, monkeypatch):
+    # all rows are linked to the first only, so a round merges one pair
+    monkeypatch.setattr(grouping, "settle", lambda df, name: df.localCheckpoint())
+    m = rows(spark, [((i * 7 % 11 - 5) / 5000, (i * 5 % 13 - 6) / 5000) for i in range(32)]).withColumn("partition_id", F.lit(0).cast("long"))
+    star = spark.createDataFrame([(0, i) for i in range(1, 32)], "i long, j long")
+    labels = merge_groups(m.coalesce(1), star.coalesce(1), GroupingConfig(mu=32.0)).collect()
+    assert len(labels) == 32 and {r["cluster"] for r in labels} == {0}
