@@ -170,19 +170,18 @@ def g7(spark, d):
     return SA.nn_dist_hist(fx.samples(spark, d), fx.locs(spark, d)).select(L("bin"), "n")
 
 
-def _raster(spark, d):
-    s = fx.samples(spark, d).filter("iter <= 2")
-    return SA.posterior_raster(H.sample_emitters(s, fx.locs(spark, d)), 0.001)
+def _raster(spark, d, samples):
+    return SA.posterior_raster(H.sample_emitters(samples, fx.locs(spark, d)), 0.001)
 
 
 @query("g8_posterior_raster")
 def g8(spark, d):
-    return _raster(spark, d).select("ix", "iy", r("mass").alias("mass"))
+    return _raster(spark, d, fx.samples(spark, d)).select("ix", "iy", r("mass").alias("mass"))
 
 
 @query("g8_raster_mass", f"with {LOCS_SQL}, {SE_SQL} select round(count(*)::double,6) as mass from se where iter<=2")
 def g8_mass(spark, d):
-    return _raster(spark, d).agg(r(F.sum("mass"), 6).alias("mass"))
+    return _raster(spark, d, fx.samples(spark, d).filter("iter <= 2")).agg(r(F.sum("mass"), 6).alias("mass"))
 
 
 @query("g9_raster_lattice", f"""{W}, g as (select pair, max(greatest(sigma_x,sigma_y)) as s, min(x) as a, max(x) as b, min(y) as c, max(y) as e from locs group by pair)

@@ -212,9 +212,8 @@ def l9(spark, d):
 @query("l10_sweep_grid")
 def l10(spark, d):
     # every pair of sources is a trial: grouped on its own and scored against its two true sources
-    em = N.settle(group_localizations(fx.locs(spark, d).filter("pair < 6"), GroupingConfig(overlap=0.006)), "emitters")
-    truth = fx.truth(spark, d).filter("true_id < 12")
-    m = N.match_positions(em, truth).withColumn("trial", F.expr("true_id div 2"))
+    em = N.settle(group_localizations(fx.locs(spark, d), GroupingConfig(overlap=0.006)), "emitters")
+    m = N.match_positions(em, fx.truth(spark, d)).withColumn("trial", F.expr("true_id div 2"))
     return m.groupBy("trial").agg(F.count("*").alias("recovered"), r(F.sqrt(F.avg(F.col("d") ** 2)), 8).alias("rmse"))
 
 

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom import fixtures
 from pointloom.operators import consensus, graph, grouping, localizations, neighbors, samples
 from pointloom.operators.clusters import cluster_stats, remove_rows
 from pointloom.operators.grouping import GroupingConfig, merge_groups, sample_groupings
+from pointloom.plans import chains, reports
 
 LOCS = "loc_id long, x double, y double, sigma_x double, sigma_y double, sigma_xy double"
 
@@ -97,3 +99,22 @@ def test_merging_goes_on_until_no_pair_merges(spark, monkeypatch):
     star = spark.createDataFrame([(0, i) for i in range(1, 32)], "i long, j long")
     labels = merge_groups(m.coalesce(1), star.coalesce(1), GroupingConfig(mu=32.0)).collect()
     assert len(labels) == 32 and {r["cluster"] for r in labels} == {0}
+
+
+@pytest.fixture
+def many_pairs(spark, tmp_path):
+    # eight pairs of sources with three rows each
+    spark.range(48).selectExpr("id as event_id", "id % 16 as user_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_raster_takes_every_sample(spark, many_pairs):
+    s = fixtures.samples(spark, many_pairs)
+    want = s.select("partition_id", "iter", "cluster").distinct().count()
+    assert s.select("iter").distinct().count() == 12
+    assert abs(chains.g8(spark, many_pairs).agg(F.sum("mass").alias("m")).first()["m"] - want) < 1e-3
+
+
+def test_sweep_takes_every_pair(spark, many_pairs, monkeypatch):
+    monkeypatch.setattr(reports, "group_localizations", lambda locs, cfg: locs.groupBy("track_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumnRenamed("track_id", "emitter_id"))
+    assert {r["trial"] for r in reports.l10(spark, many_pairs).collect()} == set(range(8))
