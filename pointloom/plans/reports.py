@@ -114,7 +114,7 @@ def j1(spark, d):
 
 @query("j2_sample_groupings")
 def j2(spark, d):
-    return sample_groupings(_members(spark, d), GroupingConfig(rounds=1, sweeps=1, chains=1))[0]
+    return sample_groupings(_members(spark, d), GroupingConfig(chains=2))[0]
 
 
 @query("j0_component_emitters", f"{W} select min(loc_id) as component, round(sum(x/(sigma_x*sigma_x))/sum(1/(sigma_x*sigma_x)),8) as x, round(sum(y/(sigma_y*sigma_y))/sum(1/(sigma_y*sigma_y)),8) as y, count(*) as n from locs group by pair")

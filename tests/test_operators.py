@@ -118,3 +118,25 @@ def test_raster_takes_every_sample(spark, many_pairs):
 def test_sweep_takes_every_pair(spark, many_pairs, monkeypatch):
     monkeypatch.setattr(reports, "group_localizations", lambda locs, cfg: locs.groupBy("track_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumnRenamed("track_id", "emitter_id"))
     assert {r["trial"] for r in reports.l10(spark, many_pairs).collect()} == set(range(8))
+
+
+def test_registered_sampling_burns_in(spark, monkeypatch):
+    monkeypatch.setattr(reports, "_members", lambda s, d: None)
+    monkeypatch.setattr(reports, "sample_groupings", lambda members, cfg: (cfg, None))
+    cfg = reports.j2(spark, "")
+    assert cfg.burn_in > 0 and cfg.rounds >= GroupingConfig.rounds and cfg.sweeps >= GroupingConfig.sweeps and cfg.chains > 1
+
+
+def test_sampled_emitters_are_a_consensus(spark, monkeypatch):
+    m = rows(spark, [((i * 7 % 11 - 5) / 2000, (i * 5 % 13 - 6) / 2000) for i in range(4)])
+    # the last draw of chain 0 is one cluster, all others are two
+    two, one = [0, 0, 1, 1], [0, 0, 0, 0]
+    drawn = [(p, c, r, i, (one if (c, r) == (0, 2) else two)[i]) for p in [0] for c in range(2) for r in (1, 2) for i in range(4)]
+    samples = spark.createDataFrame(drawn, "partition_id long, chain_id int, iter int, loc_id long, cluster long")
+    monkeypatch.setattr(grouping, "sample_groupings", lambda members, cfg: (samples, None))
+    monkeypatch.setattr(grouping, "partition_locs", lambda locs, *a, **k: (locs.drop("sigma_xy").withColumn("partition_id", F.lit(0).cast("long")).withColumn("is_overlap", F.lit(False)), None))
+    monkeypatch.setattr(grouping, "overlap_discard", lambda em, members: em)
+    monkeypatch.setattr(grouping, "near_boundary", lambda em, members, margin: em.limit(0))
+    monkeypatch.setattr(grouping, "dedup_boundary", lambda em, margin: em)
+    out = grouping.group_localizations(m, GroupingConfig(sampler="gibbs", chains=2)).collect()
+    assert sorted(r["n"] for r in out) == [2, 2]
