@@ -252,7 +252,7 @@ def h3(spark, d):
 @query("h4_median_refine")
 def h4(spark, d):
     pos = N.settle(H.sample_emitters(fx.samples(spark, d), fx.locs(spark, d)), "positions")
-    m = H.median_refine(pos, N.settle(H.reference_sample(pos), "start"), 3)
+    m = H.median_refine(pos, N.settle(H.reference_sample(pos), "start"))
     return m.select("partition_id", "slot", r("x", 8).alias("x"), r("y", 8).alias("y"))
 
 
@@ -262,7 +262,7 @@ def _est(df):
 
 @query("h5_mapn_collapsed")
 def h5(spark, d):
-    return _est(H.mapn_collapsed(fx.samples(spark, d), fx.locs(spark, d), rounds=3))
+    return _est(H.mapn_collapsed(fx.samples(spark, d), fx.locs(spark, d)))
 
 
 @query("h6_psm_components", f"with {LOCS_SQL} select pair as partition_id, count(distinct track_id) as k from locs group by pair")
@@ -275,7 +275,7 @@ def h6(spark, d):
 def h7(spark, d):
     members = fx.locs(spark, d).select(F.col("pair").alias("partition_id"), "loc_id")
     k = N.settle(H.psm_components(psm(spark, d), members), "k")
-    return _est(H.mapn_collapsed(fx.samples(spark, d), fx.locs(spark, d), k, rounds=3))
+    return _est(H.mapn_collapsed(fx.samples(spark, d), fx.locs(spark, d), k))
 
 
 H8_SQL = f"""{PSM_SQL}, ba as (select partition_id, sum(p*p) as base from psm group by all),

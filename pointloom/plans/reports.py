@@ -76,7 +76,7 @@ def i8(spark, d):
 
 @query("i9_block_bootstrap_ci")
 def i9(spark, d):
-    return C.bootstrap_ci(_pairs(spark, d), 1.0, 6, 1, [0.0, 0.001, 0.002])
+    return C.bootstrap_ci(_pairs(spark, d), 1.0)
 
 
 def _by_component(locs, tau):
@@ -86,13 +86,13 @@ def _by_component(locs, tau):
 
 @query("i10_estimate_tau")
 def i10(spark, d):
-    e = C.estimate_tau(fx.locs(spark, d), _by_component, 0.004, most=1, grid=_TAUS)
+    e = C.estimate_tau(fx.locs(spark, d), _by_component)
     return spark.createDataFrame([(float(e["tau"]), e["censored"], len(e["path"]))], "tau double, censored boolean, steps int")
 
 
 @query("i11_estimate_tau_axis")
 def i11(spark, d):
-    e = C.estimate_tau_axis(fx.locs(spark, d), _by_component, 0.004, most=1, grid=_TAUS[:4])
+    e = C.estimate_tau_axis(fx.locs(spark, d), _by_component)
     return spark.createDataFrame([(float(e["tau_x"]), float(e["tau_y"]))], "tau_x double, tau_y double")
 
 

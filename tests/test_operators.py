@@ -140,3 +140,17 @@ def test_sampled_emitters_are_a_consensus(spark, monkeypatch):
     monkeypatch.setattr(grouping, "dedup_boundary", lambda em, margin: em)
     out = grouping.group_localizations(m, GroupingConfig(sampler="gibbs", chains=2)).collect()
     assert sorted(r["n"] for r in out) == [2, 2]
+
+
+def test_registered_queries_keep_the_operators_defaults(spark, many_pairs, monkeypatch):
+    calls = []
+
+    def record(*args, **kwargs):
+        calls.append((args, kwargs))
+        raise StopIteration
+
+    for f, module, name, n in [(reports.i9, reports.C, "bootstrap_ci", 2), (reports.i10, reports.C, "estimate_tau", 2), (reports.i11, reports.C, "estimate_tau_axis", 2), (chains.h5, chains.H, "mapn_collapsed", 2), (chains.h7, chains.H, "mapn_collapsed", 3), (chains.h4, chains.H, "median_refine", 2)]:
+        monkeypatch.setattr(module, name, record)
+        with pytest.raises(StopIteration):
+            f(spark, many_pairs)
+        assert len(calls[-1][0]) == n and not calls[-1][1], name
