@@ -1,22 +1,30 @@
 """N-gram Jaccard join with parity sketches.
 
 A document is the set of its distinct shingles. Two sets of sizes a and b are alike enough only if their symmetric
-difference is at most ``d = (1-t)/(1+t) (a+b)``. Shingles are dealt by hash to P > d parts of 64 bits; a part's bits
-are the parities of its shingles, XORed, so the Hamming distance of two sketches never exceeds the symmetric
-difference. With P > d parts, at least one part has no difference at all (pigeonhole): sets that are alike meet in
-an equal part. Sets are compared within bands of size, each with a P of its own, a power of two.
-
-A part that is empty in both sets says nothing. A set with so many empty parts that all its agreeing parts might be
-empty ones is sketched again with another hash, until it isn't; of two alike sets either one is fine, or both go on.
-
-Groups that share a part are never expanded into all pairs: a task compares their members' sketches and gives out
-just pairs within the bound that connect two components of the group, which are verified exactly. Pairs that fail are
-left out in the next round, and rounds go on until a group has no pair within the bound between two components. So
-no link between different components is missed, and the pairs are about as many as the members.
+difference is at most ``d = (1-t)/(1+t) (a+b)``. A set's sketch has P parts of 2**64 parity bits: every shingle flips
+the bit of its hash in the part that the hash chooses, so the Hamming distance of two sketches, and all the more the
+number of parts in which they differ, is never more than the symmetric difference. Of so wide a part only the few odd
+bits are known; the XOR of their names stands for them. With P > d parts, at least P - d parts have no difference at
+all (pigeonhole): sets that are alike meet in equal parts. Sets are compared within bands of size; each band has a P
+of its own, somewhat more than its largest d, so that alike sets share several parts and not just one.
+
+* Equal sets are one node. Texts of nodes that share no part with another node aren't looked at again.
+* A part that is empty in both sets says nothing. If P - d is no more than a set's empty parts, the set is sketched
+  again with another hash, until it is; of two alike sets either one is fine, or both go on.
+* A node needs at least ``need`` = P - d - (its empty parts) shared parts. Of those it has, ordered by how many nodes
+  share them, all but the last ``need - 1`` are kept: two alike nodes still meet in their rarest common part. Nodes
+  of unlike texts that share a passage have one such part or two, and drop out here.
+* In each remaining group every node is tied to the group's first. The strongest tie of each node is verified on
+  whole sets; the ties that hold make components.
+* A group is open while a member's component isn't that of the group's first. Such members are compared with all
+  others of the group: by Hamming distance of dense sketches of parity bits (each is folded from the set in the task),
+  then on whole sets. So no link between different components is missed, and pairs within one aren't all listed.
+  A group is cut into blocks of bounded size, and each two blocks with such a member meet in a task of their own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +33,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._common import documents, keyed, settle
+from ._common import bitmap, documents, keyed, maybe, row_key, settle
 
 SHINGLE, SHARE = 4, (85, 100)  # link when 100 * intersection >= 85 * union
 SEEDS = 24
+BLOCK = 1 << 20  # shingles of a block; only one larger set makes a larger block
+
+#: Largest difference of each band; the steps are about the square root of 2.
+BANDS = [0, 1, 2, 3, 4]
+while BANDS[-1] < 1 << 40:
+    BANDS.append(BANDS[-1] * 7 // 5 + 1)
 
 
 def _most(a: int, b: int, share: tuple[int, int]) -> int:
@@ -37,52 +51,57 @@ def _most(a: int, b: int, share: tuple[int, int]) -> int:
     return (den - num) * (a + b) // (den + num)
 
 
-def levels(n: int, share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Bands that a set of n shingles takes part in: (log2 of the number of parts, parts that surely agree).
+def _parts(band: int) -> int:
+    return BANDS[band] + 2 + BANDS[band] * 3 // 20
+
+
+def levels(n: int, share: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """Bands that a set of n shingles takes part in: (band, parts, parts that surely agree).
 
-    A pair goes by its larger set, whose level is the least power of two above its largest difference; a set joins
-    the levels of every larger set that it could be alike to.
+    A pair goes by its larger set, whose band is that of its largest difference; a set joins the bands of every
+    larger set that it could be alike to. In a band without differences only equal sets are alike, which are one node.
     """
     num, den = share
 
-    def level(b: int) -> int:
-        return _most(b, b, share).bit_length()
+    def band(b: int) -> int:
+        return bisect_left(BANDS, _most(b, b, share))
 
     top, out = n * den // num, []
-    for lv in range(level(n), level(top) + 1):
-        low, high = n, top  # the largest b in [n, top] of this level
+    for lv in range(band(n), band(top) + 1):
+        low, high = n, top  # the largest b in [n, top] of this band
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if level(mid) <= lv else (low, mid - 1)
-        out.append((lv, (1 << lv) - _most(n, low, share)))
+            low, high = (mid, high) if band(mid) <= lv else (low, mid - 1)
+        if BANDS[lv]:
+            out.append((lv, _parts(lv), _parts(lv) - _most(n, low, share)))
     return out
 
 
-_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _SALT = [W.mix(np.array([1000 + j], np.uint64))[0] for j in range(SEEDS)]
 
 
-def sketch_parts(shingles: np.ndarray, share: tuple[int, int], plans: dict) -> np.ndarray:
-    """Signatures of the parts of one set, over its bands: equal where a part of equal sketches is equal."""
+def sketch_parts(shingles: np.ndarray, share: tuple[int, int], plans: dict) -> list[tuple[int, int, np.ndarray]]:
+    """(band and seed, parts needed, names of its parts) of one sorted set: equal where a part of equal sketches is."""
     n, out = len(shingles), []
     plan = plans.get(n)
     if plan is None:
         plan = plans[n] = levels(n, share)
-    for level, sure in plan:
+    for band, count, sure in plan:
         for seed in range(SEEDS):
             h = shingles if seed == 0 else np.sort(W.mix(shingles ^ _SALT[seed]))
-            part = h >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
+            part = ((h >> W.U(32)) * W.U(count)) >> W.U(32)
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            parity = np.bitwise_xor.reduceat(_BITS[(h & np.uint64(63)).astype(np.int64)], at)
-            whole = np.bitwise_xor.reduceat(W.mix(h), at)
-            name = part[at] + np.uint64(level * SEEDS + seed + 1) * np.uint64(1 << 40)
-            out.append(W.mix(W.mix(parity ^ W.mix(name)) + whole))
-            if (1 << level) - len(at) < sure:  # fewer empty parts than parts that surely agree: one of those is full
+            odd = np.bitwise_xor.reduceat(W.mix(h), at)
+            names = W.mix(odd ^ W.mix(part[at] + W.U(band * SEEDS + seed + 1) * W.U(1 << 40)))
+            need = sure - (count - len(at))
+            if need > 0:
+                out.append((band * SEEDS + seed, need, names))
                 break
+            out.append((band * SEEDS + seed, 1, names))
         else:  # never seen: then an empty part may count
-            empty = np.setdiff1d(np.arange(1 << level, dtype=np.uint64), part)
-            out.append(W.mix(empty + np.uint64(level + 1) * np.uint64(1 << 50)))
-    return np.concatenate(out)
+            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part)
+            out.append((band * SEEDS + SEEDS - 1, 1, W.mix(empty + W.U(band + 1) * W.U(1 << 50))))
+    return out
 
 
 def _sets(buf: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -95,201 +114,190 @@ def _sets(buf: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(h[new], np.searchsorted(doc[new], np.arange(1, len(at) - 1))) if len(at) > 1 else []
 
 
+def _name(shingles: np.ndarray) -> int:
+    """The hash that stands for a whole set; that of an empty one is 0."""
+    return int(np.bitwise_xor.reduce(W.mix(shingles + W.U(5))).view(np.int64)) if len(shingles) else 0
+
+
 def _batch(schema: str, cols: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
+    return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split("; ")])
+
 
+_SENT = "sig long; node long; tag long; doc struct<_id:bigint,_th:bigint,n:int>"
 
-def _meeting(rows: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """_id, _th, n: the set size of every document (n not null), and ids that share a part with another document.
 
-    Documents of one slice that share a part are found there, and one of them stands for all in the shuffle, so a
-    part that very many documents have sends one row a slice. Such an id is sent twice under a key of its own.
+def _scan(rows: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """One row for each part of each set (sig, node, tag = band, seed and need), and one for each document (node, doc).
+
+    Equal sets of one task send their parts once.
     """
-    schema = "key long, _id long, _th int, n int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict = {}
+        sent: set[int] = set()  # of one task, so no more than the documents of an input split
         for b in batches:
             for lo, hi, buf, at in W.slices(b.column("_text"), 2 * W.SLICE):
                 sets = _sets(buf, at, n)
-                found = [sketch_parts(s, share, plans) if len(s) else s for s in sets]
-                doc = np.repeat(np.arange(hi - lo), [len(f) for f in found])
-                sig = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                order = np.argsort(sig, kind="stable")
-                sig, doc = sig[order], doc[order]
-                new = np.ones(len(sig), bool)
-                new[1:] = sig[1:] != sig[:-1]
-                group = np.cumsum(new) - 1
-                met = np.unique(doc[np.bincount(group, minlength=1)[group] > 1]) if len(sig) else doc
-                own = W.mix((met + lo).astype(np.uint64) ^ (sig[:1] if len(sig) else W.U(0)))
-                every = np.arange(hi - lo)
-                sent = np.concatenate([sig[new], own, own, W.mix(every.astype(np.uint64))]).view(np.int64)
-                pick = pa.array(np.concatenate([doc[new], met, met, every]) + lo)
-                plain = len(sent) - (hi - lo)
-                sizes = pa.array(np.concatenate([np.zeros(plain, np.int32), np.array([len(x) for x in sets], np.int32)]), mask=np.arange(len(sent)) < plain)
-                names = b.column("_th").take(pick)
-                yield _batch(schema, [pa.array(sent), b.column("_id").take(pick), pa.array(np.where(np.arange(len(sent)) < plain, 0, names.to_numpy(zero_copy_only=False)).astype(np.int32)), sizes])
-
-    sent = rows.select("_id", "_th", "_text").mapInArrow(scan, schema)
-    w = Window.partitionBy("key", F.col("n").isNull())
-    seen = sent.withColumn("k", F.count("*").over(w)).filter("n is not null or k > 1").select("_id", "_th", "n")
-    return settle(seen, "meeting")
-
-
-WORDS = 16  # a set's own sketch: so many words of 64 parities
-_NODE = "_id long, _th int, node binary, n int, sketch binary, text string"
-
-
-def _as_nodes(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Candidate documents with their set's 128-bit name, its size and a sketch of 1024 parities."""
-    none = F.lit(-(1 << 63))  # stands for a null id, so that the join is a plain equality
-    keyed_rows = rows.select("_id", "_th", "_text", F.coalesce("_id", none).alias("_jid"))
-    both = keyed_rows.join(ids.select(F.coalesce("_id", none).alias("_jid")).distinct(), "_jid", "left_semi")
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                names = np.array([_name(s) for s in sets], np.int64)
+                sig, node, tag = [], [], []
+                for s, name in zip(sets, names.tolist(), strict=True):
+                    if len(s) and name not in sent:
+                        sent.add(name)
+                        for code, need, parts in sketch_parts(s, share, plans):
+                            sig.append(parts)
+                            node.append(np.full(len(parts), name, np.int64))
+                            tag.append(np.full(len(parts), code << 32 | need, np.int64))
+                one = W.mix(names.view(np.uint64) ^ W.mix(np.arange(lo, hi, dtype=np.uint64)))  # keys of the documents' own rows
+                plain = sum(map(len, sig))
+                none = np.zeros(plain, np.int64)
+                ids = pa.concat_arrays([pa.nulls(plain, pa.int64()), b.column("_id").slice(lo, hi - lo)])
+                hashes = pa.concat_arrays([pa.array(none), b.column("_th").slice(lo, hi - lo)])
+                sizes = pa.array(np.concatenate([none, [len(s) for s in sets]]).astype(np.int32))
+                doc = pa.StructArray.from_arrays([ids, hashes, sizes], ["_id", "_th", "n"], mask=pa.array(np.arange(plain + hi - lo) < plain))
+                yield _batch(_SENT, [pa.array(np.concatenate([*sig, one]).view(np.int64)), pa.array(np.concatenate([*node, names])), pa.array(np.concatenate([*tag, np.zeros(hi - lo, np.int64)])), doc])
+
+    return rows.select("_id", "_th", "_text").mapInArrow(scan, _SENT.replace("; ", ", "))
+
+
+def _meeting(sent: DataFrame) -> DataFrame:
+    """Rows of documents, and of parts that two nodes or more share, with k, about the number of these."""
+    w = Window.partitionBy("sig")
+    marked = sent.withColumns({"k": F.count("*").over(w), "other": F.min("node").over(w) != F.max("node").over(w)})
+    return settle(marked.filter("doc is not null or other").select("sig", "node", "tag", "doc", "k"), "meeting")
+
+
+def _groups(met: DataFrame) -> DataFrame:
+    """sig, node, first (the group's least node) of the parts that nodes keep and still share with others."""
+    shared = met.filter("doc is null").dropDuplicates(["sig", "node"])
+    w = Window.partitionBy("node", F.shiftright("tag", 32)).orderBy(F.desc("k"), "sig")
+    kept = shared.withColumn("r", F.row_number().over(w)).filter("r >= (tag & 4294967295)").select("sig", "node")
+    w = Window.partitionBy("sig")
+    both = kept.withColumns({"first": F.min("node").over(w), "last": F.max("node").over(w)})
+    return settle(both.filter("first != last").select("sig", "node", "first"), "groups")
+
+
+def _nodes(rows: DataFrame, firsts: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """node, n, shingles of the nodes that are in groups, each read from its first document."""
+    wanted = groups.select("node").distinct().join(firsts, "node").select("node", row_key().alias("key"))
+    wanted = settle(wanted, "wanted")
+    few = maybe(rows, bitmap(wanted)).withColumn("key", row_key()).join(wanted, "key").select("node", "_text")
+    schema = "node long; n int; shingles binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, at in W.slices(b.column("_text")):
-                names, sizes, sketches = [], [], []
-                for s in _sets(buf, at, n):
-                    two = [np.bitwise_xor.reduce(W.mix(s + np.uint64(k))) if len(s) else np.uint64(0) for k in (5, 6)]
-                    names.append(np.array(two, "<u8").tobytes())
-                    sizes.append(len(s))
-                    odd = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-                    sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                cols = [b.column("_id").slice(lo, hi - lo), b.column("_th").slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), b.column("_text").slice(lo, hi - lo)]
-                yield _batch(_NODE, cols)
+                sets = _sets(buf, at, n)
+                yield _batch(schema, [b.column("node").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())])
 
-    return both.select("_id", "_th", "_text").mapInArrow(name, _NODE)
+    found = few.mapInArrow(cut, schema.replace("; ", ", "))
+    return settle(found.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "nodes")
 
 
-def _groups(nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """sig, nid, k, p, q, x of the nodes that share a part: its members' number, least, greatest and XORed hash."""
-    schema = "sig long, nid long"
+def alike(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
+    """Whether two sorted sets are."""
+    num, den = share
+    if min(len(a), len(b)) * den < max(len(a), len(b)) * num:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return den * common >= num * (len(a) + len(b) - common)
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Those of the pairs a, b whose whole sets are alike."""
+    sets = nodes.select("node", "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+    schema = "a long, b long"
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict = {}
-        for b in batches:
-            for lo, hi, buf, at in W.slices(b.column("text")):
-                found = [sketch_parts(s, share, plans) if len(s) else s for s in _sets(buf, at, n)]
-                doc = np.repeat(np.arange(hi - lo), [len(f) for f in found])
-                sig = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                yield _batch(schema, [pa.array(sig.view(np.int64)), b.column("nid").take(pa.array(doc + lo))])
-
-    out = "sig long, nid long, k long, p long, q long, x long"
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(sig: np.ndarray, nid: np.ndarray) -> pa.RecordBatch:
-            at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-            k = np.diff(np.append(at, len(sig)))
-            if len(at):
-                low, high, x = nid[at], nid[at + k - 1], np.bitwise_xor.reduceat(W.mix(nid.astype(np.uint64) + W.U(1)), at).view(np.int64)
-            else:
-                low = high = x = nid
-            rows = np.repeat(k > 1, k)
-            wide = lambda v: pa.array(np.repeat(v, k)[rows])
-            return _batch(out, [pa.array(sig[rows]), pa.array(nid[rows]), wide(k), wide(low), wide(high), wide(x)])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, nid = b.column("sig").to_numpy(), b.column("nid").to_numpy()
-            if not len(sig):
-                continue
-            cut = int(np.searchsorted(sig, sig[-1]))  # the last group may go on in the next batch
-            if cut or (held and held[-1][0][-1] != sig[0]):
-                before = [*held, (sig[:cut], nid[:cut])]
-                yield done(np.concatenate([x[0] for x in before]), np.concatenate([x[1] for x in before]))
-                held = []
-            held.append((sig[cut:], nid[cut:]))
-        if held:
-            yield done(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-
-    parts = nodes.select("nid", "text").mapInArrow(scan, schema)
-    return parts.repartition("sig").sortWithinPartitions("sig", "nid").mapInArrow(gather, out)
+            good = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share) for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, schema)
+
+
+def dense(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The set's sketch of so many parity bits, a power of two of 64 or more."""
+    odd = np.bincount((shingles & W.U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def forest(rows: list[tuple], share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Pairs of a group's members (nid, n, component, sketch, failed) that may be alike and join its components.
+    """Links between components of a block's rows (node, component, shingles, looks, home).
 
-    A member is compared with all members of other components at once, by the Hamming distance of their sketches;
-    of each component the nearest one within the bound is given out, and none that has failed before. Once the
-    members outside the largest component have all been compared, every pair of two components has been.
+    Each row that ``looks`` is compared with every row that is at ``home`` and not of its component by then: by the
+    Hamming distance of their sketches, and on whole sets where that allows it. Components that a link joins are one
+    from there on, so pairs within one aren't listed.
     """
     num, den = share
-    nid = np.array([r[0] for r in rows], np.int64)
-    size = np.array([r[1] for r in rows], np.int64)
-    comp = np.unique([r[2] for r in rows], return_inverse=True)[1]
-    bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), WORDS)
-    place = {v: k for k, v in enumerate(nid.tolist())}
-    seen, out, i = np.zeros(len(rows), bool), [], 0
-    while True:
-        seen[i] = True
-        other = np.flatnonzero(comp != comp[i])
+    sets = [r[2] for r in rows]
+    size = np.array([len(s) for s in sets], np.int64)
+    comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    home = np.array([r[4] for r in rows], bool)
+    widest = _most(int(size.max()), int(size.max()), share) * 16
+    bits = np.stack([dense(s, max(64, 1 << min(16, widest.bit_length()))) for s in sets])
+    out = []
+    for i in [i for i, r in enumerate(rows) if r[3]]:
+        other = np.flatnonzero(home & (comp != comp[i]))
         other = other[np.minimum(size[other], size[i]) * den >= np.maximum(size[other], size[i]) * num]
+        if not len(other):
+            continue
         far = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
         near = far * (den + num) <= (den - num) * (size[other] + size[i])
-        other, far = other[near], far[near]
-        if rows[i][4] and len(other):
-            fresh = ~np.isin(other, [place[f] for f in rows[i][4] if f in place])
-            other, far = other[fresh], far[fresh]
-        if len(other):
-            other = other[np.argsort(far, kind="stable")]
-            names, first = np.unique(comp[other], return_index=True)
-            out += [(min(a, b), max(a, b)) for a, b in zip(nid[other[first]].tolist(), [int(nid[i])] * len(first), strict=True)]
-            comp[np.isin(comp, names)] = comp[i]
-        left = np.flatnonzero(~seen & (comp != np.bincount(comp).argmax()))
-        if not len(left):
-            return out
-        i = int(left[0])
-
-
-def _forests(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs a, b of every group (key; nid, n, component, sketch, failed), as ``forest`` gives them."""
-    schema = "a long, b long"
+        for j in other[near][np.argsort(far[near], kind="stable")].tolist():
+            if comp[j] != comp[i] and alike(sets[i], sets[j], share):
+                out.append((rows[i][0], rows[j][0]))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _open(groups: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, component, looks, home: the blocks in which members of open groups meet."""
+    known = settle(nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")), "known")
+    main = known.select(F.col("node").alias("first"), F.col("component").alias("main"))
+    now = groups.join(known, "node").join(main, "first").withColumn("apart", F.col("component") != F.col("main"))
+    weight = F.col("n").cast("long")
+    sums = now.groupBy("sig").agg(F.sum(weight).alias("whole"), F.sum(F.when(F.col("apart"), weight)).alias("part"), F.count("*").alias("k"), F.min("first").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    # groups with the same members are one
+    one = sums.filter("part is not null").groupBy("whole", "part", "k", "a", "b", "x").agg(F.min("sig").alias("sig"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    one = one.select("sig", blocks("whole").alias("homes"), blocks("part").alias("looks"))
+    dealt = now.select("sig", "node", "component", "apart").join(one, "sig")
+    dealt = dealt.withColumns({"at": F.pmod(F.xxhash64("node"), "homes").cast("int"), "as": F.when(F.col("apart"), F.pmod(F.xxhash64("node", F.lit(1)), "looks").cast("int"))})
+    # a member is at home in one block, and looks, if it is apart, into every one
+    there = F.transform(F.sequence(F.lit(0), F.col("looks") - 1), lambda i: F.struct(i.alias("i"), F.col("at").alias("j")))
+    gone = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda j: F.struct(F.col("as").alias("i"), j.alias("j")))
+    each = F.explode(F.when(F.col("apart"), F.array_union(there, gone)).otherwise(there)).alias("m")
+    met = dealt.select("sig", "node", "component", "at", "as", each)
+    key = F.xxhash64("sig", "m.i", "m.j").alias("key")
+    return settle(met.select(key, "node", "component", (F.col("m.i").eqNullSafe(F.col("as"))).alias("looks"), (F.col("m.j") == F.col("at")).alias("home")), "blocks")
+
+
+def _across(blocks: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links a, b between different components of open groups."""
+    schema = "a long; b long"
+    names = ("key", "node", "component", "shingles", "looks", "home")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
-        names = ("key", "nid", "n", "component", "sketch", "failed")
-        for b in batches:
-            out = []
-            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                if row[0] != last:
-                    out += forest(held, share) if len(held) > 1 else []
-                    held, last = [], row[0]
-                held.append(row[1:])
-            yield _batch(schema, [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)])
-        out = forest(held, share) if len(held) > 1 else []
-        yield _batch(schema, [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)])
-
-    return members.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(grow, schema)
 
+        def done() -> pa.RecordBatch:
+            found = forest(held, share) if len(held) > 1 else []
+            return _batch(schema, [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)])
 
-def _verify(pairs: DataFrame, nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """a, b, alike: whether the whole sets of two nodes are alike."""
-    num, den = share
-    texts = nodes.select("nid", "text")
-    both = pairs.join(texts.withColumnsRenamed({"nid": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"nid": "b", "text": "tb"}), "b")
-    schema = "a long, b long, alike boolean"
+        for b in batches:
+            for row in zip(*(b.column(c) for c in names), strict=True):
+                key = row[0].as_py()
+                if key != last:
+                    yield done()
+                    held, last = [], key
+                held.append((row[1].as_py(), row[2].as_py(), np.frombuffer(row[3].as_buffer(), np.uint64), row[4].as_py(), row[5].as_py()))
+        yield done()
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ours = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            left: list[np.ndarray] = []
-            for _, _, buf, at in W.slices(batch.column("ta")):
-                left += _sets(buf, at, n)
-            good = np.zeros(len(a), bool)
-            tb = batch.column("tb")
-            for i in range(len(a)):
-                if b[i] != last:
-                    _, _, buf, at = next(W.slices(tb.slice(i, 1)))
-                    last, ours = b[i], _sets(buf, at, n)[0]
-                both = np.concatenate([left[i], ours])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good[i] = den * common >= num * (len(left[i]) + len(ours) - common)
-            yield _batch(schema, [pa.array(a), pa.array(b), pa.array(good)])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, schema)
+    whole = blocks.join(nodes.select("node", "shingles"), "node").select(*names)
+    return whole.repartition("key").sortWithinPartitions("key", "node").mapInArrow(grow, schema.replace("; ", ", "))
 
 
 def connect(links: DataFrame, name: str = "components") -> DataFrame:
@@ -315,64 +323,12 @@ def connect(links: DataFrame, name: str = "components") -> DataFrame:
         edges = after
 
 
-CROWD = 4096  # members of a group that meet in one task; larger groups are compared block by block
-
-
-def similar_sets(nodes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """nid, component of the nodes (distinct sets; nid, n, sketch, text) that are alike to others."""
-    num, den = share
-    shared = settle(_groups(nodes, n, share), "groups")
-    # groups with the same members are one; those of two are a pair
-    pairs = shared.filter("k = 2").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    one = shared.filter("k > 2").groupBy("k", "p", "q", "x").agg(F.min("sig").alias("sig")).select("sig", "k")
-    left = settle(shared.filter("k > 2").select("sig", "nid").join(one, "sig"), "members")
-    facts = nodes.select("nid", "n", "sketch")
-    both = pairs.join(facts.withColumnsRenamed({"nid": "a", "n": "na", "sketch": "sa"}), "a").join(facts.withColumnsRenamed({"nid": "b", "n": "nb", "sketch": "sb"}), "b")
-    pairs = _within(both, share).select("a", "b")
-    links = failed = None
-    labels = nodes.sparkSession.createDataFrame([], "nid long, component long")
-    while True:
-        now = left.join(labels, "nid", "left").select("sig", "nid", "k", F.coalesce("component", "nid").alias("component"))
-        open_ = settle(now.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("sig"), "open")
-        now = now.join(open_, "sig").join(facts, "nid")
-        if failed is None:
-            now = now.withColumn("failed", F.array().cast("array<bigint>"))
-        else:
-            bad = failed.groupBy(F.col("a").alias("nid")).agg(F.collect_list("b").alias("failed"))
-            now = now.join(bad, "nid", "left")
-        # a large group's blocks: every two blocks meet under a key of their own
-        blocks = F.ceil(F.col("k") / (CROWD // 2)).cast("int")
-        block = F.pmod(F.xxhash64("nid"), blocks).cast("int")
-        twos = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("sig", F.least(block, j), F.greatest(block, j)))
-        key = F.explode(F.when(F.col("k") > CROWD, twos).otherwise(F.array("sig")))
-        found = _forests(now.select(key.alias("key"), "nid", "n", "component", "sketch", "failed"), share)
-        todo = found.distinct() if links is not None else found.unionByName(pairs).distinct()
-        checked = settle(_verify(todo, nodes, n, share), "checked")
-        if links is not None and not checked.take(1):
-            return labels
-        good, bad = checked.filter("alike").select("a", "b"), checked.filter("not alike").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        # both directions, as either one may be the row that looks
-        bad = bad.unionByName(bad.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        failed = bad if failed is None else failed.unionByName(bad)
-        labels = connect(links).withColumnRenamed("node", "nid")
-
-
-def _within(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (na, nb, sa, sb) whose sizes and sketches allow that they are alike."""
-    num, den = share
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("sa", "sb"))
-            far = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
-            yield b.filter(pa.array((np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (far * (den + num) <= (den - num) * (na + nb))))
-
-    return pairs.mapInArrow(near, schema)
+def similar_sets(groups: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """node, component of the nodes that are alike to others."""
+    ties = groups.filter("node != first").groupBy("node", "first").count().groupBy("node").agg(F.max_by("first", F.struct("count", "first")).alias("first"))
+    links = settle(_verify(ties.select(F.col("first").alias("a"), F.col("node").alias("b")), nodes, share), "ties")
+    blocks = _open(groups, nodes, connect(links))
+    return connect(links.unionByName(_across(blocks, nodes, share)))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,39 +337,39 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int
     component_id is the smallest id reachable by links, itself included. A text with fewer words than a shingle has
     one, its whole sequence; a null, empty or blank text has none and links with nothing. Equal sets are alike. Rows
     with equal ids are documents of their own; a null id has a null component unless it is linked to others. Every
-    row of the input gives one row; other columns are ignored; an empty table gives an empty one.
+    row of the input gives one row; other columns are ignored; an empty table gives an empty one. Very long texts are
+    worked on whole, one at a time.
     """
     rows = keyed(docs, id_col, text_col)
-    seen = _meeting(rows, shingle, share)
-    members = settle(_as_nodes(rows, seen.filter("n is null"), shingle), "members").filter("n > 0")
-    nodes = members.groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("text").alias("text"))
-    nodes = settle(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    labels = similar_sets(nodes, shingle, share)
-    of_node = nodes.select("node", "nid", "first").join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    met = _meeting(_scan(rows, shingle, share))
+    found = met.filter("doc is not null").select("node", "doc.*")
+    firsts = found.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("first"))
+    groups = _groups(met)
+    nodes = _nodes(rows, firsts.select("node", "first.*"), groups, shingle)
+    labels = similar_sets(groups, nodes, share)
+    of_node = firsts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("first").alias("least"))
-    named = of_node.join(smallest, "component").select("node", "least")
-    by_doc = members.select("_id", "_th", "node").join(named, "node").select(F.col("_id").alias("i"), F.col("_th").alias("t"), "least").distinct()
-    sizes = seen.filter("n is not null").select("_id", "_th", F.col("n").cast("long").alias("n_shingles"))
-    both = sizes.join(by_doc, sizes["_id"].eqNullSafe(by_doc["i"]) & (sizes["_th"] == by_doc["t"]), "left")
-    alone = F.col("least").isNull()
+    named = of_node.select("node", "component").join(smallest, "component").select("node", "least")
+    both = found.join(named, "node", "left")
     least = F.col("least._id").eqNullSafe(F.col("_id")) & (F.col("least._th") == F.col("_th"))
-    return both.select("_id", "_th", "n_shingles", F.coalesce("least._id", "_id").alias("component_id"), (alone | least).alias("stays"))
+    return both.select("_id", "_th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least._id", "_id").alias("component_id"), ((F.col("n") == 0) | least).alias("stays"))
 
 
 def jaccard_dedup(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those linked to another: of each component the one with the smallest id stays, once.
 
-    Texts without a word are linked with nothing and all stay.
+    Texts without a word are linked with nothing and all stay. Rows that are listed once and stay are filtered where
+    they are; the others are few, or go through a join.
     """
     cols = docs.columns
-    found = jaccard_components(docs, shingle, share, id_col, text_col)
-    none = F.lit(-(1 << 63))  # stands for a null id, so that joins are plain equalities
-    gone = found.filter("not stays").select(F.coalesce("_id", none).alias("_jid"), "_th").distinct()
-    rows = keyed(docs, id_col, text_col, cols).withColumn("_jid", F.coalesce("_id", none))
-    rows = rows.withColumn("_blank", F.coalesce(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "") == "", F.lit(True)))
-    left = rows.join(gone, ["_jid", "_th"], "left_anti")
-    once = left.filter("not _blank").dropDuplicates(["_jid", "_th"])
-    return once.unionByName(rows.filter("_blank")).select("_carry.*")
+    found = settle(jaccard_components(docs, shingle, share, id_col, text_col), "found").filter("n_shingles > 0")
+    marked = found.groupBy("_id", "_th").agg(F.max("stays").alias("stays"), F.count("*").alias("k")).filter("not stays or k > 1")
+    marked = settle(marked.select(row_key().alias("key"), "stays"), "marked")
+    rows, bits = keyed(docs, id_col, text_col, cols), bitmap(marked)
+    other = maybe(rows, bits).withColumn("key", row_key()).join(marked, "key", "left")
+    once = other.filter("stays").dropDuplicates(["key"])
+    stay = maybe(rows, bits, False).select("_carry").unionByName(other.filter("stays is null").select("_carry")).unionByName(once.select("_carry"))
+    return stay.select("_carry.*")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def _batch(schema: str, cols: list) -> pa.RecordBatch:
 
 def anchors(rows: DataFrame, threshold: int, anchor: int) -> DataFrame:
     """One row per context of every document: h (anchor), c (context), _id, _th, at, len."""
-    schema = "h long, c long, _id long, _th int, at int, len int"
+    schema = "h long, c long, _id long, _th long, at int, len int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

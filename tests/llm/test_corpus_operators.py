@@ -112,9 +112,9 @@ def components(rows, n, num, den):
     return sets, [least[g] for g in group], group
 
 
-@pytest.mark.parametrize("crowd", [4096, 2])
-def test_jaccard_join(docs, empty, crowd, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+@pytest.mark.parametrize("block", [1 << 20, 150])
+def test_jaccard_join(docs, empty, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = [r for r in corpus() if r[0] is not None]
     sets, want, group = components(rows, 4, 85, 100)
     got = jaccard_join.jaccard_components(docs.filter("doc_id is not null")).collect()
@@ -127,11 +127,42 @@ def test_jaccard_join(docs, empty, crowd, monkeypatch):
     assert jaccard_join.jaccard_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20_000])
+def test_jaccard_join_on_a_crowd(spark, block, monkeypatch):
+    """5,000 near copies of one text, of which many pairs are just alike or just not."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        for at in rng.choice(60, rng.integers(0, 7), replace=False):
+            words[at] = f"e{rng.integers(40)}"
+        rows.append((i, " ".join(words)))
+    names: dict = {}
+    sets = [{names.setdefault(tuple(w[j : j + 4]), len(names)) for j in range(57)} for w in (t.split() for _, t in rows)]
+    has = np.zeros((5000, len(names)), np.float32)
+    for i, found in enumerate(sets):
+        has[i, list(found)] = 1
+    size = has.sum(1)
+    common = has @ has.T
+    link = 100 * common >= 85 * (size[:, None] + size[None] - common)
+    want = np.arange(5000)
+    while True:
+        after = np.where(link, want[None], 5000).min(1)
+        if (after == want).all():
+            break
+        want = after
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert [w for _, w in sorted((r["_id"], r["component_id"]) for r in got)] == want.tolist()
+    assert len(set(want.tolist())) > 10
+
+
 def test_sketch_bounds_and_levels():
     share = (85, 100)
     for n in (1, 5, 12, 60, 500, 4000):
-        for level, sure in jaccard_join.levels(n, share):
-            assert sure >= 1 and (1 << level) > 0
+        for _, parts, sure in jaccard_join.levels(n, share):
+            assert 1 <= sure <= parts
     rng = np.random.default_rng(0)
     plans = {}
     for n in (7, 20, 100, 600):
@@ -141,7 +172,9 @@ def test_sketch_bounds_and_levels():
             b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             if 100 * common >= 85 * (len(a) + len(b) - common):
-                assert len(np.intersect1d(jaccard_join.sketch_parts(a, share, plans), jaccard_join.sketch_parts(b, share, plans)))
+                ours, theirs = ({code: (need, names) for code, need, names in jaccard_join.sketch_parts(x, share, plans)} for x in (a, b))
+                met = [(len(np.intersect1d(ours[c][1], theirs[c][1])), ours[c][0], theirs[c][0]) for c in ours if c in theirs]
+                assert any(m >= max(x, y) for m, x, y in met)  # as many common parts as either one needs
 
 
 def test_fingerprints(docs, empty):
