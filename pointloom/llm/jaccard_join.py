@@ -17,9 +17,11 @@ of its own, somewhat more than its largest d, so that alike sets share several p
 * In each remaining group every node is tied to the group's first. The strongest tie of each node is verified on
   whole sets; the ties that hold make components.
 * A group is open while a member's component isn't that of the group's first. Such members are compared with all
-  others of the group: by Hamming distance of dense sketches of parity bits (each is folded from the set in the task),
-  then on whole sets. So no link between different components is missed, and pairs within one aren't all listed.
-  A group is cut into blocks of bounded size, and each two blocks with such a member meet in a task of their own.
+  others of the group by the Hamming distance of dense sketches of parity bits. A group without a pair within the bound
+  is done. Of the others, pairs that would join the group's components are verified on whole sets; groups that have
+  a pair within the bound between two components even then are compared on whole sets. So no link between different
+  components is missed, and pairs within one aren't all listed. A group is cut into blocks of bounded size, and each two blocks with such a
+  member meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -176,21 +178,21 @@ def _groups(met: DataFrame) -> DataFrame:
     return settle(both.filter("first != last").select("sig", "node", "first"), "groups")
 
 
-def _nodes(rows: DataFrame, firsts: DataFrame, groups: DataFrame, n: int) -> DataFrame:
-    """node, n, shingles of the nodes that are in groups, each read from its first document."""
+def _nodes(rows: DataFrame, firsts: DataFrame, groups: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """node, n, sketch, shingles of the nodes that are in groups, each read from its first document."""
     wanted = groups.select("node").distinct().join(firsts, "node").select("node", row_key().alias("key"))
     wanted = settle(wanted, "wanted")
     few = maybe(rows, bitmap(wanted)).withColumn("key", row_key()).join(wanted, "key").select("node", "_text")
-    schema = "node long; n int; shingles binary"
+    schema = "node long; n int; sketch binary; shingles binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, at in W.slices(b.column("_text")):
                 sets = _sets(buf, at, n)
-                yield _batch(schema, [b.column("node").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())])
+                yield _batch(schema, [b.column("node").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([dense(s, share) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())])
 
     found = few.mapInArrow(cut, schema.replace("; ", ", "))
-    return settle(found.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "nodes")
+    return settle(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "shingles")]), "nodes")
 
 
 def alike(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
@@ -218,28 +220,39 @@ def _verify(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataF
     return both.select("a", "b", "sa", "sb").mapInArrow(check, schema)
 
 
-def dense(shingles: np.ndarray, bits: int) -> np.ndarray:
-    """The set's sketch of so many parity bits, a power of two of 64 or more."""
+def dense(shingles: np.ndarray, share: tuple[int, int]) -> bytes:
+    """The set's sketch of parity bits: a power of two of them, 16 times as many as its largest difference or more."""
+    widest = 16 * _most(len(shingles), len(shingles), share)
+    bits = max(64, 1 << min(16, widest.bit_length()))
     odd = np.bincount((shingles & W.U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all as wide as the narrowest: halves of a wider one are XORed."""
+    words, out = min(map(len, sketches)) // 8, []
+    for s in sketches:
+        bits = np.frombuffer(s, np.uint64)
+        while len(bits) > words:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        out.append(bits)
+    return np.stack(out)
 
 
 def forest(rows: list[tuple], share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between components of a block's rows (node, component, shingles, looks, home).
+    """Pairs that join components of a block's rows (node, component, n, sketch, looks, home[, shingles]).
 
     Each row that ``looks`` is compared with every row that is at ``home`` and not of its component by then: by the
-    Hamming distance of their sketches, and on whole sets where that allows it. Components that a link joins are one
-    from there on, so pairs within one aren't listed.
+    Hamming distance of their sketches, and on whole sets where that allows it, if they are given. Components that a
+    pair joins are one from there on, so pairs within one aren't listed.
     """
     num, den = share
-    sets = [r[2] for r in rows]
-    size = np.array([len(s) for s in sets], np.int64)
+    size = np.array([r[2] for r in rows], np.int64)
     comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
-    home = np.array([r[4] for r in rows], bool)
-    widest = _most(int(size.max()), int(size.max()), share) * 16
-    bits = np.stack([dense(s, max(64, 1 << min(16, widest.bit_length()))) for s in sets])
+    home = np.array([r[5] for r in rows], bool)
+    bits = _folded([r[3] for r in rows])
     out = []
-    for i in [i for i, r in enumerate(rows) if r[3]]:
+    for i in [i for i, r in enumerate(rows) if r[4]]:
         other = np.flatnonzero(home & (comp != comp[i]))
         other = other[np.minimum(size[other], size[i]) * den >= np.maximum(size[other], size[i]) * num]
         if not len(other):
@@ -247,7 +260,7 @@ def forest(rows: list[tuple], share: tuple[int, int]) -> list[tuple[int, int]]:
         far = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
         near = far * (den + num) <= (den - num) * (size[other] + size[i])
         for j in other[near][np.argsort(far[near], kind="stable")].tolist():
-            if comp[j] != comp[i] and alike(sets[i], sets[j], share):
+            if comp[j] != comp[i] and (len(rows[i]) == 6 or alike(*(np.frombuffer(rows[x][6], np.uint64) for x in (i, j)), share)):
                 out.append((rows[i][0], rows[j][0]))
                 comp[comp == comp[j]] = comp[i]
     return out
@@ -275,29 +288,27 @@ def _open(groups: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(met.select(key, "node", "component", (F.col("m.i").eqNullSafe(F.col("as"))).alias("looks"), (F.col("m.j") == F.col("at")).alias("home")), "blocks")
 
 
-def _across(blocks: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links a, b between different components of open groups."""
-    schema = "a long; b long"
-    names = ("key", "node", "component", "shingles", "looks", "home")
+def _across(blocks: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """key, a, b: the pairs of every block, as ``forest`` gives them."""
+    schema = "key long; a long; b long"
+    names = blocks.columns
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
 
         def done() -> pa.RecordBatch:
             found = forest(held, share) if len(held) > 1 else []
-            return _batch(schema, [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)])
+            return _batch(schema, [pa.array(x, pa.int64()) for x in ([last] * len(found), [x[0] for x in found], [x[1] for x in found])])
 
         for b in batches:
-            for row in zip(*(b.column(c) for c in names), strict=True):
-                key = row[0].as_py()
-                if key != last:
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if row[0] != last:
                     yield done()
-                    held, last = [], key
-                held.append((row[1].as_py(), row[2].as_py(), np.frombuffer(row[3].as_buffer(), np.uint64), row[4].as_py(), row[5].as_py()))
+                    held, last = [], row[0]
+                held.append(row[1:])
         yield done()
 
-    whole = blocks.join(nodes.select("node", "shingles"), "node").select(*names)
-    return whole.repartition("key").sortWithinPartitions("key", "node").mapInArrow(grow, schema.replace("; ", ", "))
+    return blocks.repartition("key").sortWithinPartitions("key", "node").mapInArrow(grow, schema.replace("; ", ", "))
 
 
 def connect(links: DataFrame, name: str = "components") -> DataFrame:
@@ -328,7 +339,16 @@ def similar_sets(groups: DataFrame, nodes: DataFrame, share: tuple[int, int]) ->
     ties = groups.filter("node != first").groupBy("node", "first").count().groupBy("node").agg(F.max_by("first", F.struct("count", "first")).alias("first"))
     links = settle(_verify(ties.select(F.col("first").alias("a"), F.col("node").alias("b")), nodes, share), "ties")
     blocks = _open(groups, nodes, connect(links))
-    return connect(links.unionByName(_across(blocks, nodes, share)))
+    columns = ["key", "node", "component", "n", "sketch", "looks", "home"]
+    facts = nodes.select("node", "n", "sketch")
+    near = settle(_across(blocks.join(facts, "node").select(*columns), share), "near")
+    links = links.unionByName(settle(_verify(near.select("a", "b").distinct(), nodes, share), "links"))
+    # blocks with pairs that didn't hold: those that have pairs within the bound between today's components
+    now = blocks.join(near.select("key").distinct(), "key").drop("component").join(connect(links), "node", "left")
+    now = settle(now.withColumn("component", F.coalesce("component", "node")), "near-blocks")
+    left = _across(now.join(facts, "node").select(*columns), share).select("key").distinct()
+    whole = now.join(left, "key").join(nodes, "node").select(*columns, "shingles")
+    return connect(links.unionByName(_across(whole, share).select("a", "b")))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,7 +365,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int
     found = met.filter("doc is not null").select("node", "doc.*")
     firsts = found.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("first"))
     groups = _groups(met)
-    nodes = _nodes(rows, firsts.select("node", "first.*"), groups, shingle)
+    nodes = _nodes(rows, firsts.select("node", "first.*"), groups, shingle, share)
     labels = similar_sets(groups, nodes, share)
     of_node = firsts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("first").alias("least"))
