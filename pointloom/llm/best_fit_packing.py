@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,45 +26,64 @@ from ._common import documents, keyed, settle
 
 CAPACITY, END = 4096, 1
 SHARD = 16384  # pieces, as expected
-CACHE = 300_000  # words that a worker remembers
+CACHE, LONG = 300_000, 64  # words that a worker remembers, and the bytes of the longest of them
 
 #: The byte-level alphabet of such vocabularies: printable bytes stand for themselves, the others for 256, 257, ...
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # words whose splits are the same under any version of Unicode
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class _PartIds(dict):
+    """Part of a word (in lower case) -> its ids."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        self.id = [i.to_bytes(4, "little") for i in range(1 << 16)]
+
+    def __missing__(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(map(_BYTE.__getitem__, part.encode()))
+        ids = self[part] = b"".join([self.id[t.id] for t in self.model.tokenize(shown)])
+        return ids
 
 
 class WordIds(dict):
     """Word (bytes) -> its ids, as little-endian 32-bit numbers. White space separates in this vocabulary, so a
-    text's ids are its words' ids in a row. Each different word is encoded once for as long as it is remembered."""
+    text's ids are its words' ids in a row. Each different word is encoded once for as long as it is remembered;
+    long ones aren't."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
+        self.parts = _PartIds(self.whole.model)
 
     def __missing__(self, word: bytes) -> bytes:
+        if len(word) > LONG:
+            return self._whole(word)
+        stem = word.rstrip(b".,;:!?")
+        if stem.isalpha():  # ASCII letters are one part, and so are the signs after them
+            ids = self.parts[stem.decode().lower()]
+            if len(stem) < len(word):
+                ids += self.parts[word[len(stem) :].decode()]
+            self[word] = ids
+            return ids
         text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            parts = self.parts
-            found = []
-            for p in _PIECE.findall(text.lower()):
-                ids = parts.get(p)
-                if ids is None:
-                    shown = "".join(map(_BYTE.__getitem__, p.encode()))
-                    ids = parts[p] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-                found.append(ids)
-            ids = b"".join(found)
+        if _PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+            ids = b"".join(map(self.parts.__getitem__, _PIECE.findall(text.lower())))
         else:
-            ids = np.array(self.whole.encode(unicodedata.normalize("NFC", text), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self._whole(word)
         self[word] = ids
         return ids
 
+    def _whole(self, word: bytes) -> bytes:
+        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: bytes) -> bytes:
         if len(self) > CACHE:
             self.clear()
@@ -78,7 +96,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """One row per piece: doc_id, row_key, piece, start, length, ids_crc32 (and ``ids``, the piece's bytes).
 
     A document's ids are its text's, then ``end``; only documents of more than ``capacity`` ids are cut. A null or
-    empty text has just ``end``. ``row_key`` tells rows with the same id apart. Needs a byte-level vocabulary
+    empty text has just ``end``. ``row_key`` tells rows with the same id apart; equal rows each give their pieces, and
+    a null id is kept. Very long texts are worked on whole; other columns are ignored. Needs a byte-level vocabulary
     that drops white space and has an end-of-word mark, such as word_bpe_49k.json.
     """
     rows = keyed(docs, id_col, text_col)
@@ -152,29 +171,30 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int | None =
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_attention: int | None = None, rule: str = "norm", shard: int = SHARD) -> DataFrame:
-    """Add sequence_id and offset to a table of pieces (doc_id, row_key, piece, length and more).
+    """Add sequence_id and offset to a written table of pieces (doc_id, row_key, piece, length and more).
 
     Full pieces have a sequence of their own. The others go to shards of about ``shard`` pieces by a hash of their
-    key, so a retried task makes the same sequences. Repeated rows are separate pieces. Empty in, empty out.
+    key and their place in the table, so a retried task makes the same sequences and repeated rows, which are pieces
+    of their own, don't meet in one shard. ``max_docs`` and ``max_attention`` are the sequence's other capacities;
+    without them only tokens bind, as ``capacity`` pieces and the square of ``capacity`` can't be exceeded. Columns
+    named sequence_id or offset are replaced; others stay. Empty in, empty out.
     """
-    spark, wanted = parts.sparkSession, [c for c in parts.columns]
-    n = parts.agg(F.count("*").alias("n")).first()["n"]
-    shards = max(1, -(-n // shard))
-    full = F.col("length") >= capacity
-    # a full piece's sequence is named from its own hash of the same shards' space: shard, then the rank in it
-    dealt = parts.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "row_key", "piece"), F.lit(shards)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-
-    def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "row_key", "piece"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        alone = int((rows["length"] >= capacity).sum())
-        bins, offset = place(rows["length"].to_numpy()[alone:], capacity, max_docs, max_attention, rule)
-        rows["sequence_id"] = np.concatenate([np.arange(alone), bins + alone]).astype(np.int64) * shards + int(key[0])
-        rows["offset"] = np.concatenate([np.zeros(alone, np.int64), offset])
-        return rows.drop(columns="_shard")
-
-    del full, spark
-    return dealt.groupBy("_shard").applyInPandas(fill, schema).select(*wanted, "sequence_id", "offset")
+    parts = parts.drop("sequence_id", "offset")
+    shards = max(1, -(-parts.count() // shard))
+    to = F.pmod(F.xxhash64("doc_id", "row_key", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
+    dealt = parts.select(to.alias("shard"), F.struct(*parts.columns).alias("row"), "length", "doc_id", "row_key", "piece")
+    schema = f"row {dealt.schema['row'].dataType.simpleString()}, sequence_id long, offset long"
+
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("row_key", "ascending"), ("piece", "ascending")])
+        length = rows.column("length").to_numpy()
+        alone = int((length >= capacity).sum())
+        bins, offset = place(length[alone:], capacity, max_docs, max_attention, rule)
+        # a sequence's name is its rank in the shard, times the shards, plus the shard's number
+        name = np.concatenate([np.arange(alone), bins + alone]).astype(np.int64) * shards + key[0].as_py()
+        return pa.table([rows.column("row"), pa.array(name), pa.array(np.concatenate([np.zeros(alone, np.int64), offset]))], names=["row", "sequence_id", "offset"])
+
+    return dealt.groupBy("shard").applyInArrow(fill, schema).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

@@ -249,6 +249,53 @@ def test_packing(docs, empty):
     assert best_fit_packing.pack_documents(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_place_is_best_fit(rule):
+    rng = random.Random(8)
+    for caps in ((64, 3, 4000), (64, None, None), (100, 5, 3000)):
+        lengths = [rng.randint(1, caps[0]) for _ in range(150)]
+        cap = (caps[0], caps[1] or caps[0], caps[2] or caps[0] ** 2)
+        need = [[n / cap[0], 1 / cap[1], n * n / cap[2]] for n in lengths]
+        left, want = [], [0] * len(lengths)
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            fits = [b for b, r in enumerate(left) if all(x >= y - 1e-12 for x, y in zip(r, need[i], strict=True))]
+            if rule == "norm":
+                cost = {b: sum((x - y) ** 2 for x, y in zip(left[b], need[i], strict=True)) for b in fits}
+            else:
+                cost = {b: -sum(x * y for x, y in zip(left[b], need[i], strict=True)) for b in fits}
+            b = min((b for b in fits if cost[b] <= min(cost.values()) + 1e-12), default=len(left))
+            if b == len(left):
+                left.append([1.0] * 3)
+            left[b] = [x - y for x, y in zip(left[b], need[i], strict=True)]
+            want[i] = b
+        bins, _ = best_fit_packing.place(np.array(lengths), *caps, rule=rule)
+        assert bins.tolist() == want
+
+
+def test_repeated_rows_are_packed_in_all_shards(spark):
+    rows = spark.createDataFrame([(None, 7, 0, 3)] * 400, "doc_id long, row_key long, piece int, length long").repartition(2)
+    out = best_fit_packing.pack(rows.withColumn("offset", F.lit("x")), capacity=12, shard=100).collect()
+    assert len({r["sequence_id"] % 4 for r in out}) == 4
+    assert max(Counter(r["sequence_id"] for r in out).values()) == 4 and len(out) == 400
+
+
+def test_word_ids():
+    from tokenizers import Tokenizer
+
+    path = best_fit_packing.default_tokenizer()
+    whole, words = Tokenizer.from_file(path), best_fit_packing.WordIds(path)
+    for text in ("Straße ßab ÀÉÎ×÷ß don't we'll it's 'tis x,.!? 12a3 a1,b2 <|endoftext|>. <|x|> ª²µ ", "ŒUVRE ﬁ İI 日本語 e\u0301a \u0301x é\u0300 " + "long" * 60, "A.B.C. a.,;: ...! (x) \"q\" ?!"):
+        assert words.encode(text.encode()) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_coverage_rejects_what_the_base_lets_pass(spark):
+    short = [f"{i:02d}" for i in range(100)]
+    long = [f"longestword{i:02d}" for i in range(12)]
+    rows = [(0, " ".join(short[:50] + long + short[50:] + long)), (1, " ".join(short + long)), (2, "\n".join([" ".join(short), " ".join(long[:4]), " ".join(long[:4])]))]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(out[i]["base_failed"], out[i]["kept"]) for i in range(3)] == [(False, False), (False, True), (False, False)]
+
+
 def test_quality_rules(docs, empty):
     got = Counter()
     for r in quality_rules.quality_rules(docs).collect():
