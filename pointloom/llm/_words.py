@@ -128,14 +128,14 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
-def slices(col: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, offsets) in slices of about ``size`` bytes."""
+def slices(col: pa.Array, size: int = SLICE, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, offsets) in slices of about ``size`` bytes and ``rows`` rows at most."""
     if not len(col):
         return
     data, at = buffers(col)
     lo = 0
     while lo < len(col):
-        hi = min(len(col), max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1))
+        hi = min(len(col), lo + rows, max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1))
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 

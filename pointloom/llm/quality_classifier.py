@@ -21,6 +21,7 @@ from ._common import documents, keyed
 #: The sample's bound: so many labelled texts at most, those with the smallest hash of their id. 4096 vectors of 48
 #: numbers are under 1 MB, whatever the corpus.
 SAMPLE, TERMS, AXES, NEIGHBOURS, POWER, THRESHOLD = 4096, 2048, 48, 31, 8.0, 0.3
+BATCH = 512  # texts whose counts are dense at a time: 4 MB
 
 _CLASS = np.zeros(256, np.uint8)  # letters by case, digits, other bytes of longer characters; signs as they are
 _CLASS[:128] = np.arange(128)
@@ -63,20 +64,38 @@ def term_counts(buf: np.ndarray, at: np.ndarray, terms: int = TERMS) -> np.ndarr
 
 
 class Neighbours:
-    """The fitted space: weights, axes, labelled unit vectors and their labels."""
+    """The fitted space: weights, axes, labelled unit vectors and their labels.
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, axes: int = AXES):
+    ``sparse`` has each labelled text's (terms, counts). They are made dense ``BATCH`` texts at a time, so fitting
+    takes little more memory than the terms x terms products.
+    """
+
+    def __init__(self, sparse: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, axes: int = AXES, terms: int = TERMS):
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        seen = (counts > 0).sum(axis=0)
-        self.idf = (np.log((1.0 + len(counts)) / (1.0 + seen)) + 0.2).astype(np.float32)
-        x = self._weigh(counts)
-        if len(x):
-            values, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
-            self.axes = np.ascontiguousarray(vectors[:, np.argsort(-values)[:axes]], dtype=np.float32)
-        else:
-            self.axes = np.zeros((counts.shape[1], axes), np.float32)
-        self.vectors = self._unit(x @ self.axes)
+        seen = np.zeros(terms)
+        for at, _ in sparse:
+            seen[at] += 1
+        self.idf = (np.log((1.0 + len(sparse)) / (1.0 + seen)) + 0.2).astype(np.float32)
+        self.axes = np.zeros((terms, axes), np.float32)
+        products = np.zeros((terms, terms), np.float32)
+        for x in self._dense(sparse, terms):
+            products += x.T @ x
+        if len(sparse):
+            values, vectors = np.linalg.eigh(products)
+            self.axes = np.ascontiguousarray(vectors[:, np.argsort(-values, kind="stable")[:axes]])
+            del values, vectors
+        del products
+        found = [x @ self.axes for x in self._dense(sparse, terms)]
+        self.vectors = self._unit(np.concatenate(found)) if found else np.zeros((0, axes), np.float32)
+
+    def _dense(self, sparse: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Iterator[np.ndarray]:
+        for lo in range(0, len(sparse), BATCH):
+            part = sparse[lo : lo + BATCH]
+            counts = np.zeros((len(part), terms), np.float32)
+            for row, (at, n) in zip(counts, part, strict=True):
+                row[at] = n
+            yield self._weigh(counts)
 
     def _weigh(self, counts: np.ndarray) -> np.ndarray:
         share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
@@ -106,8 +125,8 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Neighbours:
     """Learn from the labelled rows that aren't held out, at most ``sample`` of them.
 
-    Ids with two different labels, null ids and null labels teach nothing. The driver gets counts of terms, 8 kB a
-    text, never texts.
+    Ids with two different labels, null ids and null labels teach nothing. Of several texts with one id, the one whose
+    terms come first in byte order teaches. The driver gets counts of terms, some kB a text, never texts.
     """
     known = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_z"))
     known = known.filter("_id is not null and _y = _z").filter(~held_out(F.col("_id")))
@@ -116,21 +135,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, at in W.slices(b.column("_text")):
-                rows = term_counts(buf, at).astype("<f4")
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo), b.column("_y").slice(lo, hi - lo), pa.array([r.tobytes() for r in rows], pa.binary())], names=["i", "y", "c"])
+            for lo, hi, buf, at in W.slices(b.column("_text"), rows=BATCH):
+                rows = [np.flatnonzero(r).astype("<u2").tobytes() + r[r > 0].astype("<f4").tobytes() for r in term_counts(buf, at)]
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo), b.column("_y").slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["i", "y", "c"])
 
     got = texts.select("_id", F.col("_y").cast("double").alias("_y"), "_text").mapInArrow(count, "i long, y double, c binary")
-    rows = sorted(got.limit(2 * sample).collect(), key=lambda r: (r["i"], r["c"]))
-    counts = np.frombuffer(b"".join(r["c"] for r in rows), "<f4").reshape(-1, TERMS)
-    return Neighbours(counts, np.array([r["y"] for r in rows]))
+    rows = sorted(got.groupBy("i", "y").agg(F.min("c").alias("c")).collect(), key=lambda r: r["i"])
+    cut = [len(r["c"]) // 3 for r in rows]  # two bytes for each term, four for its count
+    sparse = [(np.frombuffer(r["c"][:n], "<u2"), np.frombuffer(r["c"][n:], "<f4")) for r, n in zip(rows, cut, strict=True)]
+    return Neighbours(sparse, np.array([r["y"] for r in rows]))
 
 
 def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, score, predicted (and ``_carry``) for every whole text.
 
     One pass, no shuffle. A null or empty text gets the labelled sample's share of label 1; equal rows get equal
-    scores, each its own row; other columns are ignored. With no label at all, every score is 0.5.
+    scores, each its own row; other columns are ignored. With no label at all, every score is 0.5. Very long texts are
+    counted whole, one at a time; an empty table gives an empty one. Of neighbours that are equally near at the end of
+    the list, any may vote.
     """
     rows = keyed(docs, id_col, text_col, carry).drop("_th")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -139,9 +161,8 @@ def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD, id_c
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for lo, hi, buf, at in W.slices(b.column("_text"), W.SLICE // 2):
-                counts = term_counts(buf, at)
-                s = np.concatenate([m.score(counts[i : i + 512]) for i in range(0, len(counts), 512)])
+            for lo, hi, buf, at in W.slices(b.column("_text"), W.SLICE // 2, BATCH):
+                s = m.score(term_counts(buf, at))
                 cols, names = [b.column("_id").slice(lo, hi - lo), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"]
                 if carry:
                     cols, names = [*cols, b.column("_carry").slice(lo, hi - lo)], [*names, "_carry"]
