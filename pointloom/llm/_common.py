@@ -42,14 +42,19 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 
     ``_th`` is a 64-bit hash of the text and its length, so rows that share an id but not a text stay apart, and rows
     that are equal in both are one document that is listed more than once. Other columns are left out, or travel in
-    ``_carry``.
+    ``_carry``, where the text is not doubled.
     """
     cols = [F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col), F.length(text_col)).alias("_th"), F.col(text_col).alias("_text")]
     if carry:
-        cols.append(F.struct(*[F.col(c) for c in carry]).alias("_carry"))
+        cols.append(F.struct(*[F.col(c) for c in carry if c != text_col]).alias("_carry"))
     return docs.select(*cols)
 
 
+def carried(df: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns that ``keyed`` was given to carry, as they were."""
+    return df.select(*[(F.col("_text") if c == text_col else F.col("_carry").getField(c)).alias(c) for c in columns])
+
+
 def same_key(a: DataFrame, b: DataFrame):
     """Join condition on (_id, _th), null ids included."""
     return a["_id"].eqNullSafe(b["_id"]) & (a["_th"] == b["_th"])

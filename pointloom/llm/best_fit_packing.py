@@ -26,7 +26,7 @@ from ._common import documents, keyed, settle
 
 CAPACITY, END = 4096, 1
 SHARD = 16384  # pieces, as expected
-CACHE, LONG = 300_000, 64  # words that a worker remembers, and the bytes of the longest of them
+CACHE, LONG = 200_000, 64  # words that a worker remembers, and the bytes of the longest of them
 
 #: The byte-level alphabet of such vocabularies: printable bytes stand for themselves, the others for 256, 257, ...
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._common import bitmap, documents, keyed, maybe, row_key, settle
+from ._common import bitmap, carried, documents, keyed, maybe, row_key, settle
 
 SHINGLE, SHARE = 4, (85, 100)  # link when 100 * intersection >= 85 * union
 SEEDS = 24
@@ -138,7 +138,7 @@ def _scan(rows: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
         plans: dict = {}
         sent: set[int] = set()  # of one task, so no more than the documents of an input split
         for b in batches:
-            for lo, hi, buf, at in W.slices(b.column("_text"), 2 * W.SLICE):
+            for lo, hi, buf, at in W.slices(b.column("_text")):
                 sets = _sets(buf, at, n)
                 names = np.array([_name(s) for s in sets], np.int64)
                 sig, node, tag = [], [], []
@@ -388,8 +388,7 @@ def jaccard_dedup(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int
     rows, bits = keyed(docs, id_col, text_col, cols), bitmap(marked)
     other = maybe(rows, bits).withColumn("key", row_key()).join(marked, "key", "left")
     once = other.filter("stays").dropDuplicates(["key"])
-    stay = maybe(rows, bits, False).select("_carry").unionByName(other.filter("stays is null").select("_carry")).unionByName(once.select("_carry"))
-    return stay.select("_carry.*")
+    return carried(maybe(rows, bits, False), cols, text_col).unionByName(carried(other.filter("stays is null"), cols, text_col)).unionByName(carried(once, cols, text_col))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

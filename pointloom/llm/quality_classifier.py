@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
 
 
 def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, score, predicted (and ``_carry``) for every whole text.
+    """doc_id, score, predicted (and ``_text, _carry``, for ``carried``) for every whole text.
 
     One pass, no shuffle. A null or empty text gets the labelled sample's share of label 1; equal rows get equal
     scores, each its own row; other columns are ignored. With no label at all, every score is 0.5. Very long texts are
@@ -156,16 +156,16 @@ def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD, id_c
     """
     rows = keyed(docs, id_col, text_col, carry).drop("_th")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, score double, predicted int" + (f", _carry {rows.schema['_carry'].dataType.simpleString()}" if carry else "")
+    schema = "doc_id long, score double, predicted int" + (f", _text string, _carry {rows.schema['_carry'].dataType.simpleString()}" if carry else "")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for lo, hi, buf, at in W.slices(b.column("_text"), W.SLICE // 2, BATCH):
+            for lo, hi, buf, at in W.slices(b.column("_text"), W.SLICE, BATCH):
                 s = m.score(term_counts(buf, at))
                 cols, names = [b.column("_id").slice(lo, hi - lo), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"]
                 if carry:
-                    cols, names = [*cols, b.column("_carry").slice(lo, hi - lo)], [*names, "_carry"]
+                    cols, names = [*cols, *(b.column(c).slice(lo, hi - lo) for c in ("_text", "_carry"))], [*names, "_text", "_carry"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return rows.mapInArrow(vote, schema)

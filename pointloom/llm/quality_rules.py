@@ -101,7 +101,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Judge every whole text.
 
-    Returns doc_id, the counts, base_failed and kept (and ``carry``, columns of the input, in a struct ``_carry``).
+    Returns doc_id, the counts, base_failed and kept (and ``carry``, columns of the input, as ``_text`` and ``_carry`` for ``carried``).
     A null or empty text has no words and fails; equal rows each get a row; an empty table gives an empty one; other
     columns of any name are ignored unless carried. Ties don't arise: every count is exact. Very long texts are measured
     whole, one at a time.
@@ -109,7 +109,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = keyed(docs, id_col, text_col, carry)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"
     if carry:
-        schema += f", _carry {rows.schema['_carry'].dataType.simpleString()}"
+        schema += f", _text string, _carry {rows.schema['_carry'].dataType.simpleString()}"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,8 +119,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 cols = [b.column("_id").slice(lo, hi - lo), *[pa.array(m[c].astype(np.int64)) for c in COUNTS], pa.array(failed), pa.array(kept)]
                 names = ["doc_id", *COUNTS, "base_failed", "kept"]
                 if carry:
-                    cols.append(b.column("_carry").slice(lo, hi - lo))
-                    names.append("_carry")
+                    cols += [b.column(c).slice(lo, hi - lo) for c in ("_text", "_carry")]
+                    names += ["_text", "_carry"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return rows.drop("_th").mapInArrow(judge, schema)
