@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import best_fit_packing, jaccard_join, quality_classifier, quality_rules, substring_dedup
-from pointloom.llm._common import documents, settle
+from pointloom.llm._common import carried, documents, settle
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model, carry=docs.columns).filter("predicted = 1").select("_carry.*")
+    return carried(quality_classifier.score(docs, model, carry=docs.columns).filter("predicted = 1"), docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break the repetition rules go."""
-    return quality_rules.quality_rules(docs, carry=docs.columns).filter("kept").select("_carry.*")
+    return carried(quality_rules.quality_rules(docs, carry=docs.columns).filter("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
