@@ -84,8 +84,8 @@ def co_assigned(samples: DataFrame) -> DataFrame:
 
 
 def within_group_pairs(locs: DataFrame, group: str) -> DataFrame:
-    """Pairs inside each group: distance, per-axis variance of the difference averaged over axes, midpoint."""
-    v = ((F.col("sigma_x") ** 2 + F.col("sigma_y") ** 2) / 2.0).alias("v")
+    """Pairs inside each group: distance, variance of the difference along x, midpoint."""
+    v = (F.col("sigma_x") ** 2).alias("v")
     a = locs.select(group, F.col("loc_id").alias("i"), F.col("x").alias("xa"), F.col("y").alias("ya"), v)
     b = locs.select(group, F.col("loc_id").alias("j"), F.col("x").alias("xb"), F.col("y").alias("yb"), v.alias("vb"))
     p = a.join(b, group).filter("i < j")

@@ -95,8 +95,8 @@ def bounding_box(df: DataFrame) -> DataFrame:
 
 def padded_box(df: DataFrame, by: list[str]) -> DataFrame:
     """Bounds by group, padded by max(5 % of the extent, 3 mean sigmas) and scaled about their middle up to a floor
-    area of n * pi * (3 median sigma)^2."""
-    sigma = mean_sigma(F.col("sigma_x"), F.col("sigma_y"))
+    area of n * pi * (3 median sigma)^2, sigma being the mean of both axes'."""
+    sigma = (F.col("sigma_x") + F.col("sigma_y")) / 2.0
     g = df.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("sigma_x").alias("mx"), F.avg("sigma_y").alias("my"), F.median(sigma).alias("ms"))
     for a in "xy":
         pad = F.greatest(0.05 * (F.col(f"{a}1") - F.col(f"{a}0")), 3.0 * F.col(f"m{a}"))
@@ -112,10 +112,10 @@ def padded_box(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def field_of_view(df: DataFrame, margin: float | None = None) -> DataFrame:
-    """Bounds of all one-sigma circles and a margin: 5 median sigmas, at least 0.010."""
+    """Bounds of all one-sigma circles and a margin: the given one or 5 median sigmas, at least 0.010."""
     s = mean_sigma(F.col("sigma_x"), F.col("sigma_y"))
     g = df.agg(F.min(F.col("x") - F.col("sigma_x")).alias("x0"), F.max(F.col("x") + F.col("sigma_x")).alias("x1"), F.min(F.col("y") - F.col("sigma_y")).alias("y0"), F.max(F.col("y") + F.col("sigma_y")).alias("y1"), F.median(s).alias("ms"))
-    m = F.lit(margin) if margin is not None else F.greatest(5.0 * F.col("ms"), F.lit(0.010))
+    m = F.greatest(F.lit(float(margin)) if margin is not None else 5.0 * F.col("ms"), F.lit(0.010))
     return g.select((F.col("x0") - m).alias("x_min"), (F.col("x1") + m).alias("x_max"), (F.col("y0") - m).alias("y_min"), (F.col("y1") + m).alias("y_max"))
 
 

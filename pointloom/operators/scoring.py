@@ -55,38 +55,35 @@ def product_counts(sizes: DataFrame, by: list[str], shape: float, mu: float) ->
 TARGETS = ("Decoupled", "DecoupledLocmix", "DMFlat", "DMLocmix", "DirectNegBinFlat", "DirectNegBinLocmix", "IPP", "FazelFlat")
 
 
-def log_target(stats: DataFrame, by: list[str], target: str, area: float, shape: float, mu: float, gamma: float = 1.0, rho: float | None = None, spatial: str | None = None) -> DataFrame:
+def log_target(stats: DataFrame, by: list[str], target: str, area: float, shape: float, mu: float, rho: float = 2.0, spatial: str | None = None) -> DataFrame:
     """Score of every labelling: one row per ``by`` from its clusters' statistics.
 
-    ``spatial`` names a column with the log prior density at the cluster's position for the Locmix and IPP targets;
-    the others use the flat density 1 / area.
+    ``spatial`` names a column with each cluster's log marginal likelihood under the local model, for the Locmix and
+    IPP targets (see ``locmix_exact``); the others use the flat density 1 / area. The number of clusters has a Poisson
+    prior of density ``rho`` in the targets with a flat or intensity prior of positions, but for FazelFlat; the
+    allocation of the DM targets has the counts' ``shape`` as its concentration.
     """
     if target not in TARGETS:
         raise ValueError(f"target must be one of {TARGETS}")
     local = target.endswith("Locmix") or target == "IPP"
     if local and spatial is None:
         raise ValueError(f"{target} needs the spatial model's column")
-    flat = F.lit(math.log(area))
-    rows = stats.withColumn("_ml", log_ml(*stats_columns()) + F.col(spatial) if local else log_ml(*stats_columns(), flat))
-    n = F.col("n").cast("double")
+    rows = stats.withColumn("_ml", F.col(spatial) if local else log_ml(*stats_columns(), F.lit(math.log(area))))
+    n, gamma = F.col("n").cast("double"), shape
     g = rows.groupBy(*by).agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("_ml").alias("ml"), F.sum(lgamma(n + F.lit(gamma))).alias("dm"),
         F.sum(negbin(n, F.lit(shape), F.lit(mu))).alias("nb"), F.sum(log_factorial(n)).alias("f"),
     )
     k, t = F.col("k").cast("double"), F.col("n").cast("double")
     dm = lgamma(k * gamma) - k * lgamma(F.lit(gamma)) - lgamma(t + k * gamma) + F.col("dm")
-    density = rho if rho is not None else mu and 1.0 / area
-    score = F.col("ml")
-    if target.startswith("Decoupled"):
-        score = score + count_posterior(t, k, shape, mu)
-    elif target.startswith("DM"):
-        score = score + count_posterior(t, k, shape, mu) + dm
-    elif target.startswith("DirectNegBin"):
-        score = score + F.col("nb") + F.col("f") - log_factorial(t)
-    elif target == "IPP":
-        score = score + count_posterior(t, k, shape, mu) + dm + poisson_k(k, F.lit(density), F.lit(area))
-    else:
-        score = score + count_posterior(t, k, shape, mu) + categorical(t, k) + poisson_k(k, F.lit(density), F.lit(area))
+    counts = F.col("nb") + F.col("f") - log_factorial(t) if target.startswith("DirectNegBin") else count_posterior(t, k, shape, mu)
+    score = F.col("ml") + counts
+    if target.startswith("DM") or target == "IPP":
+        score = score + dm
+    if target == "FazelFlat":
+        score = score + categorical(t, k)
+    elif target.endswith("Flat") or target in ("Decoupled", "IPP"):
+        score = score + poisson_k(k, F.lit(float(rho)), F.lit(float(area)))
     return g.select(*by, "k", "n", score.alias("score"))
 
 

@@ -27,7 +27,7 @@ def L(c):
     return F.col(c).cast("long").alias(c)
 
 
-_GRID = f"""{LOCS_SQL}, gb as (select pair, max(greatest(sigma_x,sigma_y)) as sm, count(*) as t, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from locs where pair < 4 group by pair),
+_GRID = f"""{LOCS_SQL}, gb as (select pair, max(greatest(sigma_x,sigma_y)) as sm, count(*) as t, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from locs group by pair),
 gc as (select pair, sm/2e0 as h, t, x0-3*sm as x0, y0-3*sm as y0, ceil((x1+3*sm-(x0-3*sm))/(sm/2e0))::bigint as nx, ceil((y1+3*sm-(y0-3*sm))/(sm/2e0))::bigint as ny from gb),
 cell as (select *, unnest(range(0, ny+1)) as iy from (select *, unnest(range(0, nx+1)) as ix from gc)),
 gr as (select c.pair, ix, iy, any_value(c.x0) as x0, any_value(c.y0) as y0, any_value(h) as h, ln(sum(exp(-ln(2*pi()) - 0.5*ln(sigma_x*sigma_x*sigma_y*sigma_y) - 0.5*(pow(c.x0+ix*h-l.x,2)/(sigma_x*sigma_x)+pow(c.y0+iy*h-l.y,2)/(sigma_y*sigma_y))))) - ln(any_value(t)) as logg
@@ -41,7 +41,7 @@ _ST = EMITTERS_SQL[len(LOCS_SQL) + 2 :]  # the statistics, after the fixture's r
 
 
 def _grid(spark, d):
-    return S.locmix_grid(fx.locs(spark, d).filter("pair < 4").select("pair", "x", "y", "sigma_x", "sigma_y", "sigma_xy"), ["pair"])
+    return S.locmix_grid(fx.locs(spark, d).select("pair", "x", "y", "sigma_x", "sigma_y", "sigma_xy"), ["pair"])
 
 
 @query("f10_locmix_grid", f"with {_GRID} select pair, ix, iy, round(logg,6) as logg from gr where logg > -600")
@@ -51,7 +51,7 @@ def f10(spark, d):
 
 def _looked_up(spark, d):
     g = N.settle(_grid(spark, d), "grid")
-    return S.locmix_score(stats(spark, d).filter("pair < 4"), g, ["pair"], ["track_id"])
+    return S.locmix_score(stats(spark, d), g, ["pair"], ["track_id"])
 
 
 @query("f11_bilinear_lookup", f"with {_GRID}, {_ST}, {_BILIN} select track_id, round(logg,5) as logg from lk")
@@ -179,9 +179,9 @@ def g8(spark, d):
     return _raster(spark, d, fx.samples(spark, d)).select("ix", "iy", r("mass").alias("mass"))
 
 
-@query("g8_raster_mass", f"with {LOCS_SQL}, {SE_SQL} select round(count(*)::double,6) as mass from se where iter<=2")
+@query("g8_raster_mass", f"with {LOCS_SQL}, {SE_SQL} select round(count(*)::double,6) as mass from se")
 def g8_mass(spark, d):
-    return _raster(spark, d, fx.samples(spark, d).filter("iter <= 2")).agg(r(F.sum("mass"), 6).alias("mass"))
+    return _raster(spark, d, fx.samples(spark, d)).agg(r(F.sum("mass"), 6).alias("mass"))
 
 
 @query("g9_raster_lattice", f"""{W}, g as (select pair, max(greatest(sigma_x,sigma_y)) as s, min(x) as a, max(x) as b, min(y) as c, max(y) as e from locs group by pair)

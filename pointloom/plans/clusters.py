@@ -197,26 +197,35 @@ def f7(spark, d):
 
 
 _TARGET = {
-    "Decoupled": "ml + cp", "DecoupledLocmix": "mll + cp", "DMFlat": "ml + cp + dm", "DMLocmix": "mll + cp + dm", "DirectNegBinFlat": "ml + nbs + f - lgamma(n+1)",
-    "DirectNegBinLocmix": "mll + nbs + f - lgamma(n+1)", "IPP": "mll + cp + dm + pk", "FazelFlat": "ml + cp - n*ln(k) + pk",
+    "Decoupled": "ml + cp + pk", "DecoupledLocmix": "mll + cp", "DMFlat": "ml + cp + dm + pk", "DMLocmix": "mll + cp + dm", "DirectNegBinFlat": "ml + nbs + f - lgamma(n+1) + pk",
+    "DirectNegBinLocmix": "mll + nbs + f - lgamma(n+1)", "IPP": "ml + cp + dm + pk", "FazelFlat": "ml + cp - n*ln(k)",
 }
+#: Every cluster's score under the mean of its group's rows' densities.
+_LOCMIX = f"""p as (select s.track_id, s.pair, s.n+1 as n, lx+1/(sigma_x*sigma_x) as lx, ly+1/(sigma_y*sigma_y) as ly, ex+x/(sigma_x*sigma_x) as ex, ey+y/(sigma_y*sigma_y) as ey,
+  quad+x*x/(sigma_x*sigma_x)+y*y/(sigma_y*sigma_y) as quad, ld+ln(sigma_x*sigma_x*sigma_y*sigma_y) as ld from st s join locs l on s.pair=l.pair),
+ v as (select track_id, pair, {_ML} as v from p), m as (select track_id, max(v) as m, count(*) as t from v group by track_id),
+ lm as (select track_id, any_value(m)+ln(sum(exp(v-m)))-ln(any_value(t)) as score from v join m using (track_id) group by track_id)"""
+
 
+def _locmix(spark, d):
+    return S.locmix_exact(stats(spark, d), fx.locs(spark, d).select("pair", "x", "y", "sigma_x", "sigma_y", "sigma_xy"), ["pair"], ["track_id"])
 
-@query("f8_log_target", f"""with {EMITTERS_SQL}, b as (select pair, count(*)::double as k, sum(n)::double as n, sum({_ML} - ln(0.09e0)) as ml, sum({_ML} - 1e0) as mll, sum(lgamma(n+1e0)) as dms, sum({nb('n', '2e0', '60e0')}) as nbs, sum(lgamma(n+1)) as f from st group by pair),
- c as (select *, {nb('n', '(2e0*k)', '(60e0*k)')} as cp, lgamma(k)-k*lgamma(1e0)-lgamma(n+k)+dms as dm, -3e0*0.09e0+k*(ln(3e0)+ln(0.09e0))-lgamma(k+1) as pk from b)
+
+@query("f8_log_target", f"""with {EMITTERS_SQL}, {_LOCMIX}, b as (select pair, count(*)::double as k, sum(n)::double as n, sum({_ML} - ln({AREA}e0)) as ml, sum(score) as mll, sum(lgamma(n+2e0)) as dms, sum({nb('n', '2e0', '60e0')}) as nbs, sum(lgamma(n+1)) as f from st join lm using (track_id) group by pair),
+ c as (select *, {nb('n', '(2e0*k)', '(60e0*k)')} as cp, lgamma(2*k)-k*lgamma(2e0)-lgamma(n+2*k)+dms as dm, -3e0*{AREA}e0+k*(ln(3e0)+ln({AREA}e0))-lgamma(k+1) as pk from b)
  {' union all '.join(f"select '{t}' as target, pair, k::bigint as k, n::bigint as n, round({e},3) as score from c" for t, e in _TARGET.items())}""")
 def f8(spark, d):
-    s, out = stats(spark, d).withColumn("prior", F.lit(-1.0)), None
+    local = _locmix(spark, d).select("track_id", F.col("score").alias("locmix"))
+    s, out = stats(spark, d).join(local, "track_id"), None
+    # a uniform intensity map has the density of the flat prior
+    s = s.withColumn("uniform", E.log_ml(*E.stats_columns(), F.lit(math.log(AREA))))
     for t in S.TARGETS:
-        one = S.log_target(s, ["pair"], t, AREA, 2.0, 60.0, 1.0, 3.0, "prior").select(F.lit(t).alias("target"), "pair", "k", "n", r("score", 3).alias("score"))
+        spatial = "locmix" if t.endswith("Locmix") else "uniform" if t == "IPP" else None
+        one = S.log_target(s, ["pair"], t, AREA, 2.0, 60.0, 3.0, spatial).select(F.lit(t).alias("target"), "pair", "k", "n", r("score", 3).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("f9_locmix_exact", f"""with {EMITTERS_SQL}, p as (select s.track_id, s.pair, s.n+1 as n, lx+1/(sigma_x*sigma_x) as lx, ly+1/(sigma_y*sigma_y) as ly, ex+x/(sigma_x*sigma_x) as ex, ey+y/(sigma_y*sigma_y) as ey,
-  quad+x*x/(sigma_x*sigma_x)+y*y/(sigma_y*sigma_y) as quad, ld+ln(sigma_x*sigma_x*sigma_y*sigma_y) as ld from st s join locs l on s.pair=l.pair),
- v as (select track_id, pair, {_ML} as v from p), m as (select track_id, max(v) as m, count(*) as t from v group by track_id)
- select track_id, round(any_value(m)+ln(sum(exp(v-m)))-ln(any_value(t)),4) as score from v join m using (track_id) group by track_id""")
+@query("f9_locmix_exact", f"with {EMITTERS_SQL}, {_LOCMIX} select track_id, round(score,4) as score from lm")
 def f9(spark, d):
-    s = S.locmix_exact(stats(spark, d), fx.locs(spark, d).select("pair", "x", "y", "sigma_x", "sigma_y", "sigma_xy"), ["pair"], ["track_id"])
-    return s.select("track_id", r("score", 4).alias("score"))
+    return _locmix(spark, d).select("track_id", r("score", 4).alias("score"))

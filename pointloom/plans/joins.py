@@ -162,14 +162,14 @@ def c14(spark, d):
     return H.position_match(source_emitters(spark, d), truth, ["partition_id"], "emitter_id", "true_id").select("partition_id", "emitter_id", "true_id")
 
 
-@query("c15_co_assigned_pairs", f"{S} select a.partition_id, a.iter, count(*) as n_pairs, sum(a.loc_id*7 + b.loc_id)::bigint as digest from samples a join samples b on a.partition_id=b.partition_id and a.iter=b.iter and a.cluster=b.cluster and a.loc_id<b.loc_id where a.iter<=3 group by all")
+@query("c15_co_assigned_pairs", f"{S} select a.partition_id, a.iter, count(*) as n_pairs, sum(a.loc_id*7 + b.loc_id)::bigint as digest from samples a join samples b on a.partition_id=b.partition_id and a.iter=b.iter and a.cluster=b.cluster and a.loc_id<b.loc_id group by all")
 def c15(spark, d):
-    p = H.co_assigned(fx.samples(spark, d).filter("iter <= 3"))
+    p = H.co_assigned(fx.samples(spark, d))
     return p.groupBy("partition_id", F.col("iter").cast("long").alias("iter")).agg(F.count("*").alias("n_pairs"), F.sum(F.col("i") * 7 + F.col("j")).alias("digest"))
 
 
 WG_SQL = f"""{LOCS_SQL}, wg as (select a.track_id as g, a.loc_id as i, b.loc_id as j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d,
- (a.sigma_x*a.sigma_x+a.sigma_y*a.sigma_y+b.sigma_x*b.sigma_x+b.sigma_y*b.sigma_y)/2 as s2, (a.x+b.x)/2 as mx, (a.y+b.y)/2 as my from locs a join locs b on a.track_id=b.track_id and a.loc_id<b.loc_id)"""
+ a.sigma_x*a.sigma_x+b.sigma_x*b.sigma_x as s2, (a.x+b.x)/2 as mx, (a.y+b.y)/2 as my from locs a join locs b on a.track_id=b.track_id and a.loc_id<b.loc_id)"""
 
 
 @query("c16_within_group_pairs", f"with {WG_SQL} select g as track_id, i, j, round(d,9) as d, round(s2,12) as s2, round(mx,9) as mx, round(my,9) as my from wg")

@@ -168,7 +168,7 @@ def b7(spark, d):
     return b.select(*[r(c).alias(c) for c in b.columns])
 
 
-@query("b8_padded_box", f"""{W}, g as (select pair, count(*) as n, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, avg(sigma_x) as mx, avg(sigma_y) as my, median(sqrt(sigma_x*sigma_y)) as ms from locs group by pair),
+@query("b8_padded_box", f"""{W}, g as (select pair, count(*) as n, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, avg(sigma_x) as mx, avg(sigma_y) as my, median((sigma_x+sigma_y)/2) as ms from locs group by pair),
  p as (select pair, n, ms, x0-greatest(0.05*(x1-x0),3*mx) as x0, x1+greatest(0.05*(x1-x0),3*mx) as x1, y0-greatest(0.05*(y1-y0),3*my) as y0, y1+greatest(0.05*(y1-y0),3*my) as y1 from g),
  s as (select *, case when (x1-x0)*(y1-y0) < n*pi()*9*ms*ms then sqrt(n*pi()*9*ms*ms/((x1-x0)*(y1-y0))) else 1 end as k from p)
  select pair, n, round((x0+x1)/2-(x1-x0)/2*k,9) as x_min, round((x0+x1)/2+(x1-x0)/2*k,9) as x_max, round((y0+y1)/2-(y1-y0)/2*k,9) as y_min, round((y0+y1)/2+(y1-y0)/2*k,9) as y_max from s""")

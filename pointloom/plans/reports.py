@@ -58,8 +58,8 @@ def i5(spark, d):
     return C.extended_curve(_pairs(spark, d), [0.0, 0.001, 0.002]).select(r("tau", 6).alias("tau"), r("ks", 8).alias("ks"))
 
 
-@query("i6_tail", f"""with {WG_SQL}, q as (select d/sqrt(s2) as z, row_number() over (order by d/sqrt(s2))/count(*) over () as q from wg)
- select round(max(abs(q-(1-exp(-z*z/2)))) filter (q between 0.85 and 0.99),8) as ks_tail, round(avg(z) filter (q between 0.97 and 0.99)/avg(sqrt(-2*ln(1-q))) filter (q between 0.97 and 0.99),8) as tail_ratio from q""")
+@query("i6_tail", f"""with {WG_SQL}, q as (select d/sqrt(s2) as z, row_number() over (order by d/sqrt(s2)) as i, count(*) over () as n from wg)
+ select round(max(abs(i/n-(1-exp(-z*z/2)))) filter (i between ceil(0.85e0*n) and floor(0.99e0*n)),8) as ks_tail, round(avg(z) filter (i between ceil(0.97e0*n) and floor(0.99e0*n))/sqrt(-2*ln(1-(0.97e0+0.99e0)/2)),8) as tail_ratio from q""")
 def i6(spark, d):
     return C.tail(_pairs(spark, d), 0.0).select(r("ks_tail", 8).alias("ks_tail"), r("tail_ratio", 8).alias("tail_ratio"))
 
@@ -186,27 +186,33 @@ def l7(spark, d):
 
 
 #: Trials from the rows' counts: each source is one, recovered if its rows are many.
-_TRIALS = "1 + track_id%3 as n, 20e0 as mu, 0.5e0*(1 + track_id%5) as sep, case when n > 55 then 1 + track_id%3 else 0 end as k, 0.001e0*n as rmse, 0.0009e0*(n%4) as oracle"
+_TRIALS = "1 + track_id%3 as n, 20e0 as mu, 2.5e0*(track_id%5) as sep, case when n > 55 then 1 + track_id%3 else 0 end as k, case when n > 57 then 1 + track_id%3 else 0 end as k_flat, case when n > 60 then 1 + track_id%3 else 0 end as k_count, 0.001e0*n as rmse, 0.0009e0*(n%4) as oracle, 0.03e0*n as d2"
 
 
 def _trials(spark, d):
     return fx.locs(spark, d).groupBy("track_id").agg(F.count("*").alias("n")).selectExpr(*_TRIALS.split(", "))
 
 
-_TRIALS_SQL = f"{W}, c as (select track_id, count(*) as n from locs group by track_id), tr as (select {_TRIALS} from c)"
+_TRIALS_SQL = f"""{W}, c as (select track_id, count(*) as n from locs group by track_id), tr as (select {_TRIALS} from c),
+ cu as (select n, mu, sep, avg((k=n)::int) as rate, avg((k_flat=n)::int) as rate_flat, avg((k_count=n)::int) as rate_count, count(*) as trials, avg(rmse/oracle) filter (oracle>0) as rmse_ratio from tr group by all)"""
 
 
-@query("l8_sweep_curves", f"{_TRIALS_SQL} select n, mu, sep, round(avg((k=n)::int),9) as rate, count(*) as trials, round(avg(rmse/oracle) filter (oracle>0),7) as rmse_ratio, round(sqrt(avg((k=n)::int)*(1-avg((k=n)::int))/count(*)),9) as rate_err from tr group by all")
+@query("l8_sweep_curves", f"{_TRIALS_SQL} select n, mu, sep, round(rate,9) as rate, round(rate_flat,9) as rate_flat, round(rate_count,9) as rate_count, trials, round(rmse_ratio,7) as rmse_ratio, round(sqrt(rate*(1-rate)/trials),9) as rate_err from cu")
 def l8(spark, d):
     c = V.sweep_curves(_trials(spark, d))
-    return c.select("n", "mu", "sep", r("rate").alias("rate"), "trials", r("rmse_ratio", 7).alias("rmse_ratio"), r("rate_err").alias("rate_err"))
+    return c.select("n", "mu", "sep", *[r(x).alias(x) for x in ("rate", "rate_flat", "rate_count")], "trials", r("rmse_ratio", 7).alias("rmse_ratio"), r("rate_err").alias("rate_err"))
 
 
-@query("l9_sweep_scorecard", f"""{_TRIALS_SQL}, cu as (select n, mu, sep, avg((k=n)::int) as rate, count(*) as trials, avg(rmse/oracle) filter (oracle>0) as rr, sqrt(avg((k=n)::int)*(1-avg((k=n)::int))/count(*)) as re from tr group by all), w as (select *, lag(rate) over (partition by n, mu order by sep) as b from cu)
- select 'far pairs are recovered' as rule, bool_and(sep<4 or rate>=0.5) as passed from w union all select 'near pairs aren''t split', bool_and(sep>1 or rate<=1) from w union all select 'rates rise with separation', bool_and(b is null or rate>=b-(2*re+0.05)) from w
- union all select 'single sources are recovered', bool_and(n<>1 or rate>=0.5) from w union all select 'errors are near the oracle''s', bool_and(rr is null or rr<=3) from w union all select 'every cell has trials', bool_and(trials>0) from w""")
+@query("l9_sweep_scorecard", f"""{_TRIALS_SQL}, w as (select *, lag(rate) over (partition by n, mu order by sep) as b from cu)
+ select 'floor against counts' as rule, not exists (from cu where rate_count>0 and rate_flat<0.85*rate_count) as passed
+ union all select 'resolved pairs are recovered', not exists (from cu where sep=10 and rate<0.9)
+ union all select 'positions help', not exists (from cu x join cu y using (n, mu) where x.sep=0 and y.sep=5 and y.rate<=x.rate)
+ union all select 'rates don''t drop', not exists (from w where rate<b-0.05e0)
+ union all select 'errors are near the oracle''s', not exists (from cu where sep>=5 and rmse_ratio>1.3)
+ union all select 'sigmas are calibrated', (select coalesce(sqrt(avg(d2)/2) between 0.7 and 1.3, false) from tr)""")
 def l9(spark, d):
-    return V.sweep_scorecard(V.sweep_curves(_trials(spark, d)))
+    trials = _trials(spark, d)
+    return V.sweep_scorecard(V.sweep_curves(trials), trials)
 
 
 @query("l10_sweep_grid")
@@ -229,23 +235,26 @@ def l11(spark, d):
     return V.throughput(spark.createDataFrame(rows, "rows long, partitions int, seconds double")).select("rows", "partitions")
 
 
-_AC = """mm as (select partition_id, chain_id, count(*) as n, avg(k) as m, var_pop(k) as v from trace group by all), xx as (select partition_id, chain_id, iter, k-m as x, n, v from trace join mm using (partition_id, chain_id)),
-ac as (select a.partition_id, a.chain_id, lag, sum(a.x*coalesce(b.x,0)) as s, any_value(a.n) as n, any_value(a.v) as v from xx a, (select unnest(range(0,21)) as lag) left join xx b on a.partition_id=b.partition_id and a.chain_id=b.chain_id and b.iter=a.iter+lag group by all),
-rh as (select partition_id, chain_id, lag, case when v=0 then 1 else s/(n*v) end as rho, n, v from ac)"""
+def _ess_sql(name: str, source: str, keys: str, value: str) -> str:
+    """{name}_rh: keys, lag, rho; {name}: keys, ess."""
+    on = " and ".join(f"a.{k}=b.{k}" for k in keys.split(", "))
+    of = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""{name}_mm as (select {keys}, count(*) as n, avg({value}) as m, var_pop({value}) as v from {source} group by all), {name}_xx as (select {keys}, iter, {value}-m as x, n, v from {source} join {name}_mm using ({keys})),
+{name}_rh as (select {of}, lag, any_value(a.n) as n, case when any_value(a.v)=0 then 1 else sum(a.x*coalesce(b.x,0))/(any_value(a.n)*any_value(a.v)) end as rho from (select *, unnest(range(0, n//2+1)) as lag from {name}_xx) a left join {name}_xx b on {on} and b.iter=a.iter+lag group by {of}, lag),
+{name}_pr as (select {keys}, (lag-1)//2 as p, round(sum(rho),12) as s, any_value(n) as n from {name}_rh where lag>0 group by all having count(*)=2), {name}_lw as (select *, min(s) over (partition by {keys} order by p) as low from {name}_pr),
+{name} as (select {keys}, case when any_value(n)<4 then any_value(n)::double else greatest(1, least(any_value(n)::double, any_value(n)/(1+2*coalesce(sum(s) filter (low>=0),0)))) end as ess from {name}_lw group by all)"""
 
 
-@query("m1_autocorrelation", f"{TR}, {_AC} select partition_id, lag, round(rho,8) as rho from rh where chain_id=0 and lag<=10")
-def m1(spark, d):
-    a = V.autocorrelation(fx.trace(spark, d).filter("chain_id = 0"), V.CHAIN, "k")
-    return a.select("partition_id", L("lag"), r("rho", 8).alias("rho"))
+_CHAIN = "partition_id, chain_id"
+_ESS = _ess_sql("es", "trace", _CHAIN, "k")
 
 
-_ESS = """pr as (select partition_id, chain_id, lag//2 as p, sum(rho) as s, count(*) as c, any_value(n) as n, any_value(v) as v from rh group by all having count(*)=2),
-lw as (select *, min(s) over (partition by partition_id, chain_id order by p) as low from pr), sm as (select partition_id, chain_id, sum(s) filter (low>0) as s, any_value(n) as n, any_value(v) as v from lw group by all),
-es as (select partition_id, chain_id, case when v=0 or 2*coalesce(s,1)-1<=0 then n::double else greatest(1, least(n::double, n/(2*coalesce(s,1)-1))) end as ess from sm)"""
+@query("m1_autocorrelation", f"{TR}, {_ESS} select partition_id, chain_id, lag, round(rho,8) as rho from es_rh where lag<=n//4")
+def m1(spark, d):
+    return V.autocorrelation(fx.trace(spark, d), V.CHAIN, "k").select("partition_id", L("chain_id"), L("lag"), r("rho", 8).alias("rho"))
 
 
-@query("m2_ess", f"{TR}, {_AC}, {_ESS} select partition_id, chain_id, round(ess,6) as ess from es")
+@query("m2_ess", f"{TR}, {_ESS} select partition_id, chain_id, round(ess,6) as ess from es")
 def m2(spark, d):
     return V.ess(fx.trace(spark, d), V.CHAIN, "k").select("partition_id", L("chain_id"), r("ess", 6).alias("ess"))
 
@@ -259,22 +268,31 @@ def m3(spark, d):
     return V.split_rhat(fx.trace(spark, d), ["partition_id"], "k").select("partition_id", r("rhat", 8).alias("rhat"))
 
 
-@query("m4_indicator_ess")
+_NEAR_MODE = f"""md as (select k as mode from trace group by k order by count(*) desc, k limit 1), hits as (select partition_id, chain_id, iter, value, (k=value)::int::double as hit from trace, (select unnest(range(mode-2, mode+3)) as value from md)),
+{_ess_sql("ie", "hits", "partition_id, chain_id, value", "hit")}"""
+
+
+@query("m4_indicator_ess", f"{TR}, {_NEAR_MODE} select partition_id, chain_id, value, round(ess,6) as ess from ie")
 def m4(spark, d):
-    return V.indicator_ess(fx.trace(spark, d), V.CHAIN).select("partition_id", "chain_id", "value", r("ess", 6).alias("ess"))
+    return V.indicator_ess(fx.trace(spark, d), V.CHAIN).select("partition_id", L("chain_id"), L("value"), r("ess", 6).alias("ess"))
 
 
-@query("m5_mixing_report", f"""{TR}, {_AC}, {_ESS}, {_RHAT} select partition_id, chain_id, 'mean' as statistic, round(avg(k),6) as value from trace group by all union all select partition_id, chain_id, 'variance', round(var_samp(k),6) from trace group by all
- union all select partition_id, chain_id, 'ess', round(ess,6) from es union all select partition_id, null, 'rhat', round(rhat,6) from rt""")
+@query("m5_mixing_report", f"""{TR}, {_ESS}, {_NEAR_MODE}, {_RHAT} select partition_id, chain_id, 'mean' as statistic, round(avg(k),6) as value from trace group by all union all select partition_id, chain_id, 'variance', round(var_samp(k),6) from trace group by all
+ union all select partition_id, chain_id, 'ess', round(ess,6) from es union all select partition_id, chain_id, 'ess of k = ' || value, round(ess,6) from ie union all select partition_id, null, 'rhat', round(rhat,6) from rt""")
 def m5(spark, d):
     return V.mixing_report(fx.trace(spark, d)).select("partition_id", L("chain_id"), "statistic", r("value", 6).alias("value"))
 
 
-@query("m6_k_marginal_test")
+#: Fixed values: |z| at which a two-sided p is 0.05, 0.05 / 2 and 0.05 / 3; the trace has three different k.
+@query("m6_k_marginal_test", f"""{TR}, gv as (select k as value, count(*)/(select count(*) from trace) as prob from trace group by k), hits as (select partition_id, chain_id, iter, value, prob, (k=value)::int::double as hit from trace, gv),
+ {_ess_sql("ie", "hits", "partition_id, chain_id, value", "hit")}, vr as (select partition_id, chain_id, value, min(hit)<>max(hit) as varies, count(*)::double as n from hits group by all),
+ et as (select partition_id, value, sum(case when varies then ess else n end) as ess from ie join vr using (partition_id, chain_id, value) group by all), fr as (select partition_id, value, avg(hit) as freq, any_value(prob) as prob from hits group by all),
+ zz as (select *, case when ess>=30 and ess*least(prob,1-prob)>=5 then (freq-prob)/sqrt(prob*(1-prob)/ess) end as z from fr join et using (partition_id, value)), mm as (select *, count(z) over (partition by partition_id) as m from zz)
+ select partition_id, value as k, round(freq,9) as freq, round(ess,6) as ess, round(z,6) as z, case when z is null then 'inconclusive' when abs(z)>case m when 1 then 1.9599639845 when 2 then 2.2414027276 else 2.3939797998 end then 'fail' else 'pass' end as verdict from mm""")
 def m6(spark, d):
     t = fx.trace(spark, d)
     given = t.groupBy("k").agg(F.count("*").alias("c")).crossJoin(t.agg(F.count("*").alias("t"))).select("k", (F.col("c") / F.col("t")).alias("prob"))
-    return V.k_marginal_test(t, given).select("partition_id", "k", r("freq").alias("freq"), r("z", 6).alias("z"), "verdict")
+    return V.k_marginal_test(t, given).select("partition_id", L("k"), r("freq").alias("freq"), r("ess", 6).alias("ess"), r("z", 6).alias("z"), "verdict")
 
 
 @query("m7_conditional_tv", f"""{TR}, e as (select partition_id, k, (iter%3)::varchar as l, count(*)/40e0 as p from trace where chain_id=0 group by all), f as (select partition_id, k, (iter%3)::varchar as l, count(*)/40e0 as p from trace where chain_id=1 group by all),
@@ -289,9 +307,9 @@ def m7(spark, d):
 _CAN = """cf as (select partition_id, iter, cluster, min(loc_id) as f from samples group by all), cn as (select *, row_number() over (partition by partition_id, iter order by f) as label from cf), cl as (select s.partition_id, s.iter, s.loc_id, c.label from samples s join cn c using (partition_id, iter, cluster))"""
 
 
-@query("m8_canonical_labels", f"with {LOCS_SQL}, {fx.SAMPLES_SQL}, {_CAN} select partition_id, iter, loc_id, label from cl where iter<=4")
+@query("m8_canonical_labels", f"with {LOCS_SQL}, {fx.SAMPLES_SQL}, {_CAN} select partition_id, iter, loc_id, label from cl")
 def m8(spark, d):
-    return V.canonical_labels(fx.samples(spark, d).filter("iter <= 4"), H.SAMPLE).select("partition_id", L("iter"), "loc_id", L("label"))
+    return V.canonical_labels(fx.samples(spark, d), H.SAMPLE).select("partition_id", L("iter"), "loc_id", L("label"))
 
 
 @query("m9_labelling_frequencies", f"with {LOCS_SQL}, {fx.SAMPLES_SQL}, {_CAN}, ky as (select partition_id, iter, max(label) as k, string_agg(label::varchar, ',' order by loc_id) as labelling from cl group by all) select partition_id, k, md5(labelling) as labelling, count(*) as n from ky group by all")

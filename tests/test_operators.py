@@ -1,8 +1,11 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pointloom import fixtures
-from pointloom.operators import consensus, graph, grouping, localizations, neighbors, samples
+from pointloom.operators import calibration, clusters, consensus, evaluation, graph, grouping, localizations, neighbors, samples, scoring
 from pointloom.operators.clusters import cluster_stats, remove_rows
 from pointloom.operators.grouping import GroupingConfig, merge_groups, sample_groupings
 from pointloom.plans import chains, reports
@@ -92,9 +95,8 @@ def test_merging_and_sampling_find_two_sources(spark):
     assert key(drawn) == key(again)
 
 
-def test_merging_goes_on_until_no_pair_merges(spark, monkeypatch):
+def test_merging_goes_on_until_no_pair_merges(spark):
     # all rows are linked to the first only, so a round merges one pair
-    monkeypatch.setattr(grouping, "settle", lambda df, name: df.localCheckpoint())
     m = rows(spark, [((i * 7 % 11 - 5) / 5000, (i * 5 % 13 - 6) / 5000) for i in range(32)]).withColumn("partition_id", F.lit(0).cast("long"))
     star = spark.createDataFrame([(0, i) for i in range(1, 32)], "i long, j long")
     labels = merge_groups(m.coalesce(1), star.coalesce(1), GroupingConfig(mu=32.0)).collect()
@@ -154,3 +156,66 @@ def test_registered_queries_keep_the_operators_defaults(spark, many_pairs, monke
         with pytest.raises(StopIteration):
             f(spark, many_pairs)
         assert len(calls[-1][0]) == n and not calls[-1][1], name
+
+
+def test_effective_sample_size(spark):
+    traces = {0: [3] * 8, 1: [1, 2, 3], 2: [0, 1] * 6, 3: [0, 0, 0, 1, 1, 1, 0, 0, 0, 1, 1, 1]}
+    t = spark.createDataFrame([(c, i, v) for c, vs in traces.items() for i, v in enumerate(vs)], "chain long, iter long, k long")
+    got = {r["chain"]: r["ess"] for r in evaluation.ess(t, ["chain"], "k").collect()}
+
+    def want(vs):
+        n, m = len(vs), sum(vs) / len(vs)
+        var = sum((v - m) ** 2 for v in vs) / n
+        rho = [1.0 if var == 0 else sum((vs[i] - m) * (vs[i + k] - m) for i in range(n - k)) / (n * var) for k in range(n // 2 + 1)]
+        tau, k = 1.0, 1
+        while k + 1 < len(rho) and round(rho[k] + rho[k + 1], 12) >= 0:
+            tau, k = tau + 2 * (rho[k] + rho[k + 1]), k + 2
+        return min(max(n / tau, 1.0), n)
+
+    assert got[1] == 3 and got[0] == 1
+    assert all(abs(got[c] - want(traces[c])) < 1e-9 for c in (2, 3))
+
+
+def test_marginal_test_and_scorecard(spark):
+    rng = random.Random(2)
+    drawn = [(p, 0, i, 1 + (rng.random() < 0.5)) for p in (0, 1) for i in range(400)]
+    trace = spark.createDataFrame(drawn, "partition_id long, chain_id int, iter int, k int")
+    given = spark.createDataFrame([(1, 0.5), (2, 0.499), (3, 0.001), (4, 1e-9)], "k int, prob double")
+    got = {(r["partition_id"], r["k"]): r["verdict"] for r in evaluation.k_marginal_test(trace, given).collect()}
+    assert got == {(p, k): "inconclusive" if k == 3 else "pass" for p in (0, 1) for k in (1, 2, 3)}
+    far = given.withColumn("prob", F.when(F.col("k") == 1, 0.8).otherwise(0.2))
+    assert {r["verdict"] for r in evaluation.k_marginal_test(trace, far.filter("k < 3")).collect()} == {"fail"}
+    trial = lambda sep, k, rmse=1.0, d2=2.0: (2, 20.0, sep, k, 2, 2, rmse, 1.0, d2)
+    rules = lambda rows: {r["rule"]: r["passed"] for r in evaluation.sweep_scorecard(*(lambda t: (evaluation.sweep_curves(t), t))(spark.createDataFrame(rows, "n int, mu double, sep double, k int, k_flat int, k_count int, rmse double, oracle double, d2 double"))).collect()}
+    good = [trial(0.0, 1), trial(0.0, 2), trial(5.0, 2), trial(10.0, 2)]
+    assert all(rules(good).values())
+    bad = rules([trial(0.0, 2), trial(5.0, 2, 1.4, 9.0), trial(10.0, 1)])
+    assert [k for k, v in bad.items() if v] == ["floor against counts"]
+
+
+def test_ranks_without_one_sort(spark):
+    rng = random.Random(3)
+    values = [(g, rng.choice([rng.random(), rng.random() * 1e6])) for g in (0, 1) for _ in range(300)]
+    out = calibration.ranked(spark.createDataFrame(values, "g int, z double"), ["g"], "z").collect()
+    for g in (0, 1):
+        have = sorted((r["i"], r["z"]) for r in out if r["g"] == g)
+        assert [z for _, z in have] == sorted(z for h, z in values if h == g) and [i for i, _ in have] == list(range(1, 301))
+        assert {r["n"] for r in out if r["g"] == g} == {300}
+
+
+def test_target_terms(spark):
+    """Three clusters against sums written out by hand."""
+    pts = spark.createDataFrame([(0, c, 0.01 * c + 0.001 * i, 0.0, 0.005, 0.005, 0.0) for c, n in ((1, 2), (2, 3), (3, 1)) for i in range(n)], "g int, cluster int, x double, y double, sigma_x double, sigma_y double, sigma_xy double")
+    stats = clusters.cluster_stats(pts, ["g", "cluster"]).withColumn("local", F.lit(-1.5))
+    area, shape, mu, rho, sizes = 0.2, 2.0, 5.0, 3.0, [2, 3, 1]
+    k, n, lg = 3, 6, math.lgamma
+    nb = lambda x, r, m: lg(x + r) - lg(r) - lg(x + 1) + r * math.log(r / (r + m)) + x * math.log(m / (r + m))
+    ml = stats.select(F.sum(clusters.log_ml(*clusters.stats_columns(), F.lit(math.log(area)))).alias("s")).first()["s"]
+    count = nb(n, k * shape, k * mu)
+    prior = -rho * area + k * math.log(rho * area) - lg(k + 1)
+    dm = lg(k * shape) - k * lg(shape) - lg(n + k * shape) + sum(lg(s + shape) for s in sizes)
+    direct = sum(nb(s, shape, mu) for s in sizes) + sum(lg(s + 1) for s in sizes) - lg(n + 1)
+    want = {"Decoupled": ml + count + prior, "DecoupledLocmix": -4.5 + count, "DMFlat": ml + count + dm + prior, "DMLocmix": -4.5 + count + dm, "DirectNegBinFlat": ml + direct + prior, "DirectNegBinLocmix": -4.5 + direct, "IPP": -4.5 + count + dm + prior, "FazelFlat": ml + count - n * math.log(k)}
+    for target in scoring.TARGETS:
+        got = scoring.log_target(stats, ["g"], target, area, shape, mu, rho, "local").first()["score"]
+        assert abs(got - want[target]) < 1e-6, target
