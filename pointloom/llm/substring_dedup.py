@@ -12,8 +12,9 @@ The reference is the corpus itself, so it is cut into shards that hold just what
 4. Spans go back to the documents that have the context, and from there to their texts.
 
 An automaton for all documents at once would have to be broadcast and would grow with the corpus, so shards travel
-to their contexts by a shuffle on the anchor instead. An anchor with more different contexts than ``hot`` never
-meets in one task: its windows are counted one by one, with partial sums.
+to their contexts by a shuffle on the anchor instead. An anchor whose different contexts have more than ``hot`` words
+never meets in one task: its windows are counted one by one, with partial sums. Either way gives the same spans; of an
+anchor with a single context every window is in all its places, so its spans need no automaton.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from . import _words as W
 from ._common import documents, keyed, settle
 
 THRESHOLD, ANCHOR = 35, 8
-HOT = 20_000  # different contexts of one anchor that may meet in one task
+HOT = 200_000  # words of the different contexts of one anchor that may meet in one task
 SHARD_WORDS = 60_000  # an automaton's words, unless one anchor has more
 
 
@@ -231,11 +232,11 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD, anchor: int = AN
     found = anchors(rows, threshold, anchor)
     # counted with partial sums; 'mixed' anchors have contexts that differ
     counted = found.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("a"), F.max("c").alias("b"))
-    often = counted.filter("k > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
+    often = settle(counted.filter("k > 1").select("h", (F.col("a") != F.col("b")).alias("mixed")), "often")  # written, so that the join can split a hot anchor
     places = settle(found.join(often, "h"), "places")
     mixed = places.filter("mixed")
     one = mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "at", "len")).alias("r"))
-    crowd = one.groupBy("h").agg(F.count("*").alias("k")).select("h", (F.col("k") > hot).alias("hot"))
+    crowd = one.groupBy("h").agg(F.sum("r.len").alias("k")).select("h", (F.col("k") > hot).alias("hot"))
     wanted = one.join(crowd, "h").select("h", "c", "n", "hot", "r.*")
     cut = settle(_fetch(rows, wanted, threshold), "contexts")
     cold = cut.filter("words is not null").select("h", "c", "n", "words")
