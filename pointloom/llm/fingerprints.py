@@ -1,10 +1,11 @@
 """Document fingerprints: one-permutation MinHash with optimal densification, in DataFrame functions only.
 
 A text's shingles are hashed once; the hash's top bits name one of ``BINS`` bins, and each bin keeps its smallest
-hash. An empty bin takes the value of a full one, found by a probing order of its own that is the same for every
-document, so two documents fill it from the same place whenever that place is the first full one in both. Only
-``BITS`` low-order bits of every bin's value, shifted by the bin, are stored, packed as one hex digit each; the likeness of two fingerprints is the
-share of equal digits, corrected for the share that is equal by chance.
+hash. An empty bin takes the value of a full one: every attempt of every bin draws a bin from a universal hash family,
+independently of the others and alike in every document, and the first full one drawn gives its value. Where few bins
+are full and no attempt hits one, the bin takes the full one with the smallest hash of (bin, full bin). Only ``BITS``
+low-order bits of every bin's value, shifted by the bin, are stored, packed as one hex digit each; the likeness of two
+fingerprints is the share of equal digits, corrected for the share that is equal by chance.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from ._common import documents, settle
 
 BINS_LOG2, SHINGLE, BITS = 8, 5, 4
 BINS = 1 << BINS_LOG2
-PRIME = 257  # the next after BINS: multiples of a number run through all bins
-TRIES = 12  # probes before a sparse text's full bins are ranked instead
+PRIME = (1 << 31) - 1  # of the universal hash family
+TRIES = 12  # attempts before a sparse text's full bins are ranked instead
 BUCKET, BUCKETS = 100_000, 1024  # documents in a bucket of the id order, and the most buckets
 _LOW = (1 << (64 - BINS_LOG2)) - 1
 
@@ -46,11 +47,14 @@ def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
     return let(words, of)
 
 
-def _step(bin_: int) -> int:
-    """The multiplier of a bin's probing order, 1 to 256: a fixed scramble of its number."""
-    x = (bin_ + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    return (x ^ x >> 29) % (PRIME - 1) + 1
+def _family(attempt: int) -> tuple[int, int]:
+    """a and b of an attempt's hash (a * bin + b) mod PRIME mod BINS: a fixed scramble of its number."""
+    out = []
+    for x in (2 * attempt + 1, 2 * attempt + 2):
+        x = x * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        out.append((x ^ x >> 29) % (PRIME - 1) + 1)
+    return out[0], out[1]
 
 
 def fingerprint(text: Column, n: int = SHINGLE) -> Column:
@@ -58,8 +62,6 @@ def fingerprint(text: Column, n: int = SHINGLE) -> Column:
     # a marker ends each bin: after sorting, what follows a marker is the next bin's smallest hash, or its marker
     ends = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.shiftleft(b.cast("long"), 64 - BINS_LOG2).bitwiseOR(F.lit(_LOW)))
     is_end = lambda h: h.bitwiseAND(F.lit(_LOW)) == F.lit(_LOW)
-    steps = F.array(*[F.lit(_step(b)) for b in range(BINS)])
-    back = F.array(*[F.lit(pow(_step(b), -1, PRIME)) for b in range(BINS)])
 
     def smallest(s: Column) -> Column:
         return F.filter(s, lambda h, i: (i == 0) | is_end(F.get(s, i - 1)))
@@ -74,10 +76,9 @@ def fingerprint(text: Column, n: int = SHINGLE) -> Column:
     def filled(d: Column) -> Column:
         def rest(full: Column) -> Column:
             def fill(own: Column, i: Column) -> Column:
-                probes = [F.get(d, F.pmod(F.get(steps, i) * t, F.lit(PRIME)) - 1) for t in range(1, TRIES + 1)]
-                # the same order, by rank: the first full bin is the one with the least number of probes
-                rank = F.array_min(F.transform(full, lambda j: F.pmod((j + 1) * F.get(back, i), F.lit(PRIME)) * BINS + j))
-                return digit(F.coalesce(own, *probes, F.get(d, F.pmod(rank, F.lit(BINS)).cast("int"))), i)
+                draws = [(F.pmod(i.cast("long") * a + b, F.lit(PRIME)) % BINS).cast("int") for a, b in map(_family, range(TRIES))]
+                least = F.array_min(F.transform(full, lambda j: F.xxhash64(i, j).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long"))))
+                return digit(F.coalesce(own, *[F.get(d, j) for j in draws], F.get(d, least.bitwiseAND(F.lit(BINS - 1)).cast("int"))), i)
 
             return F.array_join(F.transform(d, fill), "")
 
@@ -130,10 +131,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edit puts the first floor(n/4) code points of the next document, in the order of ids, in the place of the
     last as many. A null text is empty. Rows that share an id are ordered by a hash of their text; equal rows are one
     document in that order and each get its row; a null id comes first. A lone document is its own next. Other
-    columns are ignored; an empty table gives an empty one.
+    columns are ignored; an empty table gives an empty one. Very long texts are hashed whole.
     """
-    none = -(1 << 63)  # stands for a null id
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
+    none = -(1 << 63)  # stands for a null id in the order; the hash tells it from this id itself
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).isNull().alias("_no"))
+    rows = rows.withColumn("_th", F.xxhash64("_text", "_no"))
     own = settle(rows.select("_id", "_th", F.length("_text").alias("n"), fingerprint(F.col("_text")).alias("f")).dropDuplicates(["_id", "_th"]), "fingerprints")
     order = settle(next_in_order(own.select("_id", "_th", "n")), "order")
     theirs = own.select(F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), F.col("f").alias("next_f"))
@@ -142,9 +144,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     head = head.select(F.col("prev_id").alias("_id"), F.col("prev_th").alias("_th"), F.expr("left(_text, prev_n div 4)").alias("head")).dropDuplicates(["_id", "_th"])
     both = rows.join(facts, ["_id", "_th"]).join(head, ["_id", "_th"])
     edited = F.concat(F.expr("left(_text, n - n div 4)"), F.col("head"))
-    made = both.select("_id", "n", "f", "next_f", F.sha2(edited, 256).alias("edited_sha256"), fingerprint(edited).alias("g"))
+    made = both.select("_id", "_no", "n", "f", "next_f", F.sha2(edited, 256).alias("edited_sha256"), fingerprint(edited).alias("g"))
     return made.select(
-        F.when(F.col("_id") != none, F.col("_id")).alias("doc_id"),
+        F.when(~F.col("_no"), F.col("_id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         F.col("f").alias("fingerprint"),
