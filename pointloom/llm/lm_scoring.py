@@ -8,8 +8,9 @@ that is joined by hash, so each word has a probability of its own, whatever the
 
 Training runs where the data is: in each round every task trains on its own documents' share in numpy, and the
 tasks' weights are averaged by the words they saw, summed as whole numbers so that their order doesn't matter. Over
-the rounds every document is trained on once. The driver holds one model, whatever the corpus; a partition's part in
-the average depends on how the input is split.
+the rounds every document is trained on once. The driver holds one model, whatever the corpus. A task starts from the
+round's weights and works through its own partition, so the fitted weights depend on how the input's files are split;
+for one split they are the same on every run.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SIDE, WIDTH, HIDDEN = 2, 16, 24
 ROUNDS, BATCH, RATE, SEED = 3, 4096, 0.1, 7
 PARTIALS = 32  # sums of weights that reach the driver in a round
 SMOOTH = 0.5  # added to the count of each word of a bucket, and of one that stands for unseen words
-_SCALE = float(1 << 20)
+_SCALE, _MOST = float(1 << 20), 1024.0  # of whole numbers that stand for weights, and the largest weight
 _SHAPES = {"words": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "bias": (HIDDEN,), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 LARGEST = 60.0  # of a logit, so that exponentials don't overflow
 _ONES = np.ones(BATCH, np.float32)
@@ -180,7 +181,11 @@ def vocabulary(counts: DataFrame) -> Words:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Words]:
-    """Weights trained on every document once, and the words."""
+    """Weights trained on every document once, and the words.
+
+    Null and empty texts teach nothing; repeated rows are trained on each; words with equal counts are taken by hash;
+    very long texts are worked on whole; an empty table gives the weights at the start and no words.
+    """
     sc = docs.sparkSession.sparkContext
     words = vocabulary(settle(word_counts(docs, text_col), "words"))
     known = sc.broadcast((words.hashes, words.ids))
@@ -200,22 +205,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
                         net.train(_windows(flat, ids, lo, hi), ids[lo:hi])
                     seen += len(ids)
             if seen:
-                blob = np.rint(net.weights.astype(float) * _SCALE).astype(np.int64) * seen
+                whole = np.rint(np.clip(net.weights.astype(float), -_MOST, _MOST) * _SCALE).astype(np.int64)
+                # times the words seen, in two parts that stay exact in sums of a million tasks
+                blob = np.stack([whole * (seen >> 20), whole * (seen & (1 << 20) - 1)])
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([blob.tobytes()], pa.binary())], names=["seen", "blob"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, seen = np.zeros(_SIZE, np.float64), 0
+            total, seen = np.zeros(2 * _SIZE, np.int64), 0
             for b in batches:
                 for n, blob in zip(b.column("seen").to_pylist(), b.column("blob").to_pylist(), strict=True):
                     total, seen = total + np.frombuffer(blob, np.int64), seen + n
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.astype(np.int64).tobytes()], pa.binary())], names=["seen", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "blob"])
 
         share = rows.filter(F.pmod(F.xxhash64("_id", "_th"), F.lit(rounds)) == r).select("_text")
         sums = share.mapInArrow(train, "seen long, blob binary").repartition(PARTIALS, F.xxhash64("blob")).mapInArrow(add, "seen long, blob binary").collect()
         seen = sum(x["seen"] for x in sums)
         if seen:
-            weights = (sum(np.frombuffer(x["blob"], np.int64).astype(float) for x in sums) / (seen * _SCALE)).astype(np.float32)
+            high, low = sum(np.frombuffer(x["blob"], np.int64) for x in sums).reshape(2, _SIZE).astype(float)
+            weights = ((high * (1 << 20) + low) / (seen * _SCALE)).astype(np.float32)
     return weights, words
 
 
