@@ -56,7 +56,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [1 << 40, 400, 1])
 def test_substring_dedup(docs, empty, hot):
     rows = [(i, WORDS.findall(t or "")) for i, t in corpus()]
     seen = Counter(tuple(w[k : k + 35]) for _, w in rows for k in range(len(w) - 34))
@@ -197,6 +197,50 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_densified_digits(spark):
+    """Bins, draws, ranks and digits by plain Python, from Spark's shingle hashes."""
+    texts = [None, " ", "one", "one two three", *[" ".join(f"w{i}" for i in range(n)) for n in (5, 6, 9, 20, 60, 200, 900)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    shingles = fingerprints.shingle_hashes(fingerprints.word_hashes(F.col("t")))
+    pairs = spark.range(256).select(F.col("id").cast("int").alias("i")).crossJoin(spark.range(256).select(F.col("id").cast("int").alias("j")))
+    rank = {(r["i"], r["j"]): r["h"] for r in pairs.select("i", "j", F.xxhash64("i", "j").alias("h")).collect()}
+    for r in df.select("t", shingles.alias("s"), fingerprints.fingerprint(F.col("t")).alias("f")).collect():
+        low = {}
+        for h in r["s"]:
+            b = (h >> 56 & 255) ^ 128  # bins are in the order of signed hashes
+            low[b] = min(h, low.get(b, h))
+        want = ""
+        for i in range(256 if low else 0):
+            donor = next((j for j in [i, *[(a * i + b) % fingerprints.PRIME % 256 for a, b in map(fingerprints._family, range(fingerprints.TRIES))]] if j in low), None)
+            if donor is None:
+                donor = min(low, key=lambda j: (rank[i, j] >> 8, j))
+            want += f"{(low[donor] & (1 << 64) - 1) >> i % 13 * 4 & 15:X}"
+        assert r["f"] == want
+
+
+def test_smallest_id_is_not_a_null(spark):
+    rows = spark.createDataFrame([(-(1 << 63), "a b"), (None, "a b"), (None, None), (5, "c")], "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in fingerprints.fingerprints(rows).collect()) == Counter({-(1 << 63): 1, None: 2, 5: 1})
+
+
+def test_network_by_plain_loops():
+    """One document's log-probabilities, from the weights by the formula."""
+    m = lm_scoring
+    net = m.WindowNetwork()
+    ids = np.array([3, 40, 3, 1000, 7, 512])
+    at = np.array([0, 6])
+    flat = m.W.Flat(np.zeros(6, np.uint8), at, np.arange(6), np.arange(6) + 1, at, np.zeros(6, np.int64), ids.astype(np.uint64))
+    got = net.log_probabilities(m._windows(flat, ids, 0, 6), ids)
+    p = {k: v.astype(float) for k, v in net.part.items()}
+    for t, word in enumerate(ids.tolist()):
+        around = [ids[t + s] if 0 <= t + s < 6 else m.VOCABULARY for s in (-2, -1, 1, 2)]
+        h = np.tanh(np.concatenate([p["words"][w] for w in around]) @ p["inner"] + p["bias"])
+        c, w = divmod(word, m.MEMBERS)
+        outer, inner = h @ p["classes"] + p["class_bias"], h @ p["members"][c] + p["member_bias"][c]
+        want = outer[c] - np.log(np.exp(outer).sum()) + inner[w] - np.log(np.exp(inner).sum())
+        assert abs(got[t] - want) < 1e-4
+
+
 def test_likeness_is_near_jaccard(spark):
     rng = random.Random(3)
     w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
