@@ -244,7 +244,8 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD, anchor: int = AN
     windows = cut.filter("words is null").select("h", "c", "n", "window", "lo").distinct()  # repeated rows bring them twice
     again = windows.groupBy("window").agg(F.sum("n").alias("m")).filter("m > 1").select("window")
     spans = spans.unionByName(windows.join(again, "window", "left_semi").select("h", "c", "lo", (F.col("lo") + threshold).alias("hi")))
-    spans = spans.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
+    # written, so that the join can split a context that very many documents have
+    spans = settle(spans.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("s")), "spans")
     some = mixed.join(spans, ["h", "c"]).select("_id", "_th", F.transform("s", lambda s: F.struct((F.col("at") + s["lo"]).alias("lo"), (F.col("at") + s["hi"]).alias("hi"))).alias("s"))
     whole = places.filter("not mixed").select("_id", "_th", F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("len")).alias("hi"))).alias("s"))
     return some.unionByName(whole).groupBy("_id", "_th").agg(F.flatten(F.collect_list("s")).alias("spans"))
