@@ -19,7 +19,7 @@ from . import _words as W
 from ._common import documents, keyed
 from ._pieces import Pieces, default_vocabulary, marked_words
 
-CACHE = 300_000
+CACHE, LONG = 300_000, 256  # words that a worker remembers, and the bytes of the longest of them
 
 
 class SharedPrefixViterbi:
@@ -27,6 +27,7 @@ class SharedPrefixViterbi:
         self.pieces = pieces
         self.tails = {p[k:] for p in pieces.score for k in range(len(p))}  # what pieces end with
         self.known: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """Ids of sorted words."""
@@ -66,9 +67,12 @@ class SharedPrefixViterbi:
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        """Segment the words that aren't known yet, all in one walk."""
+        """Segment the words that aren't known yet, all in one walk. Long ones are known until the next call."""
         if len(self.known) > CACHE:
             self.known.clear()
+        for w in self.long:
+            self.known.pop(w, None)
+        self.long = [w for w in words if len(w) > LONG]
         new = sorted((w.decode("utf-8", "replace"), w) for w in words if w not in self.known)
         for (_, raw), ids in zip(new, self.segment([t for t, _ in new]), strict=True):
             self.known[raw] = np.array(ids, "<u4").tobytes()
@@ -82,11 +86,11 @@ class SharedPrefixViterbi:
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """doc_id, n_ids, ids_crc32, round_trip (and ids, array<int>) of every whole text.
 
-    round_trip: the text decoded from its ids is the text (a mark in it comes back as a space). A null or empty text
-    has no ids. Equal rows each get a row; other columns are ignored; an empty table gives an empty one.
+    round_trip: the text decoded from its ids is the text; false where the text has a mark, which comes back as a space.
+    A null or empty text has no ids. Of equally good pieces that end at one place the longest is taken. Equal rows each get a row; other columns are ignored; an empty table gives an empty one. Very
+    long texts are worked on whole.
     """
     schema = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if ids else "")
-    mark = "▁".encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = SharedPrefixViterbi(Pieces.load(vocabulary))
@@ -98,7 +102,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 search.learn(set().union(*words))
                 made = [np.frombuffer(b"".join(map(search.known.__getitem__, w)), "<u4") for w in words]
                 cols = [b.column("_id").slice(lo, hi - lo), pa.array([len(x) for x in made], pa.int64()), pa.array([zlib.crc32(x) for x in made], pa.int64())]
-                cols.append(pa.array([search.decode(x) == t.replace(mark, b" ") for x, t in zip(made, texts, strict=True)], pa.bool_()))
+                cols.append(pa.array([search.decode(x) == t for x, t in zip(made, texts, strict=True)], pa.bool_()))
                 if ids:
                     cols.append(pa.array([x.astype(np.int32) for x in made], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])

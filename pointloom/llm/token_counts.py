@@ -17,7 +17,7 @@ from . import _words as W
 from ._common import documents, keyed
 from ._pieces import Pieces, default_vocabulary, marked_words
 
-CACHE = 500_000
+CACHE, LONG = 500_000, 256  # words that a worker remembers, and the bytes of the longest of them
 
 
 class PieceCounts(dict):
@@ -54,7 +54,8 @@ class PieceCounts(dict):
             if total > best[end]:
                 best[end], count[end] = total, count[end - length] + 1
         close(n)
-        self[raw] = count[n]
+        if len(raw) <= LONG:
+            self[raw] = count[n]
         return count[n]
 
     def of(self, text: bytes) -> int:
@@ -66,8 +67,8 @@ class PieceCounts(dict):
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens of every whole text.
 
-    A null or empty text has none. Equal rows each get a row; other columns are ignored; an empty table gives an
-    empty one.
+    A null or empty text has none. Equal rows each get a row; very long texts are worked on whole; other columns are
+    ignored; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
