@@ -26,11 +26,12 @@ from ._common import documents, keyed, settle
 
 CAPACITY, END = 4096, 1
 SHARD = 16384  # pieces, as expected
-CACHE, LONG = 200_000, 64  # words that a worker remembers, and the bytes of the longest of them
+CACHE, LONG = 400_000, 64  # words that a worker remembers, and the bytes of the longest of them
 
 #: The byte-level alphabet of such vocabularies: printable bytes stand for themselves, the others for 256, 257, ...
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
+_BYTE = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # words whose splits are the same under any version of Unicode
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -44,7 +45,7 @@ class _PartIds(dict):
         self.id = [i.to_bytes(4, "little") for i in range(1 << 16)]
 
     def __missing__(self, part: str) -> bytes:
-        shown = part if part.isascii() else "".join(map(_BYTE.__getitem__, part.encode()))
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE)
         ids = self[part] = b"".join([self.id[t.id] for t in self.model.tokenize(shown)])
         return ids
 
@@ -65,15 +66,13 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > LONG:
             return self._whole(word)
-        stem = word.rstrip(b".,;:!?")
-        if stem.isalpha():  # ASCII letters are one part, and so are the signs after them
-            ids = self.parts[stem.decode().lower()]
-            if len(stem) < len(word):
-                ids += self.parts[word[len(stem) :].decode()]
-            self[word] = ids
-            return ids
         text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+        stem = text.rstrip(".,;:!?")
+        if _LETTERS.fullmatch(stem):  # letters are one part, and so are the signs after them
+            ids = self.parts[stem.lower()]
+            if len(stem) < len(text):
+                ids += self.parts[text[len(stem) :]]
+        elif _PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
             ids = b"".join(map(self.parts.__getitem__, _PIECE.findall(text.lower())))
         else:
             ids = self._whole(word)
