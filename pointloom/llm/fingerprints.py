@@ -136,10 +136,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = -(1 << 63)  # stands for a null id in the order; the hash tells it from this id itself
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).isNull().alias("_no"))
     rows = rows.withColumn("_th", F.xxhash64("_text", "_no"))
-    own = settle(rows.select("_id", "_th", F.length("_text").alias("n"), fingerprint(F.col("_text")).alias("f")).dropDuplicates(["_id", "_th"]), "fingerprints")
+    own = settle(rows.select("_id", "_th", "_no", F.length("_text").alias("n"), fingerprint(F.col("_text")).alias("f")).dropDuplicates(["_id", "_th"]), "fingerprints")
     order = settle(next_in_order(own.select("_id", "_th", "n")), "order")
     theirs = own.select(F.col("_id").alias("next_id"), F.col("_th").alias("next_th"), F.col("f").alias("next_f"))
-    facts = own.join(order, ["_id", "_th"]).join(theirs, ["next_id", "next_th"]).select("_id", "_th", "n", "f", "next_f")
+    facts = own.join(order, ["_id", "_th"]).join(theirs, ["next_id", "next_th"]).select("_id", "_th", "_no", "n", "f", "next_f")
+    rows = rows.drop("_no")  # both joins below read the same exchange
     head = rows.join(order.select("_id", "_th", "prev_id", "prev_th", "prev_n"), ["_id", "_th"])
     head = head.select(F.col("prev_id").alias("_id"), F.col("prev_th").alias("_th"), F.expr("left(_text, prev_n div 4)").alias("head")).dropDuplicates(["_id", "_th"])
     both = rows.join(facts, ["_id", "_th"]).join(head, ["_id", "_th"])
