@@ -31,7 +31,7 @@ CLASSES, MEMBERS, BUCKETS = 32, 32, 64
 VOCABULARY = CLASSES * MEMBERS
 SIDE, WIDTH, HIDDEN = 2, 16, 24
 ROUNDS, BATCH, RATE, SEED = 3, 4096, 0.1, 7
-PARTIALS = 32  # sums of weights that reach the driver in a round
+PARTIALS = 8  # sums of weights that reach the driver in a round
 SMOOTH = 0.5  # added to the count of each word of a bucket, and of one that stands for unseen words
 _SCALE, _MOST = float(1 << 20), 1024.0  # of whole numbers that stand for weights, and the largest weight
 _SHAPES = {"words": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "bias": (HIDDEN,), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
@@ -219,7 +219,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "blob"])
 
         share = rows.filter(F.pmod(F.xxhash64("_id", "_th"), F.lit(rounds)) == r).select("_text")
-        sums = share.mapInArrow(train, "seen long, blob binary").repartition(PARTIALS, F.xxhash64("blob")).mapInArrow(add, "seen long, blob binary").collect()
+        sums = share.mapInArrow(train, "seen long, blob binary")
+        # added up in two steps: first in as many tasks as the number of sums asks for
+        for deal in ([F.xxhash64("blob")], [PARTIALS, F.xxhash64("blob")]):
+            sums = sums.repartition(*deal).mapInArrow(add, "seen long, blob binary")
+        sums = sums.collect()
         seen = sum(x["seen"] for x in sums)
         if seen:
             high, low = sum(np.frombuffer(x["blob"], np.int64) for x in sums).reshape(2, _SIZE).astype(float)
