@@ -96,14 +96,23 @@ def morton(cx, cy, bits: int = 10):
 
 def split_oversized(rows: DataFrame, max_size: int) -> DataFrame:
     """Cut components (component, loc_id, x, y) of more than max_size rows into compact pieces of nearly equal size,
-    along a Morton curve. Adds piece (0 where nothing is cut) and n_pieces."""
+    along a Morton curve. Adds piece (0 where nothing is cut) and n_pieces.
+
+    A component's rows are counted by the curve's cells (at most 2**20), and ranked inside each cell after the cells
+    before it, so no task sorts a component whole.
+    """
     box = rows.groupBy("component").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     r = rows.join(box, "component")
     cell = lambda a: F.least(F.lit(1023), F.floor((F.col(a) - F.col(f"{a}0")) / F.greatest(F.col(f"{a}1") - F.col(f"{a}0"), F.lit(1e-12)) * 1024)).cast("long")
     parts = F.when(F.col("n") > max_size, F.greatest(F.lit(2), F.ceil(F.col("n") / (0.9 * max_size)))).otherwise(1).cast("long")
-    w = Window.partitionBy("component").orderBy("key", "loc_id")
-    r = r.withColumn("key", morton(cell("x"), cell("y"))).withColumn("n_pieces", parts)
-    return r.withColumn("piece", F.floor((F.row_number().over(w) - 1) * F.col("n_pieces") / F.col("n"))).drop("n", "x0", "x1", "y0", "y1", "key")
+    r = r.withColumn("n_pieces", parts)
+    whole = r.filter("n_pieces = 1").withColumn("piece", F.lit(0).cast("long"))
+    cut = r.filter("n_pieces > 1").withColumn("key", morton(cell("x"), cell("y")))
+    cells = cut.groupBy("component", "key").agg(F.count("*").alias("m"))
+    before = cells.select("component", "key", (F.sum("m").over(Window.partitionBy("component").orderBy("key")) - F.col("m")).alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("component", "key").orderBy("loc_id")) - 1
+    cut = cut.join(before, ["component", "key"]).withColumn("piece", F.floor(rank * F.col("n_pieces") / F.col("n")))
+    return whole.unionByName(cut.drop("key", "before")).drop("n", "x0", "x1", "y0", "y1")
 
 
 def partition_locs(locs: DataFrame, n_sigma: float = 3.0, max_size: int = 50, skip_size: int | None = None, min_pts: int = 0, refine: bool = False, overlap: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,8 @@
 """Range and nearest-neighbour joins on a grid of cells, and one-to-one matching.
 
-A range join puts rows in cells as wide as the largest radius, copies one side to the cells around it, joins on the
-cell (a plain equi-join, which Spark can split where one cell is crowded) and tests the distance after.
+A range join puts rows in cells as wide as the radius, copies one side to the cells around it, joins on the cell (a
+plain equi-join, which Spark can split where one cell is crowded) and tests the distance after. Where each row has a
+radius of its own, cells come in levels of half the width each, so few wide rows don't make all cells wide.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from ..sources.tables import settle
 
 #: Own cell, and half of the cells around it: each pair of cells once.
 _HALF = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
+_AROUND = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1))
+
+#: Finest level of cells: 2**20 times narrower than the widest row's.
+_LEVELS = 20
 
 
 def distance(ax, ay, bx, by) -> Column:
@@ -30,17 +35,37 @@ def _around(df: DataFrame, offsets) -> DataFrame:
 
 
 def neighbor_pairs(locs: DataFrame, n_sigma: float = 3.0, by: list[str] | None = None) -> DataFrame:
-    """i < j, d, r: rows closer than r = n_sigma (s_i + s_j), s being the mean sigmas. ``by`` keeps pairs inside groups."""
+    """i < j, d, r: rows closer than r = n_sigma (s_i + s_j), s being the mean sigmas. ``by`` keeps pairs inside groups.
+
+    A row's level is how often the widest row's s can be halved and still be at least its own, up to ``_LEVELS``. A
+    pair meets in the cells of its wider row's level: rows look around at their own level, and stand in their own cell
+    at each level that has rows, up to the widest. Two rows of one level meet once, by half of the cells around.
+    """
     by = by or []
-    rows = locs.select(*by, "loc_id", "x", "y", mean_sigma(F.col("sigma_x"), F.col("sigma_y")).alias("s"))
-    size = rows.agg((F.max("s") * (2.0 * n_sigma)).alias("_size"))
-    a = _cells(rows, size)
-    b = _around(a, _HALF)
-    own = (F.col("_s.a") == 0) & (F.col("_s.b") == 0)
-    key = ["_cx", "_cy", *by]
-    b = b.select(*key, own.alias("_own"), F.col("loc_id").alias("lb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("s").alias("sb"))
+    rows = locs.select(*by, "loc_id", "x", "y", mean_sigma(F.col("sigma_x"), F.col("sigma_y")).alias("s")).filter("s is not null")
+    widest = rows.agg(F.nullif(F.max("s"), F.lit(0.0)).alias("_widest"))  # without a radius nothing is near
+    halvings = F.floor(F.log2(F.col("_widest") / F.col("s")) - 1e-9)
+    level = F.when(F.col("s") > 0, F.greatest(F.lit(0), F.least(F.lit(_LEVELS), halvings))).otherwise(_LEVELS).cast("int")
+    rows = rows.crossJoin(F.broadcast(widest)).withColumn("_own", level)
+    found = rows.agg(F.collect_set("_own").alias("_levels"))  # at most _LEVELS + 1 numbers
+    rows = rows.crossJoin(F.broadcast(found))
+    # its own level's rows meet it apart from finer ones: same is part of the key
+    finer = F.col("_own") < F.array_max("_levels")
+    stand = F.transform(F.filter("_levels", lambda v: v <= F.col("_own")), lambda v: F.struct(v.alias("level"), (v == F.col("_own")).alias("same")))
+    steps = lambda offsets, same: F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.lit(same).alias("same")) for i, j in offsets])
+    look = F.when(finer, F.concat(steps(_HALF, True), steps(_AROUND, False))).otherwise(steps(_HALF, True))
+    cell = lambda c, v: F.floor(F.col(c) / (F.col("_widest") * (2.0 * n_sigma) / F.pow(F.lit(2.0), v)))
+    key = ["_level", "_same", "_cx", "_cy", *by]
+    a = rows.withColumn("_t", F.explode(stand)).select(
+        F.col("_t.level").alias("_level"), F.col("_t.same").alias("_same"), cell("x", F.col("_t.level")).alias("_cx"), cell("y", F.col("_t.level")).alias("_cy"), *by, "loc_id", "x", "y", "s"
+    )
+    home = F.col("_t.same") & (F.col("_t.i") == 0) & (F.col("_t.j") == 0)
+    b = rows.withColumn("_t", F.explode(look)).select(
+        F.col("_own").alias("_level"), F.col("_t.same").alias("_same"), (cell("x", F.col("_own")) + F.col("_t.i")).alias("_cx"), (cell("y", F.col("_own")) + F.col("_t.j")).alias("_cy"), *by,
+        home.alias("_home"), F.col("loc_id").alias("lb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("s").alias("sb"),
+    )
     d = distance(F.col("x"), F.col("y"), F.col("xb"), F.col("yb"))
-    pairs = a.join(b, key).filter(~F.col("_own") | (F.col("loc_id") < F.col("lb"))).filter(d < n_sigma * (F.col("s") + F.col("sb")))
+    pairs = a.join(b, key).filter(~F.col("_home") | (F.col("loc_id") < F.col("lb"))).filter(d < n_sigma * (F.col("s") + F.col("sb")))
     return pairs.select(*by, F.least("loc_id", "lb").alias("i"), F.greatest("loc_id", "lb").alias("j"), d.alias("d"), (F.col("s") + F.col("sb")).alias("s"))
 
 
@@ -80,8 +105,8 @@ def candidate_pairs(locs: DataFrame, tau_max: float, n_sigma: float = 3.0, most:
 def nearest(left: DataFrame, right: DataFrame, lid: str, rid: str, k: int = 1, skip_self: bool = False) -> DataFrame:
     """lid, rid, d of each left row's k nearest right rows, ties to the smaller rid.
 
-    Rows look in the cells around their own; a row is done when its k-th distance is inside what it has looked at,
-    the others look twice as far in the next round. Cells hold about k rows on average.
+    Rows look in their own cell and the eight around it; a row is done when its k-th distance is inside what it has
+    looked at, the others look in cells twice as wide in the next round. Cells hold about k rows at first, on average.
     """
     r = right.select(F.col(rid).alias("_r"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     box = r.agg(F.count("*").alias("n"), F.min("_x").alias("a"), F.max("_x").alias("b"), F.min("_y").alias("c"), F.max("_y").alias("d")).first()
@@ -89,23 +114,23 @@ def nearest(left: DataFrame, right: DataFrame, lid: str, rid: str, k: int = 1, s
     if not box["n"]:
         return schema_from
     side = max(box["b"] - box["a"], box["d"] - box["c"])
-    size = max((max(box["b"] - box["a"], side * 1e-3) * max(box["d"] - box["c"], side * 1e-3) * k / box["n"]) ** 0.5, side * 1e-6, 1e-12)
-    cell = lambda c: F.floor(F.col(c) / size)
-    r = r.withColumn("_cx", cell("_x")).withColumn("_cy", cell("_y"))
+    ends = [F.abs(F.col(c) - box[e]) for c, e in (("x", "a"), ("x", "b"), ("y", "c"), ("y", "d"))]
+    far = left.agg(F.max(F.greatest(*ends)).alias("m")).first()["m"] or 0.0
+    size = max(0.0 if side else 2.5 * far, (max(box["b"] - box["a"], side * 1e-3) * max(box["d"] - box["c"], side * 1e-3) * k / box["n"]) ** 0.5, side * 1e-6, 1e-12)
     todo = left.select(F.col(lid).alias("_l"), "x", "y")
-    done, reach = None, 1
+    done = None
     while True:
-        span = F.sequence(F.lit(-reach), F.lit(reach))
-        probe = todo.select("*", F.explode(span).alias("_a")).select("*", F.explode(span).alias("_b"))
-        probe = probe.select("_l", "x", "y", (cell("x") + F.col("_a")).alias("_cx"), (cell("y") + F.col("_b")).alias("_cy"))
-        hit = probe.join(r, ["_cx", "_cy"]).withColumn("d", distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")))
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        probe = _around(todo.withColumns({"_cx": cell("x"), "_cy": cell("y")}), _AROUND).drop("_s")
+        hit = probe.join(r.withColumns({"_cx": cell("_x"), "_cy": cell("_y")}), ["_cx", "_cy"])
+        hit = hit.withColumn("d", distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")))
         if skip_self:
             hit = hit.filter("_l != _r")
         w = Window.partitionBy("_l").orderBy("d", "_r")
         best = hit.select("_l", "_r", "d").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k)
         found = settle(best, "nearest")
-        last = reach * size > 2 * side + 2 * size  # everything has been looked at
-        full = found.filter((F.col("_k") == k) & (F.col("d") <= reach * size)).select("_l")
+        last = size > 2 * max(side, far)  # everything has been looked at
+        full = found.filter((F.col("_k") == k) & (F.col("d") <= size)).select("_l")
         ready = found if last else found.join(full, "_l", "left_semi")
         done = ready if done is None else done.unionByName(ready)
         if last:
@@ -113,9 +138,7 @@ def nearest(left: DataFrame, right: DataFrame, lid: str, rid: str, k: int = 1, s
         todo = settle(todo.join(full, "_l", "left_anti"), "nearest")
         if not todo.take(1):
             break
-        far = todo.agg(F.max(F.greatest(F.abs(F.col("x") - box["a"]), F.abs(F.col("x") - box["b"]), F.abs(F.col("y") - box["c"]), F.abs(F.col("y") - box["d"]))).alias("m")).first()["m"]
-        side = max(side, far)
-        reach *= 2
+        size *= 2
     return done.select(F.col("_l").alias(lid), F.col("_r").alias(rid), "d")
 
 
@@ -128,8 +151,7 @@ def knn_edges(locs: DataFrame, k: int = 15) -> DataFrame:
 def within(left: DataFrame, right: DataFrame, radius: float, by: list[str], lid: list[str]) -> DataFrame:
     """Left rows x right rows of the same group closer than a radius: lid columns, right's columns, d."""
     size = left.sparkSession.range(1).select(F.lit(float(radius)).alias("_size"))
-    every = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    a = _around(_cells(left.select(*by, *lid, "x", "y"), size), every).drop("_size", "_s")
+    a = _around(_cells(left.select(*by, *lid, "x", "y"), size), _AROUND).drop("_size", "_s")
     b = _cells(right, size).withColumnsRenamed({"x": "_x", "y": "_y"}).drop("_size")
     return a.join(b, [*by, "_cx", "_cy"]).withColumn("d", distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))).filter(F.col("d") <= radius).drop("_cx", "_cy", "x", "y", "_x", "_y")
 

@@ -5,33 +5,61 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.localizations import normalize
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (tests) gets a temporary folder; on a cluster that would lose tables, so there it
+    is an error.
+    """
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pointloom-"))
-        root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write and read again: cuts lineage in loops, and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it again.
+
+    Cuts the lineage: executors that are lost later cost no more than the work that follows.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``, 0 to n - 1 in the order of the input's splits.
+
+    Dense numbers leave room for ids made from them (a partition's is a million times a row's). Each split is counted
+    and starts after those before it; what is broadcast is one row a split. Settle the result if it is read more than
+    once by plans that may split the input differently.
+    """
+    m = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_split", F.shiftright("_m", 33))
+    sizes = m.groupBy("_split").agg(F.count("*").alias("_n"))
+    start = sizes.select("_split", (F.sum("_n").over(Window.orderBy("_split")) - F.col("_n")).alias("_start"))
+    n = F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return m.join(F.broadcast(start), "_split").withColumn(name, n).drop("_split", "_m", "_start")
+
+
 def read_locs(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
     """A localization table with the columns the operators need; rows without a loc_id are numbered."""
     df = normalize(spark.read.format(format).options(**options).load(path))
-    return df if "loc_id" in df.columns else df.withColumn("loc_id", F.monotonically_increasing_id())
+    return df if "loc_id" in df.columns else numbered(df, "loc_id")
 
 
 EMITTER_CSV = {"x": "x_um", "y": "y_um", "sigma_x": "sigma_x_um", "sigma_y": "sigma_y_um", "sigma_xy": "sigma_xy", "n": "photons"}

@@ -9,6 +9,7 @@ from pointloom.operators import calibration, clusters, consensus, evaluation, gr
 from pointloom.operators.clusters import cluster_stats, remove_rows
 from pointloom.operators.grouping import GroupingConfig, merge_groups, sample_groupings
 from pointloom.plans import chains, reports
+from pointloom.sources import tables
 
 LOCS = "loc_id long, x double, y double, sigma_x double, sigma_y double, sigma_xy double"
 
@@ -219,3 +220,74 @@ def test_target_terms(spark):
     for target in scoring.TARGETS:
         got = scoring.log_target(stats, ["g"], target, area, shape, mu, rho, "local").first()["score"]
         assert abs(got - want[target]) < 1e-6, target
+
+
+def test_pairs_of_rows_with_unlike_radii(spark):
+    rng = random.Random(3)
+    pts = [(i, rng.random(), rng.random(), s, s, 0.0) for i, s in enumerate([0.2, 0.05, 0.05, 0.0] + [rng.choice((0.001, 0.004, 0.011)) for _ in range(150)])]
+    got = [(r["i"], r["j"]) for r in neighbors.neighbor_pairs(spark.createDataFrame(pts, LOCS)).collect()]
+    want = [(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and math.dist(a[1:3], b[1:3]) < 3 * (a[3] + b[3])]
+    assert sorted(got) == sorted(want)
+    assert neighbors.neighbor_pairs(rows(spark, [(0, 0), (0, 0)]).withColumn("sigma_x", F.lit(0.0))).count() == 0
+
+
+def test_nearest_matches_brute_force(spark):
+    rng = random.Random(4)
+    a = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(60)] + [(500.0, -3.0), (0.0, 9000.0)]
+    b = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(90)] + [(499.0, 0.0)]
+    got = sorted((r["loc_id"], r["rid"]) for r in neighbors.nearest(rows(spark, a), rows(spark, b).withColumnRenamed("loc_id", "rid"), "loc_id", "rid", 3).collect())
+    assert got == sorted((i, j) for i, p in enumerate(a) for j in sorted(range(91), key=lambda j: (math.dist(p, b[j]), j))[:3])
+    one = rows(spark, [(7, 7)]).withColumnRenamed("loc_id", "rid")
+    assert neighbors.nearest(rows(spark, a), one, "loc_id", "rid", 2).count() == len(a)
+
+
+def test_pieces_along_the_curve(spark):
+    rng = random.Random(5)
+    pts = [(0, i, rng.choice((0.1, rng.random())), rng.choice((0.1, rng.random()))) for i in range(130)] + [(1, 200 + i, 0.0, float(i)) for i in range(20)]
+    got = graph.split_oversized(spark.createDataFrame(pts, "component long, loc_id long, x double, y double"), 50).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault((r["component"], r["n_pieces"], r["piece"]), []).append(r["loc_id"])
+    assert sorted((c, n, p, len(v)) for (c, n, p), v in sizes.items()) == [(0, 3, 0, 44), (0, 3, 1, 43), (0, 3, 2, 43), (1, 1, 0, 20)]
+
+
+def test_rows_without_ids_are_numbered_densely(spark, tmp_path):
+    df = rows(spark, [(i, i) for i in range(30)]).drop("loc_id").repartition(7)
+    df.write.parquet(str(tmp_path / "locs"))
+    ids = sorted(r["loc_id"] for r in tables.read_locs(spark, str(tmp_path / "locs")).collect())
+    assert ids == list(range(30))
+
+
+def test_bridges_are_cut(spark):
+    """Two dense blobs with one row between them; the bridge's row goes with its nearest neighbour."""
+    pts = [(0.001 * i, 0.0) for i in range(12)] + [(0.2 + 0.001 * i, 0.0) for i in range(12)] + [(0.1, 0.0)]
+    pairs = [(i, j) for g in (range(12), range(12, 24)) for i in g for j in g if i < j] + [(11, 24), (12, 24)]
+    table = spark.createDataFrame([(i, j, math.dist(pts[i], pts[j]), 0.02) for i, j in pairs], "i long, j long, d double, s double")
+    labels = spark.createDataFrame([(i, 0) for i in range(25)], "loc_id long, component long")
+    got = {r["loc_id"]: r["component"] for r in graph.refine_bridges(labels, table, 10, 0.5).collect()}
+    assert got == {i: 0 for i in range(12)} | {i: 12 for i in range(12, 24)} | {24: 0}
+    whole = {r["component"] for r in graph.refine_bridges(labels, table, 13, 0.5).collect()}
+    assert whole == {0}
+
+
+def test_twins_at_a_seam_are_merged(spark):
+    cols = "emitter_id long, partition_id long, x double, y double, sigma_x double, sigma_y double, sigma_xy double, n long, near_boundary boolean"
+    em = [(1, 1, 0.0, 0.0, 0.01, 0.01, 0.0, 4, True), (2, 2, 0.01, 0.0, 0.01, 0.01, 0.0, 6, True), (3, 2, 0.5, 0.0, 0.01, 0.01, 0.0, 5, True), (4, 1, 0.505, 0.0, 0.01, 0.01, 0.0, 2, False)]
+    got = {r["emitter_id"]: r for r in consensus.dedup_boundary(spark.createDataFrame(em, cols), 0.05).collect()}
+    assert set(got) == {1, 3, 4} and got[1]["n"] == 10
+    assert got[1]["x"] == pytest.approx(0.005) and got[1]["sigma_x"] == pytest.approx(0.01 / 2**0.5)
+    assert got[3]["x"] == 0.5 and got[4]["n"] == 2
+
+
+def test_consensus_over_samples(spark):
+    """Three samples of one split and one with everything together: the split wins, means are the rows' own."""
+    locs = rows(spark, [(0, 0), (0.01, 0), (0, 0.01), (1, 1), (1.01, 1), (1, 1.01)])
+    s = [(0, 0, it, i, (i // 3) + it * 10) for it in (1, 2, 3) for i in range(6)] + [(0, 0, 4, i, 7) for i in range(6)]
+    smp = spark.createDataFrame(s, "partition_id long, chain_id long, iter long, loc_id long, cluster long")
+    p = samples.psm(smp)
+    best = {r["loc_id"]: (r["iter"], r["cluster"]) for r in consensus.dahl(smp, p).collect()}
+    assert best == {i: (1, 10 + i // 3) for i in range(6)}
+    em = {r["cluster"]: r for r in consensus.mapn_overlap(smp, locs, p).collect()}
+    assert set(em) == {10, 11} and all(r["n"] == 3 for r in em.values())
+    assert em[10]["x"] == pytest.approx(0.01 / 3) and em[11]["y"] == pytest.approx(1 + 0.01 / 3)
+    assert em[10]["sigma_x"] == pytest.approx(0.01 / 3**0.5)
