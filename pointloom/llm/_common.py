@@ -1,38 +1,16 @@
-"""What the operators of this package share: the shared folder, document keys and carried columns."""
+"""What the operators of this package share: document keys, carried columns and bitmaps of keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle  # noqa: F401
+
 #: A word is a maximal run of characters other than these (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pointloom-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    Cuts the lineage: executors that are lost later cost no more than the work that follows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
