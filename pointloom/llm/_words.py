@@ -116,6 +116,18 @@ def flatten(buf: np.ndarray, at: np.ndarray, hashed: bool = True) -> Flat:
     return Flat(buf, at, start, end, first, doc, word)
 
 
+def word_array(flat: Flat) -> pa.Array:
+    """The words of a slice as an array of their bytes."""
+    size = flat.end - flat.start
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    inside = np.zeros(len(flat.buf) + 1, np.int8)
+    inside[flat.start] += 1
+    inside[flat.end] -= 1  # a word may begin where another document's ends
+    data = flat.buf[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

@@ -7,11 +7,12 @@ from .chat_formatting import OP6_SQL, op6_chat_formatting
 from .fingerprints import op4_fingerprints
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .lm_scoring import op3_lm_scoring
+from .periodic_runs import OP11_SQL, op11_periodic_runs
 from .piece_codec import op2_piece_codec
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_piece_codec, op3_lm_scoring, op4_fingerprints, op5_jaccard_join, op6_chat_formatting, op7_token_counts, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules)}
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op10_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_piece_codec, op3_lm_scoring, op4_fingerprints, op5_jaccard_join, op6_chat_formatting, op7_token_counts, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules, op11_periodic_runs)}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_periodic_runs": OP11_SQL}
