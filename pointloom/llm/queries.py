@@ -11,8 +11,9 @@ from .periodic_runs import OP11_SQL, op11_periodic_runs
 from .piece_codec import op2_piece_codec
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .source_divergence import OP12_SQL, op12_source_divergence
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_piece_codec, op3_lm_scoring, op4_fingerprints, op5_jaccard_join, op6_chat_formatting, op7_token_counts, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules, op11_periodic_runs)}
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_periodic_runs": OP11_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_piece_codec, op3_lm_scoring, op4_fingerprints, op5_jaccard_join, op6_chat_formatting, op7_token_counts, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules, op11_periodic_runs, op12_source_divergence)}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_source_divergence": OP12_SQL}
