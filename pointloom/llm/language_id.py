@@ -53,7 +53,7 @@ def grams(buf: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     doc = np.repeat(np.arange(size), np.diff(at))
     plain[np.arange(len(buf)) + 2 * doc + 1] = _PLAIN[buf]
     owner = np.repeat(np.arange(size), np.diff(at) + 2)
-    twice = (plain[1:] == 32) & (plain[:-1] == 32)  # also where one document ends and the next begins
+    twice = (plain[1:] == 32) & (plain[:-1] == 32) & (owner[1:] == owner[:-1])
     plain, owner = plain[np.append(True, ~twice)], owner[np.append(True, ~twice)]
     if len(plain) < n:
         return owner[:0], plain[:0].astype(np.uint64)
