@@ -1,16 +1,18 @@
 """How far each source's words are from its language's, and from each other source's of the language.
 
-Chunk factorization: chunks of text between white space are counted per document inside each slice of rows; each
-globally distinct chunk is tokenized once; its terms are joined back to the slices' counts, where the documents of a
-term that has several spellings are told apart, and occurrences and distinct documents are added up.
-
-A document lies in one slice, so a term's documents are its slices' added up. Terms that surely are in too few
-documents of a language are left out before the join: their chunks' documents, added up in buckets (a fixed number of
-them), stay under the limit. A bucket that other terms fill keeps a term that is then counted, and dropped exactly.
+Chunk factorization: chunks of text between white space are counted per document inside each slice of rows, and the
+slices' counts meet by chunk, sorted; so each globally distinct chunk is tokenized once, and its terms are joined to
+its counts there and then. Occurrences and distinct documents are added up by term.
+
+Whether a term is in enough documents of a language is decided exactly: a chunk in enough documents settles it for its
+terms, and chunks whose documents together are too few settle it the other way. Only for the terms in between do the
+documents of a term's spellings have to be told apart; each such chunk is in less than ``min_docs`` documents, and
+carries them all.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,91 +24,151 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._common import documents, settle
 
-#: ASCII letters and everything beyond ASCII.
+#: ASCII letters and everything beyond ASCII; in UTF-8, once A-Z are lower-cased.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_TERM = re.compile(rb"[a-z\x80-\xff]+")
 MIN_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
-SLICE, BUCKETS, PAIRS = 1 << 23, 1 << 22, 1 << 22
+SLICE, PAIRS, ROWS = 1 << 24, 1 << 22, 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Counts of a chunk in a language: d documents; which ones, if they are few; each source's hash and occurrences.
+_COUNTS = "lang string, d long, docs array<long>, source array<long>, n array<long>"
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where a run of rows that are equal in all columns begins."""
+    new = np.zeros(max(0, len(cols[0]) - 1), bool)
+    for c in cols:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(np.ones(min(1, len(cols[0])), bool), new))
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def chunk_counts(rows: DataFrame) -> DataFrame:
-    """slice, lang, chunk, docs (its documents in the slice, by number), sources (source, n) of every slice of rows."""
-    schema = "slice long, lang string, chunk string, docs array<int>, sources array<struct<source: string, n: bigint>>"
-    kind = pa.struct([("source", pa.string()), ("n", pa.int64())])
+def _codes(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    coded = col.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
-    def codes(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        coded = col.dictionary_encode()
-        return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+def chunk_counts(rows: DataFrame, min_docs: int) -> DataFrame:
+    """Counts of every chunk in each slice of rows (lang, source's hash, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 20
         for b in batches:
             for lo, hi, buf, at in W.slices(b.column("text"), SLICE):
                 number += 1
                 flat = W.flatten(buf, at, hashed=False)
                 if not len(flat.start):
                     continue
-                lang, langs = codes(b.column("lang").slice(lo, hi - lo))
-                source, sources = codes(b.column("source").slice(lo, hi - lo))
-                chunk, chunks = codes(W.word_array(flat))
-                order = np.argsort(source, kind="stable")  # numbers documents by source, so that a source's are together
+                lang, langs = _codes(b.column("lang").slice(lo, hi - lo))
+                source, sources = _codes(b.column("source").slice(lo, hi - lo))
+                order = np.argsort(source, kind="stable")  # documents are numbered by source, so that a source's are together
                 place = np.empty(flat.n, np.int64)
                 place[order] = np.arange(flat.n)
+                chunk, chunks = _codes(W.word_array(flat))
                 key = (chunk * len(langs) + lang[flat.doc]) * flat.n + place[flat.doc]
+                del flat, chunk
                 key.sort()
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                first = _starts(key)
                 times = np.diff(np.append(first, len(key)))
-                row, doc = np.divmod(key[first], flat.n)
+                row, doc = np.divmod(key[first], len(order))
+                del key
                 of = source[order][doc]
-                starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                runs = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (of[1:] != of[:-1])))
-                n = np.add.reduceat(times, runs)
-                text = chunks.take(pa.array(row[starts] // len(langs))).cast(pa.large_string()).cast(pa.string())
-                cols = [
-                    pa.array(np.full(len(starts), number)), langs.take(pa.array(row[starts] % len(langs))), text,
-                    pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(doc.astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(runs, starts), len(runs)).astype(np.int32)), pa.StructArray.from_arrays([sources.take(pa.array(of[runs])), pa.array(n)], fields=list(kind))),
-                ]
-                for k in range(0, len(starts), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 16) for c in cols], names=["slice", "lang", "chunk", "docs", "sources"])
-
-    return rows.mapInArrow(count, schema)
-
-
-def tokenize(chunk: Column) -> Column:
+                start, run = _starts(row), _starts(row, of)
+                d = np.diff(np.append(start, len(row)))
+                few = d < min_docs
+                ids = (number << 24) + doc[np.repeat(few, d)]
+                n = np.add.reduceat(times, run)
+                at_docs, at_runs = np.append(0, np.cumsum(np.where(few, d, 0))), np.append(np.searchsorted(run, start), len(run))
+                hashes = sources.to_numpy()[of[run]]
+                for i in range(0, len(start), ROWS):
+                    j = min(i + ROWS, len(start))
+                    r, x, y = row[start[i:j]], at_docs[i : j + 1], at_runs[i : j + 1]
+                    cols = [
+                        chunks.take(pa.array(r // len(langs))).cast(pa.large_string()).cast(pa.string()), langs.take(pa.array(r % len(langs))), pa.array(d[i:j]),
+                        _lists(x - x[0], ids[x[0] : x[-1]]), _lists(y - y[0], hashes[y[0] : y[-1]]), _lists(y - y[0], n[y[0] : y[-1]]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=["chunk", "lang", "d", "docs", "source", "n"])
+
+    return rows.mapInArrow(count, f"chunk string, {_COUNTS}")
+
+
+def _merged(t: pa.Table, min_docs: int) -> pa.Table:
+    """One row for each chunk and language of rows sorted by these."""
+    t = t.combine_chunks()
+    col = {c: t[c].chunk(0) for c in t.column_names}
+    start = _starts(_codes(col["chunk"])[0], _codes(col["lang"])[0])
+    if len(start) == len(t):
+        return t
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
+    d = np.add.reduceat(col["d"].to_numpy(), start)
+    of = group[np.repeat(np.arange(len(t)), col["docs"].value_lengths().to_numpy())]
+    few = d[of] < min_docs  # documents of a chunk that reaches the limit aren't needed, nor all there
+    docs = col["docs"].flatten().to_numpy()[few]
+    code, hashes = _codes(col["source"].flatten())
+    key = group[np.repeat(np.arange(len(t)), col["source"].value_lengths().to_numpy())] * len(hashes) + code
+    order = np.argsort(key, kind="stable")
+    run = _starts(key[order])
+    n, (row, source) = np.add.reduceat(col["n"].flatten().to_numpy()[order], run), np.divmod(key[order][run], len(hashes))
+    ends = lambda x: np.append(0, np.cumsum(np.bincount(x, minlength=len(start))))
+    keys = [col[c].take(pa.array(start)) for c in ("chunk", "lang")]
+    return pa.table([*keys, pa.array(d), _lists(ends(of[few]), docs), _lists(ends(row), hashes.to_numpy()[source]), _lists(ends(row), n)], names=t.column_names)
+
+
+def tokenize(chunk: str) -> list[str]:
     """Terms of a chunk, in order; only A-Z are lower-cased."""
-    return F.regexp_extract_all(F.translate(chunk, UPPER, LOWER), F.lit(f"({TERM})"), F.lit(1))
+    return [x.decode() for x in _TERM.findall(chunk.encode().lower())]
+
+
+def chunk_terms(counts: DataFrame, min_docs: int) -> DataFrame:
+    """term, and the counts of a chunk that has it: one row for each occurrence of a term in a distinct chunk and language."""
 
+    def tokenized(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        code, chunks = _codes(t["chunk"].combine_chunks())
+        terms = [tokenize(x) for x in chunks.to_pylist()]
+        size = np.array([len(x) for x in terms], np.int64)[code]
+        rows = pa.array(np.repeat(np.arange(len(t)), size))
+        out = t.drop_columns("chunk").take(rows).add_column(0, "term", pa.array([x for c in code.tolist() for x in terms[c]], pa.string()))
+        yield from out.combine_chunks().to_batches()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last chunk so far: more of its rows may follow
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = _merged(pa.concat_tables([held, t]) if held is not None else t, min_docs)
+            code = _codes(t["chunk"].combine_chunks())[0]
+            last = int(np.argmax(code == code[-1]))
+            if last:
+                yield from tokenized(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield from tokenized(held)
 
-def _bucket(lang: Column, term: Column) -> Column:
-    return F.pmod(F.xxhash64(lang, term), F.lit(BUCKETS))
+    return counts.repartition("chunk").sortWithinPartitions("chunk", "lang").mapInArrow(join, f"term string, {_COUNTS}")
 
 
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """lang, source, term, n (occurrences), docs (distinct documents of the source): terms of ``min_docs`` documents of a language.
+    """lang, source (its 64-bit hash), term, n and lang_n (occurrences): terms in ``min_docs`` documents of a language.
 
     A row is a document. Null text, lang and source are read as ''.
     """
-    text = [F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
-    counts = chunk_counts(docs.select(*text))
-    # counted in slices already, so a chunk has one row a slice and language at most
-    sizes = counts.select("chunk", "lang", F.size("docs").cast("long").alias("d")).repartition("chunk")
-    once = sizes.groupBy("chunk", "lang").agg(F.sum("d").alias("d")).groupBy("chunk").agg(F.collect_list(F.struct("lang", "d")).alias("langs"))
-    terms = settle(once.withColumn("terms", tokenize(F.col("chunk"))).filter(F.size("terms") > 0), "chunk-terms")
-    spread = terms.select("chunk", "terms", F.explode("langs").alias("l")).select("chunk", "l.lang", "l.d", "terms")
-    each = spread.select("lang", "d", F.explode(F.array_distinct("terms")).alias("term"))
-    full = each.groupBy(_bucket(F.col("lang"), F.col("term")).alias("bucket")).agg(F.sum("d").alias("d")).filter(F.col("d") >= min_docs)
-    word, bit = F.shiftright("bucket", 6).cast("int"), F.col("bucket").bitwiseAND(63).cast("int")
-    bits = full.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    maybe = spread.select("chunk", "lang", F.posexplode("terms").alias("k", "term")).withColumn("bucket", _bucket(F.col("lang"), F.col("term")))
-    maybe = maybe.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word").filter(F.getbit("bits", F.col("bit")) == 1)
-    joined = counts.join(maybe.select("chunk", "lang", "term"), ["chunk", "lang"])
-    # the documents of a term's spellings, in a slice; then sources one by one, the documents going with the first
-    in_slice = joined.groupBy("slice", "lang", "term").agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).cast("long").alias("d"), F.flatten(F.collect_list("sources")).alias("s"))
-    rows = in_slice.select("lang", "term", "d", F.posexplode("s").alias("k", "s")).select("lang", "term", "s.source", "s.n", F.when(F.col("k") == 0, F.col("d")).otherwise(0).alias("d"))
-    by_source = settle(rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "term-counts")
-    kept = by_source.groupBy("lang", "term").agg(F.sum("d").alias("lang_docs"), F.sum("n").alias("lang_n")).filter(F.col("lang_docs") >= min_docs)
-    return by_source.drop("d").join(kept, ["lang", "term"])
+    lang, source, text = (F.coalesce(F.col(c), F.lit("")) for c in (lang_col, source_col, text_col))
+    counts = chunk_counts(docs.select(lang.alias("lang"), F.xxhash64(source).alias("source"), text.alias("text")), min_docs)
+    same = Window.partitionBy("lang", "term")
+    spelled = chunk_terms(counts, min_docs).repartition("lang", "term").withColumns({"most": F.max("d").over(same), "all": F.sum("d").over(same)})
+    # one list of what to add up: sources with occurrences and, where documents must be told apart, these
+    parts = F.arrays_zip("source", "n", F.transform("source", lambda _: F.lit(None).cast("long")).alias("doc"))
+    unsure = F.transform("docs", lambda x: F.struct(F.lit(None).cast("long").alias("source"), F.lit(0).cast("long").alias("n"), x.alias("doc")))
+    items = F.concat(parts, F.when(F.col("most") < min_docs, unsure).otherwise(F.array()))
+    each = spelled.filter(F.col("all") >= min_docs).select("lang", "term", "most", F.explode(items).alias("x")).select("lang", "term", "most", "x.*")
+    summed = settle(each.groupBy("lang", "term", "source", "doc").agg(F.sum("n").alias("n"), F.max("most").alias("most")), "term-counts")
+    kept = summed.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.max("most").alias("m"), F.count("doc").alias("k"))
+    kept = kept.filter(F.greatest("m", "k") >= min_docs).select("lang", "term", "lang_n")
+    return summed.filter("source is not null").select("lang", "source", "term", "n").join(kept, ["lang", "term"])
 
 
 def _p(n: Column, total: Column, terms: Column, scale: int) -> Column:
@@ -174,12 +236,12 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, scale: int = SC
     """
     counts = settle(term_counts(docs, min_docs, lang_col, source_col, text_col), "kept-terms")
     langs = counts.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    seen = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))]).distinct()
+    seen = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "name"))]).distinct().withColumn("source", F.xxhash64("name"))
     groups = seen.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang", "left")
-    groups = groups.na.fill(0, ["total", "v", "lang_total"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
+    groups = groups.withColumn("source", F.col("name")).withColumn("code", F.xxhash64("name")).drop("name").na.fill(0, ["total", "v", "lang_total"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     groups = settle(groups.withColumn("p0", F.when(F.col("v") > 0, _p(F.lit(0), F.col("total"), F.greatest("v", F.lit(1)), scale))), "sources")
 
-    shares = counts.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("n"), F.col("total"), F.col("v"), scale))
+    shares = counts.withColumnRenamed("source", "code").join(groups, ["lang", "code"]).withColumn("p", _p(F.col("n"), F.col("total"), F.col("v"), scale))
     q = _p(F.col("lang_n"), F.col("lang_total"), F.col("v"), scale)
     more = shares.withColumn("q", q).filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

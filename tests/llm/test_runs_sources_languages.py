@@ -157,12 +157,13 @@ def test_source_divergence_without_terms(spark):
     assert source_divergence.source_divergence(docs.limit(0)).count() == 0
 
 
-def test_term_counts_keep_every_document(spark, monkeypatch):
-    """Buckets that all terms share leave nothing out and keep nothing wrong."""
-    monkeypatch.setattr(source_divergence, "BUCKETS", 1)
-    docs = spark.createDataFrame([("en", "s", "The the, THE.")] * 9 + [("en", "t", "the")] + [("en", "t", "rare")] * 9, "lang string, source string, text string")
-    got = [tuple(r) for r in source_divergence.term_counts(docs, 10).select("lang", "source", "term", "n", "lang_docs", "lang_n").collect()]
-    assert sorted(got) == [("en", "s", "the", 27, 10, 28), ("en", "t", "the", 1, 10, 28)]
+def test_term_counts_tell_documents_apart(spark):
+    """Spellings that share documents: enough by one chunk, by several, or only if documents counted twice."""
+    rows = [("en", "s", "The the, THE.")] * 9 + [("en", "t", "the")] + [("en", "t", "Rare rare, RARE. rare-rare")] * 9 + [("en", "s", "Sure, sure.")] * 10 + [("en", "s", f"odd{i}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(2)
+    got = source_divergence.term_counts(docs, 10).join(docs.select("source").distinct().withColumn("h", F.xxhash64("source")).withColumnRenamed("source", "s"), F.col("source") == F.col("h"))
+    got = [tuple(r) for r in got.select("lang", "s", "term", "n", "lang_n").collect()]
+    assert sorted(got) == [("en", "s", "odd", 10, 10), ("en", "s", "sure", 20, 20), ("en", "s", "the", 27, 28), ("en", "t", "the", 1, 28)]
 
 
 def plain_grams(text):
