@@ -32,7 +32,7 @@ def i1(spark, d):
 @query("i2_ks_rayleigh", f"with {WG_SQL}, z as (select g, d/sqrt(s2) as z from wg), k as (select g, abs(row_number() over (partition by g order by z)/count(*) over (partition by g) - (1-exp(-z*z/2))) as e from z) select g as track_id, round(max(e),8) as ks, count(*) as n from k group by g")
 def i2(spark, d):
     z = _pairs(spark, d).withColumn("z", C.scaled_distance(F.col("d"), F.col("s2"), 0.0))
-    return C.ks(z, ["track_id"], "z", C.rayleigh(F.col("z"))).select("track_id", r("ks", 8).alias("ks"), "n")
+    return C.ks(z, ["track_id"], "z", C.rayleigh).select("track_id", r("ks", 8).alias("ks"), "n")
 
 
 _CURVE = f"""{WG_SQL}, gr as (select unnest([0e0,0.001e0,0.002e0,0.003e0,0.004e0,0.006e0]) as tau), zz as (select tau, d/sqrt(s2+2*tau*tau) as z from wg, gr),
@@ -51,11 +51,17 @@ def i4(spark, d):
     return C.pick(C.ks_curve(_pairs(spark, d), _TAUS)).select(r("tau").alias("tau"), "censored")
 
 
-@query("i5_mstep_extend", f"""with {WG_SQL}, gr as (select unnest([0e0,0.001e0,0.002e0]) as tau), zz as (select tau, d/sqrt(s2+2*tau*tau) as z from wg, gr),
- kz as (select tau, abs(row_number() over (partition by tau order by z)/count(*) over (partition by tau) - (1-exp(-z*z/2))) as e from zz) select round(tau,6) as tau, round(max(e),8) as ks from kz group by tau""")
+# 0 and 0.0002, then doubled until the last point isn't within the noise of the least, or it is the cap, which is off the grid
+_STAGES = "(values (0e0,0),(0.0002e0,0),(0.0004e0,1),(0.0006e0,2),(0.0008e0,2),(0.001e0,3),(0.0012e0,3),(0.0014e0,3),(0.0015e0,3)) g(tau, stage)"
+
+
+@query("i5_mstep_extend", f"""with {WG_SQL}, zz as (select tau, stage, d/sqrt(s2+2*tau*tau) as z from wg, {_STAGES}),
+ kz as (select tau, stage, abs(row_number() over (partition by tau order by z)/count(*) over (partition by tau) - (1-exp(-z*z/2))) as e from zz), cv as (select tau, stage, max(e) as ks from kz group by tau, stage),
+ st as (select stage, max_by(ks, tau) as top, min(ks) as least from cv group by stage), ok as (select stage, top <= min(least) over (order by stage) + 0.01e0 as goes_on from st),
+ go as (select stage, coalesce(bool_and(goes_on) over (order by stage rows between unbounded preceding and 1 preceding), true) as reached from ok)
+ select round(tau,6) as tau, round(ks,8) as ks from cv join go using (stage) where reached""")
 def i5(spark, d):
-    # the pick is inside this grid, so it isn't extended
-    return C.extended_curve(_pairs(spark, d), [0.0, 0.001, 0.002]).select(r("tau", 6).alias("tau"), r("ks", 8).alias("ks"))
+    return C.extended_curve(_pairs(spark, d), [0.0, 0.0002], cap=0.0015).select(r("tau", 6).alias("tau"), r("ks", 8).alias("ks"))
 
 
 @query("i6_tail", f"""with {WG_SQL}, q as (select d/sqrt(s2) as z, row_number() over (order by d/sqrt(s2)) as i, count(*) over () as n from wg)
@@ -79,27 +85,29 @@ def i9(spark, d):
     return C.bootstrap_ci(_pairs(spark, d), 1.0)
 
 
-def _by_component(locs, tau):
-    wide = locs.withColumns({f"sigma_{a}": F.sqrt(F.col(f"sigma_{a}") ** 2 + tau**2) for a in "xy"})
-    return G.components(locs, N.neighbor_pairs(wide, 0.25)).withColumnRenamed("component", "group")
+def _tau_row(spark, e):
+    low, high = e["bracket"] or (None, None)
+    row = (e["tau"], e["converged"], e["censored"], e["start_overmerged"], low, high, e["low"], e["high"], e["n_boot_censored"], e["ks"], e["grid_top"], len(e["path"]))
+    return spark.createDataFrame([row], "tau double, converged boolean, censored boolean, start_overmerged boolean, bracket_low double, bracket_high double, ci_low double, ci_high double, n_boot_censored int, ks double, grid_top double, steps int")
 
 
 @query("i10_estimate_tau")
 def i10(spark, d):
-    e = C.estimate_tau(fx.locs(spark, d), _by_component)
-    return spark.createDataFrame([(float(e["tau"]), e["censored"], len(e["path"]))], "tau double, censored boolean, steps int")
+    locs = fx.locs(spark, d)
+    return _tau_row(spark, C.estimate_tau(locs, C.component_groups(locs, C.GRID[-1], 0.25)))
 
 
 @query("i11_estimate_tau_axis")
 def i11(spark, d):
-    e = C.estimate_tau_axis(fx.locs(spark, d), _by_component)
-    return spark.createDataFrame([(float(e["tau_x"]), float(e["tau_y"]))], "tau_x double, tau_y double")
+    locs = fx.locs(spark, d)
+    e = C.estimate_tau_axis(locs, C.component_groups(locs, C.GRID[-1], 0.25))
+    return spark.createDataFrame([(float(e["tau_x"]), float(e["tau_y"]), e["converged"], len(e["path"]))], "tau_x double, tau_y double, converged boolean, steps int")
 
 
 @query("i12_auto_tau", f"{W} select count(*) as n, 0e0 as tau from locs")
 def i12(spark, d):
     locs = fx.locs(spark, d).withColumn("sigma_corrected", F.lit(True))
-    return locs.agg(F.count("*").alias("n")).withColumn("tau", F.lit(float(C.auto_tau(locs, "auto", _by_component))))
+    return locs.agg(F.count("*").alias("n")).withColumn("tau", F.lit(float(C.auto_tau(locs, "auto", None))))
 
 
 def _members(spark, d):
