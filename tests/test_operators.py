@@ -96,12 +96,62 @@ def test_merging_and_sampling_find_two_sources(spark):
     assert key(drawn) == key(again)
 
 
-def test_merging_goes_on_until_no_pair_merges(spark):
-    # all rows are linked to the first only, so a round merges one pair
-    m = rows(spark, [((i * 7 % 11 - 5) / 5000, (i * 5 % 13 - 6) / 5000) for i in range(32)]).withColumn("partition_id", F.lit(0).cast("long"))
+def plain_merge(pts, links, cfg):
+    """Merge the pair with the greatest gain until none gains; score written out for circular rows of sigma 0.01."""
+    lg, w = math.lgamma, 1e4
+    area = math.log((max(x for x, _ in pts) - min(x for x, _ in pts) + 0.06) * (max(y for _, y in pts) - min(y for _, y in pts) + 0.06))
+
+    def ml(c):
+        n, mx, my = len(c), sum(pts[i][0] for i in c) / len(c), sum(pts[i][1] for i in c) / len(c)
+        spread = sum((pts[i][0] - mx) ** 2 + (pts[i][1] - my) ** 2 for i in c)
+        return (1 - n) * math.log(2 * math.pi) + n * math.log(w) - 0.5 * w * spread - math.log(n * w) - area
+
+    g = cfg.shape
+    fixed = lg(g) - g * math.log(g / (g + cfg.mu)) - math.log(cfg.rho)
+    groups = {i: {i} for i in range(len(pts))}
+    while len(groups) > 1:
+        tied = {(a, b) for a in groups for b in groups if a < b and any((i, j) in links or (j, i) in links for i in groups[a] for j in groups[b])}
+        gain = lambda a, b: ml(groups[a] | groups[b]) - ml(groups[a]) - ml(groups[b]) + lg(len(groups[a]) + len(groups[b]) + g) - lg(len(groups[a]) + g) - lg(len(groups[b]) + g) + fixed + math.log(len(groups)) - area
+        top = max(((gain(a, b), -a, -b) for a, b in tied), default=(-1, 0, 0))
+        if top[0] <= 0:
+            break
+        groups[-top[1]] |= groups.pop(-top[2])
+    return {frozenset(c) for c in groups.values()}
+
+
+def merged_sets(labels):
+    sets = {}
+    for r in labels.collect():
+        sets.setdefault(r["cluster"], set()).add(r["loc_id"])
+    return {frozenset(c) for c in sets.values()}
+
+
+def counted_rounds(monkeypatch):
+    rounds, write = [], grouping.settle
+    monkeypatch.setattr(grouping, "settle", lambda df, name: (rounds.append(name) if name == "merged" else None, write(df, name))[1])
+    return rounds
+
+
+def test_a_hub_takes_all_its_rows_at_once(spark, monkeypatch):
+    # all rows are linked to the first only
+    rounds = counted_rounds(monkeypatch)
+    pts = [((i * 7 % 11 - 5) / 5000, (i * 5 % 13 - 6) / 5000) for i in range(32)]
+    m = rows(spark, pts).withColumn("partition_id", F.lit(0).cast("long"))
     star = spark.createDataFrame([(0, i) for i in range(1, 32)], "i long, j long")
-    labels = merge_groups(m.coalesce(1), star.coalesce(1), GroupingConfig(mu=32.0)).collect()
-    assert len(labels) == 32 and {r["cluster"] for r in labels} == {0}
+    got = merged_sets(merge_groups(m.coalesce(1), star.coalesce(1), GroupingConfig(mu=32.0)))
+    assert got == {frozenset(range(32))} == plain_merge(pts, {(0, i) for i in range(1, 32)}, GroupingConfig(mu=32.0))
+    assert len(rounds) <= 3
+
+
+def test_merging_is_the_sequential_one_on_clear_sources(spark, monkeypatch):
+    rounds = counted_rounds(monkeypatch)
+    rng = random.Random(11)
+    pts = [(k % 3 * 0.2 + rng.gauss(0, 0.01), k // 3 * 0.2 + rng.gauss(0, 0.01)) for k in range(6) for _ in range(rng.randint(6, 14))] + [(0.9, 0.9)]
+    m = rows(spark, pts).withColumn("partition_id", F.lit(0).cast("long"))
+    edges = neighbors.knn_edges(m, 6)
+    got = merged_sets(merge_groups(m, edges, GroupingConfig(mu=10.0)))
+    assert got == plain_merge(pts, {(r["i"], r["j"]) for r in edges.collect()}, GroupingConfig(mu=10.0)) and len(got) == 7
+    assert len(rounds) < 12
 
 
 @pytest.fixture
