@@ -34,8 +34,8 @@ def dedup_boundary(em: DataFrame, margin: float) -> DataFrame:
     """Merge near-boundary emitters of different partitions that are one source.
 
     Candidates within the margin are matched one to one (each other's nearest, in rounds) and merged if nearer than
-    twice the root of their summed variances; positions are weighted by 1 / determinant, variances add harmonically,
-    counts add, and the second row goes.
+    twice the root of their summed variances; positions and covariances are weighted by 1 / determinant, variances add
+    harmonically, counts add, and the second row goes.
     """
     edge = em.filter("near_boundary")
     cols = ["emitter_id", "partition_id", "x", "y", "sigma_x", "sigma_y", "sigma_xy", "n"]
@@ -43,19 +43,20 @@ def dedup_boundary(em: DataFrame, margin: float) -> DataFrame:
     right = every.select("_all", *[F.col(c).alias(f"b_{c}") for c in cols]).withColumns({"x": F.col("b_x"), "y": F.col("b_y")})
     left = every.select("_all", *[F.col(c).alias(f"a_{c}") for c in cols]).withColumns({"x": F.col("a_x"), "y": F.col("a_y")})
     pairs = within(left, right, margin, ["_all"], [f"a_{c}" for c in cols]).filter("a_partition_id < b_partition_id")
+    pairs = settle(pairs.withColumns({"_low": F.least("a_emitter_id", "b_emitter_id"), "_high": F.greatest("a_emitter_id", "b_emitter_id")}), "pairs")
     keys = settle(pairs.select(F.col("a_emitter_id").alias("a"), F.col("b_emitter_id").alias("b"), "d"), "candidates")
     both = keys.unionByName(keys.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))  # an emitter may be on either side
-    best = mutual_best(both, ["a"], ["b"], [F.col("d"), F.least("a", "b"), F.greatest("a", "b")], []).filter("a < b").select("a", "b").distinct()
-    m = pairs.join(best, (F.col("a_emitter_id") == F.least("a", "b")) & (F.col("b_emitter_id") == F.greatest("a", "b")) | (F.col("a_emitter_id") == F.greatest("a", "b")) & (F.col("b_emitter_id") == F.least("a", "b")))
+    best = mutual_best(both, ["a"], ["b"], [F.col("d"), F.least("a", "b"), F.greatest("a", "b")], []).filter("a < b").select(F.col("a").alias("_low"), F.col("b").alias("_high")).distinct()
+    m = pairs.join(best, ["_low", "_high"])
     var = sum((F.col(f"{k}_sigma_{a}") ** 2 for k in "ab" for a in "xy"), F.lit(0.0))
     m = m.filter(F.col("d") < 2.0 * F.sqrt(var))
     w = {k: 1.0 / (F.col(f"{k}_sigma_x") ** 2 * F.col(f"{k}_sigma_y") ** 2 - F.col(f"{k}_sigma_xy") ** 2 + 1e-10) for k in "ab"}
     mean = lambda a: (w["a"] * F.col(f"a_{a}") + w["b"] * F.col(f"b_{a}")) / (w["a"] + w["b"])
-    harm = lambda a: F.sqrt(1.0 / (1.0 / F.col(f"a_sigma_{a}") ** 2 + 1.0 / F.col(f"b_sigma_{a}") ** 2))
-    merged = settle(m.select(F.col("a_emitter_id").alias("emitter_id"), F.col("b_emitter_id").alias("_gone"), mean("x").alias("_x"), mean("y").alias("_y"), harm("x").alias("_sx"), harm("y").alias("_sy"), (F.col("a_n") + F.col("b_n")).alias("_n")), "merged")
+    harm = lambda a: F.sqrt(1.0 / (1.0 / F.col(f"a_sigma_{a}") ** 2 + 1.0 / F.col(f"b_sigma_{a}") ** 2 + 1e-10))
+    merged = settle(m.select(F.col("a_emitter_id").alias("emitter_id"), F.col("b_emitter_id").alias("_gone"), mean("x").alias("_x"), mean("y").alias("_y"), harm("x").alias("_sx"), harm("y").alias("_sy"), mean("sigma_xy").alias("_sxy"), (F.col("a_n") + F.col("b_n")).alias("_n")), "merged")
     left_over = em.join(merged.select(F.col("_gone").alias("emitter_id")), "emitter_id", "left_anti").join(merged.drop("_gone"), "emitter_id", "left")
     pick = lambda a, b: F.coalesce(b, a).alias(a)
-    return left_over.select("emitter_id", "partition_id", pick("x", "_x"), pick("y", "_y"), pick("sigma_x", "_sx"), pick("sigma_y", "_sy"), "sigma_xy", pick("n", "_n"), "near_boundary")
+    return left_over.select("emitter_id", "partition_id", pick("x", "_x"), pick("y", "_y"), pick("sigma_x", "_sx"), pick("sigma_y", "_sy"), pick("sigma_xy", "_sxy"), pick("n", "_n"), "near_boundary")
 
 
 def contingency(samples: DataFrame, reference: DataFrame) -> DataFrame:

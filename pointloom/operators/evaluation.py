@@ -191,6 +191,14 @@ def k_marginal_test(trace: DataFrame, given: DataFrame, alpha: float = 0.05, min
     return j.select(*by, F.col("value").alias("k"), "freq", "prob", "ess", "z", "p", "adjusted", verdict.alias("verdict"))
 
 
+def k_marginal_verdict(tests: DataFrame) -> DataFrame:
+    """One row for each partition of ``k_marginal_test``: how many K were tested, inconclusive and rejected, and the
+    verdict: inconclusive without a testable K, fail with a rejected one, else pass."""
+    of = lambda v: F.count(F.when(F.col("verdict") == v, 1))
+    c = tests.groupBy("partition_id").agg(F.count("z").alias("n_tested"), of("inconclusive").alias("n_inconclusive"), of("fail").alias("n_rejected"))
+    return c.withColumn("verdict", F.when(F.col("n_tested") == 0, "inconclusive").when(F.col("n_rejected") > 0, "fail").otherwise("pass"))
+
+
 def canonical_labels(samples: DataFrame, by: list[str]) -> DataFrame:
     """Clusters of each sample renamed 1, 2, ... in the order of their first rows."""
     first = samples.groupBy(*by, "cluster").agg(F.min("loc_id").alias("_f"))

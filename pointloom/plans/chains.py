@@ -288,7 +288,13 @@ def h8(spark, d):
     return H.association_distance(fx.samples(spark, d), psm(spark, d)).select("partition_id", L("iter"), r("distance", 6).alias("distance"))
 
 
-@query("h9_dahl", f"with {LOCS_SQL}, {H8_SQL}, b as (select partition_id, arg_min(iter,(round(distance,7),iter)) as iter from dist group by partition_id) select s.partition_id, s.loc_id, s.cluster from samples s join b on s.partition_id=b.partition_id and s.iter=b.iter")
+# pairs that are together in two samples, from the sizes of their clusters' overlaps
+DAHL_SQL = f"""{SAMPLES_SQL}, ov as (select a.partition_id, a.iter, b.iter as other, count(*) as n from samples a join samples b on a.partition_id=b.partition_id and a.loc_id=b.loc_id group by a.partition_id, a.iter, b.iter, a.cluster, b.cluster),
+tg as (select partition_id, iter, other, sum(n*(n-1)/2) as m from ov group by all), ba as (select partition_id, sum(m)/144e0 as base from tg group by partition_id),
+dist as (select partition_id, iter, any_value(base) + max(case when iter=other then m end) - 2*sum(m)/12e0 as distance from tg join ba using (partition_id) group by partition_id, iter)"""
+
+
+@query("h9_dahl", f"with {LOCS_SQL}, {DAHL_SQL}, b as (select partition_id, arg_min(iter,(round(distance,7),iter)) as iter from dist group by partition_id) select s.partition_id, s.loc_id, s.cluster from samples s join b on s.partition_id=b.partition_id and s.iter=b.iter")
 def h9(spark, d):
     return H.dahl(fx.samples(spark, d), psm(spark, d)).select("partition_id", "loc_id", "cluster")
 

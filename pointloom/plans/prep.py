@@ -96,8 +96,8 @@ def _archive(spark, d):
     path = T.shared_path(spark, "archive")
     s = fx.samples(spark, d)
     hyper = s.groupBy("iter").agg(F.lit(5.0).alias("mu"), F.lit(2.0).alias("shape"), F.lit(1.0).alias("rho"))
-    for half in (s.filter("iter <= 6"), s.filter("iter > 6")):
-        T.archive_samples(half, hyper.join(half.select("iter").distinct(), "iter"), path, "flat")
+    for sync, half in enumerate((s.filter("iter <= 6"), s.filter("iter > 6"))):
+        T.archive_samples(half, hyper.join(half.select("iter").distinct(), "iter"), path, "flat", sync)
     return path
 
 

@@ -292,17 +292,26 @@ def m5(spark, d):
 
 
 #: Fixed values: |z| at which a two-sided p is 0.05, 0.05 / 2 and 0.05 / 3; the trace has three different k.
-@query("m6_k_marginal_test", f"""{TR}, gv as (select k as value, count(*)/(select count(*) from trace) as prob from trace group by k), hits as (select partition_id, chain_id, iter, value, prob, (k=value)::int::double as hit from trace, gv),
+_M6 = f"""{TR}, gv as (select k as value, count(*)/(select count(*) from trace) as prob from trace group by k), hits as (select partition_id, chain_id, iter, value, prob, (k=value)::int::double as hit from trace, gv),
  {_ess_sql("ie", "hits", "partition_id, chain_id, value", "hit")}, vr as (select partition_id, chain_id, value, min(hit)<>max(hit) as varies, count(*)::double as n from hits group by all),
  et as (select partition_id, value, sum(case when varies then ess else n end) as ess from ie join vr using (partition_id, chain_id, value) group by all), fr as (select partition_id, value, avg(hit) as freq, any_value(prob) as prob from hits group by all),
  zz as (select *, case when ess>=30 and ess*least(prob,1-prob)>=5 then (freq-prob)/sqrt(prob*(1-prob)/ess) end as z from fr join et using (partition_id, value)), mm as (select *, count(z) over (partition by partition_id) as m from zz)
- select partition_id, value as k, round(freq,9) as freq, round(ess,6) as ess, round(z,6) as z, case when z is null then 'inconclusive' when abs(z)>case m when 1 then 1.9599639845 when 2 then 2.2414027276 else 2.3939797998 end then 'fail' else 'pass' end as verdict from mm""")
+ select partition_id, value as k, round(freq,9) as freq, round(ess,6) as ess, round(z,6) as z, case when z is null then 'inconclusive' when abs(z)>case m when 1 then 1.9599639845 when 2 then 2.2414027276 else 2.3939797998 end then 'fail' else 'pass' end as verdict from mm"""
+
+
+@query("m6_k_marginal_test", _M6)
 def m6(spark, d):
     t = fx.trace(spark, d)
     given = t.groupBy("k").agg(F.count("*").alias("c")).crossJoin(t.agg(F.count("*").alias("t"))).select("k", (F.col("c") / F.col("t")).alias("prob"))
     return V.k_marginal_test(t, given).select("partition_id", L("k"), r("freq").alias("freq"), r("ess", 6).alias("ess"), r("z", 6).alias("z"), "verdict")
 
 
+@query("m6_k_marginal_verdict", f"""select partition_id, count(z) as n_tested, count(*) filter (verdict='inconclusive') as n_inconclusive, count(*) filter (verdict='fail') as n_rejected,
+ case when count(z)=0 then 'inconclusive' when count(*) filter (verdict='fail')>0 then 'fail' else 'pass' end as verdict from ({_M6}) group by partition_id""")
+def m6_verdict(spark, d):
+    return V.k_marginal_verdict(m6(spark, d))
+
+
 @query("m7_conditional_tv", f"""{TR}, e as (select partition_id, k, (iter%3)::varchar as l, count(*)/40e0 as p from trace where chain_id=0 group by all), f as (select partition_id, k, (iter%3)::varchar as l, count(*)/40e0 as p from trace where chain_id=1 group by all),
  j as (select coalesce(e.partition_id,f.partition_id) as partition_id, coalesce(e.k,f.k) as k, coalesce(e.p,0) as pe, coalesce(f.p,0) as pf from e full join f on e.partition_id=f.partition_id and e.k=f.k and e.l=f.l),
  t as (select partition_id, k, sum(pe) as te, sum(pf) as tf from j group by all) select partition_id, k, round(0.5e0*sum(abs(pe/te - case when tf>0 then pf/tf else 0 end)),8) as tv from j join t using (partition_id, k) where te>=0.05 group by all""")

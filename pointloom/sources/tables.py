@@ -88,15 +88,20 @@ def write_summary(metrics: DataFrame, path: str) -> None:
     summary_lines(metrics).orderBy("i").select("value").write.text(path)
 
 
-def archive_samples(samples: DataFrame, hyper: DataFrame, path: str, spatial_model: str) -> None:
-    """Append samples by partition, and the shared parameters with the spatial model they were drawn under."""
-    samples.repartition("partition_id").write.partitionBy("partition_id").mode("append").parquet(f"{path}/samples")
-    hyper.withColumn("spatial_model", F.lit(spatial_model)).write.mode("append").parquet(f"{path}/hyper")
+def archive_samples(samples: DataFrame, hyper: DataFrame, path: str, spatial_model: str, sync: int) -> None:
+    """Add samples and the shared parameters, with the spatial model they were drawn under.
+
+    A write replaces what the archive has of ``sync`` (for samples: of the partitions that it has rows for), so a job
+    that is run again leaves one copy of its samples.
+    """
+    put = lambda df, by, to: df.withColumn("sync", F.lit(sync)).write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{to}")
+    put(samples.repartition("partition_id"), ["partition_id", "sync"], "samples")
+    put(hyper.withColumn("spatial_model", F.lit(spatial_model)), ["sync"], "hyper")
 
 
 def read_archive(spark: SparkSession, path: str, partition_id: int | None = None) -> DataFrame:
     """Samples of all partitions, or of one: then only its files are read."""
-    df = spark.read.parquet(f"{path}/samples")
+    df = spark.read.parquet(f"{path}/samples").drop("sync")
     return df if partition_id is None else df.filter(F.col("partition_id") == partition_id)
 
 

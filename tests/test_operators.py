@@ -254,6 +254,36 @@ def test_ranks_without_one_sort(spark):
         assert {r["n"] for r in out if r["g"] == g} == {300}
 
 
+def test_a_sync_written_twice_is_there_once(spark, tmp_path):
+    path = f"{tmp_path}/archive"
+    drawn = spark.createDataFrame([(p, 0, i, k, k % 2) for p in (0, 1) for i in (1, 2, 3) for k in range(4)], "partition_id long, chain_id int, iter int, loc_id long, cluster long")
+    hyper = spark.createDataFrame([(i, 5.0) for i in (1, 2, 3)], "iter int, mu double")
+    for sync in (1, 2, 2, 3, 1):
+        tables.archive_samples(drawn.filter(F.col("iter") == sync), hyper.filter(F.col("iter") == sync), path, "flat", sync)
+    key = lambda df: sorted((r["partition_id"], r["iter"], r["loc_id"], r["cluster"]) for r in df.collect())
+    assert key(tables.read_archive(spark, path)) == key(drawn)
+    assert key(tables.read_archive(spark, path, 1)) == key(drawn.filter("partition_id = 1"))
+    assert spark.read.parquet(f"{path}/hyper").count() == 3
+
+
+def test_boundary_pairs_merge(spark, monkeypatch):
+    cols = "emitter_id long, partition_id long, x double, y double, sigma_x double, sigma_y double, sigma_xy double, n long, near_boundary boolean"
+    em = spark.createDataFrame([(9, 0, 0.0, 0.0, 0.01, 0.01, 2e-5, 5, True), (4, 1, 0.012, 0.0, 0.01, 0.01, 0.0, 7, True), (5, 1, 0.03, 0.0, 0.01, 0.01, 0.0, 1, True), (6, 2, 0.5, 0.0, 0.01, 0.01, 0.0, 1, True), (7, 3, 0.505, 0.0, 0.01, 0.01, 0.0, 2, False)], cols)
+    plans, write = [], consensus.settle
+    monkeypatch.setattr(consensus, "settle", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if name == "merged" else None, write(df, name))[1])
+    got = {r["emitter_id"]: r for r in consensus.dedup_boundary(em, 0.02).collect()}
+    assert set(got) == {9, 5, 6, 7} and plans and not any("NestedLoop" in x for x in plans)
+    a, b = 1 / (1e-8 - 4e-10 + 1e-10), 1 / (1e-8 + 1e-10)
+    assert abs(got[9]["x"] - b * 0.012 / (a + b)) < 1e-12 and abs(got[9]["sigma_xy"] - a * 2e-5 / (a + b)) < 1e-15
+    assert abs(got[9]["sigma_x"] - (1 / (2e4 + 1e-10)) ** 0.5) < 1e-12 and got[9]["n"] == 12 and got[5]["n"] == 1
+
+
+def test_marginal_verdict(spark):
+    rows_ = [(0, 1.0, "pass"), (0, None, "inconclusive"), (1, 9.0, "fail"), (1, 1.0, "pass"), (2, None, "inconclusive")]
+    got = evaluation.k_marginal_verdict(spark.createDataFrame(rows_, "partition_id long, z double, verdict string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 0, "pass"), (1, 2, 0, 1, "fail"), (2, 0, 1, 0, "inconclusive")]
+
+
 def test_target_terms(spark):
     """Three clusters against sums written out by hand."""
     pts = spark.createDataFrame([(0, c, 0.01 * c + 0.001 * i, 0.0, 0.005, 0.005, 0.0) for c, n in ((1, 2), (2, 3), (3, 1)) for i in range(n)], "g int, cluster int, x double, y double, sigma_x double, sigma_y double, sigma_xy double")
