@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,15 +228,71 @@ def vi_distance(table: DataFrame, by: list[str]) -> DataFrame:
     return v.select(*by, ((F.col("a") + F.col("b") - 2.0 * F.col("j")) / F.col("t")).alias("vi"))
 
 
-def vi_select(samples: DataFrame, thin: int = 1) -> DataFrame:
-    """The visited sample with the least mean variation of information to all (thinned) samples; the first of equal ones."""
+def _vi_sums(own: list[tuple], others: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Each own sample's variation of information, summed over the other samples that share rows with it, and their
+    number; samples are (rows, labels), sorted by row.
+
+    All others over the same rows are counted together: one sort of (other, own label, other's label) per own sample.
+    """
+    out, count = np.zeros(len(own)), np.zeros(len(own), np.int64)
+    alike: dict[bytes, list[np.ndarray]] = {}
+    for rows, labels in others:
+        alike.setdefault(rows.tobytes(), []).append(labels)
+    for i, (rows, labels) in enumerate(own):
+        for key, group in alike.items():
+            theirs = np.frombuffer(key, rows.dtype)
+            at, to = (slice(None), slice(None)) if key == rows.tobytes() else np.intersect1d(rows, theirs, True, True)[1:]
+            a = np.unique(labels[at], return_inverse=True)[1]
+            b = np.stack([np.unique(g[to], return_inverse=True)[1] for g in group])
+            if not len(a):
+                continue
+            ka, kb = a.max() + 1, b.max() + 1
+            both, n = np.unique(((np.arange(len(b))[:, None] * ka + a) * kb + b).ravel(), return_counts=True)
+            side, m = np.unique((np.arange(len(b))[:, None] * kb + b).ravel(), return_counts=True)
+            na = np.bincount(a)
+            own_sum = len(b) * float((na * np.log(na)).sum())
+            out[i] += (own_sum + float((m * np.log(m)).sum()) - 2.0 * float((n * np.log(n)).sum())) / len(a)
+            count[i] += len(b)
+    return out, count
+
+
+def vi_select(samples: DataFrame, thin: int = 1, block: int = 64) -> DataFrame:
+    """The visited sample with the least mean variation of information to all (thinned) samples; the first of equal ones.
+
+    A sample is one vector of labels in the order of its rows, as long as its partition's ``max_size`` allows. Vectors
+    meet in blocks of ``block`` of them, so no table has a row for each pair of samples or for their common rows; two
+    samples are compared on the rows that both have; a sample's mean is over those it has any in common with, itself
+    included.
+    """
     s = samples.filter(F.col("iter") % thin == 0) if thin > 1 else samples
-    a = s.select("partition_id", F.struct("chain_id", "iter").alias("sa"), "loc_id", F.col("cluster").alias("ref"))
-    b = s.select("partition_id", F.struct("chain_id", "iter").alias("sb"), "loc_id", "cluster")
-    table = a.join(b, ["partition_id", "loc_id"]).groupBy("partition_id", "sa", "sb", "ref", "cluster").agg(F.count("*").alias("n"))
-    mean = vi_distance(table, ["partition_id", "sa", "sb"]).groupBy("partition_id", "sa").agg(F.avg("vi").alias("vi"))
-    best = mean.groupBy("partition_id").agg(F.min_by(F.struct("sa", "vi"), F.struct(F.round("vi", 9), F.col("sa"))).alias("b"))
-    return best.select("partition_id", "b.sa.chain_id", "b.sa.iter", "b.vi")
+    rows = F.sort_array(F.collect_list(F.struct(F.col("loc_id").cast("long").alias("r"), F.col("cluster").cast("long").alias("c"))))
+    vectors = s.filter("loc_id is not null and cluster is not null").groupBy(*SAMPLE).agg(rows.alias("v"))
+    order = F.row_number().over(Window.partitionBy("partition_id").orderBy("chain_id", "iter"))
+    number = vectors.select(*SAMPLE).withColumn("b", F.floor((order - 1) / block))  # of keys alone
+    vectors = settle(vectors.join(number, SAMPLE).select("partition_id", "b", F.struct("chain_id", "iter", F.col("v.r").alias("rows"), F.col("v.c").alias("labels")).alias("s")), "vectors")
+    blocks = settle(vectors.groupBy("partition_id", "b").agg(F.sort_array(F.collect_list("s")).alias("s")), "blocks")
+    both = blocks.select("partition_id", F.col("s").alias("own")).join(blocks.select("partition_id", F.col("s").alias("others")), "partition_id")
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in SAMPLE], "vi double", "n long"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = lambda c: [[(np.array(v["rows"], np.int64), np.array(v["labels"], np.int64)) for v in s] for s in c]
+        for t in batches:
+            own, others = t.column("own").to_pylist(), t.column("others").to_pylist()
+            for part, a, x, y in zip(t.column("partition_id").to_pylist(), own, unpack(own), unpack(others), strict=True):
+                sums, count = _vi_sums(x, y)
+                yield pa.RecordBatch.from_pydict({
+                    "partition_id": pa.array([part] * len(a), t.schema.field("partition_id").type),
+                    "chain_id": pa.array([v["chain_id"] for v in a], own_type(t, "chain_id")), "iter": pa.array([v["iter"] for v in a], own_type(t, "iter")),
+                    "vi": pa.array(sums), "n": pa.array(count),
+                })
+
+    def own_type(t: pa.RecordBatch, name: str) -> pa.DataType:
+        return t.schema.field("own").type.value_type.field(name).type
+
+    sums = both.mapInArrow(compare, schema).groupBy(*SAMPLE).agg((F.sum("vi") / F.sum("n")).alias("vi"))
+    best = sums.groupBy("partition_id").agg(F.min_by(F.struct("chain_id", "iter", "vi"), F.struct(F.round("vi", 9), "chain_id", "iter")).alias("b"))
+    return best.select("partition_id", "b.chain_id", "b.iter", "b.vi")
 
 
 def global_labels(labels: DataFrame, members: DataFrame) -> DataFrame:

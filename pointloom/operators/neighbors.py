@@ -7,6 +7,9 @@ radius of its own, cells come in levels of half the width each, so few wide rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ _AROUND = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1))
 #: Finest level of cells: 2**20 times narrower than the widest row's.
 _LEVELS = 20
 
+#: Pairs of one group that one task matches.
+MATCHED = 1_000_000
+
 
 def distance(ax, ay, bx, by) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
@@ -166,9 +172,34 @@ def halo(members: DataFrame, overlap: float) -> DataFrame:
     return other.withColumn("is_overlap", F.lit(False)).unionByName(extra.withColumn("is_overlap", F.lit(True)))
 
 
-def mutual_best(pairs: DataFrame, a: list[str], b: list[str], order: list[Column], by: list[str]) -> DataFrame:
-    """One-to-one matches: pairs that are each other's best, over and over until none is left."""
-    left, out = settle(pairs, "match"), None
+def _greedy(pairs: DataFrame, a: list[str], b: list[str], order: list[Column], by: list[str]) -> DataFrame:
+    """One-to-one matches of groups that each fit a task: pairs in order, each kept if both its sides are free yet.
+
+    A task reads its sorted groups as a stream and holds one group's taken rows.
+    """
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken_a, taken_b = None, set(), set()
+        for t in batches:
+            keys = [list(zip(*[t.column(c).to_pylist() for c in cols], strict=True)) for cols in (by, a, b)]
+            keep = []
+            for g, x, y in zip(*keys, strict=True):
+                if g != group:
+                    group, taken_a, taken_b = g, set(), set()
+                free = x not in taken_a and y not in taken_b
+                if free:
+                    taken_a.add(x)
+                    taken_b.add(y)
+                keep.append(free)
+            yield t.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.repartition(*by).sortWithinPartitions(*by, *order, *a, *b).mapInArrow(match, pairs.schema)
+
+
+def _in_rounds(pairs: DataFrame, a: list[str], b: list[str], order: list[Column], by: list[str]) -> DataFrame:
+    """The same matches of groups of any size: pairs that are each other's best, over and over until none is left."""
+    left, out = pairs, None
+    order = [*order, *map(F.col, a), *map(F.col, b)]
     while True:
         wa, wb = Window.partitionBy(*by, *a).orderBy(*order), Window.partitionBy(*by, *b).orderBy(*order)
         best = left.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb)).filter("_ra = 1 and _rb = 1").drop("_ra", "_rb")
@@ -180,6 +211,31 @@ def mutual_best(pairs: DataFrame, a: list[str], b: list[str], order: list[Column
         left = settle(left, "match")
 
 
+def mutual_best(pairs: DataFrame, a: list[str], b: list[str], order: list[Column], by: list[str]) -> DataFrame:
+    """One-to-one matches inside each group: the best pair, then the best of what it leaves, and so on; ties by a, b.
+
+    Without ``by`` the groups are the components of the pairs, so a chain of any length takes the same few jobs.
+    Groups of up to ``MATCHED`` pairs are matched in a task each, larger ones in rounds over all of them. Names and
+    ``by`` aren't null.
+    """
+    from .graph import connect
+
+    keys = by
+    pairs = settle(pairs, "match")
+    if not by:
+        ends = pairs.select(F.xxhash64(F.lit(0), *a).alias("a"), F.xxhash64(F.lit(1), *b).alias("b"))  # equal hashes only join groups
+        named = connect(ends)  # all but the smallest node of each
+        named = pairs.withColumn("node", F.xxhash64(F.lit(0), *a)).join(named, "node", "left").withColumn("_group", F.coalesce("component", "node"))
+        pairs = settle(named.drop("node", "component"), "match")
+        keys = ["_group"]
+    large = settle(pairs.groupBy(*keys).count().filter(F.col("count") > MATCHED).select(*keys), "large")
+    if not large.take(1):
+        return settle(_greedy(pairs, a, b, order, keys), "match").drop("_group")
+    small = settle(_greedy(pairs.join(large, keys, "left_anti").select(*pairs.columns), a, b, order, keys), "match")
+    wide = _in_rounds(settle(pairs.join(large, keys, "left_semi").select(*pairs.columns), "match"), a, b, order, keys)
+    return small.unionByName(wide).drop("_group")
+
+
 def match_positions(estimates: DataFrame, truth: DataFrame, threshold: float = 0.020) -> DataFrame:
     """emitter_id, true_id, d: the nearest truth of each estimate, claimed by its closest estimate, within a threshold."""
     n = nearest(estimates, truth, "emitter_id", "true_id").filter(F.col("d") <= threshold)

@@ -320,12 +320,12 @@ def h12(spark, d):
     return v.select("partition_id", L("iter"), F.abs(r("vi", 8)).alias("vi"))
 
 
-@query("h13_vi_select", f"""{SM}, ct as (select a.partition_id, a.iter, b.iter as other, a.cluster as ref, b.cluster, count(*) as n from samples a join samples b using (partition_id, loc_id) where a.iter%3=0 and b.iter%3=0 group by all),
+@query("h13_vi_select", f"""{SM}, ct as (select a.partition_id, a.iter, b.iter as other, a.cluster as ref, b.cluster, count(*) as n from samples a join samples b using (partition_id, loc_id) group by all),
  ja as (select partition_id, iter, other, sum(n)::double as t, sum(n*ln(n)) as j from ct group by all), aa as (select partition_id, iter, other, sum(m*ln(m)) as a from (select partition_id, iter, other, ref, sum(n)::double as m from ct group by all) group by all), bb as (select partition_id, iter, other, sum(m*ln(m)) as b from (select partition_id, iter, other, cluster, sum(n)::double as m from ct group by all) group by all),
  v as (select partition_id, iter, avg((a+b-2*j)/t) as vi from ja join aa using (partition_id, iter, other) join bb using (partition_id, iter, other) group by all)
  select partition_id, arg_min(iter, (round(vi,9), iter)) as iter, round(min(vi),8) as vi from v group by partition_id""")
 def h13(spark, d):
-    return H.vi_select(fx.samples(spark, d), 3).select("partition_id", L("iter"), r("vi", 8).alias("vi"))
+    return H.vi_select(fx.samples(spark, d)).select("partition_id", L("iter"), r("vi", 8).alias("vi"))
 
 
 @query("h14_global_labels", f"with {PIECES_SQL}, nm as (select distinct partition_id, track_id from mem join locs using (loc_id)), nl as (select *, row_number() over (order by partition_id, track_id) as label from nm) select loc_id, label from mem join locs using (loc_id) join nl using (partition_id, track_id)")

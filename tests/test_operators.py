@@ -68,6 +68,48 @@ def test_mutual_best_takes_rounds(spark):
     assert got == {(1, 1), (2, 2)}
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 50])
+def test_chains_are_matched_by_component(spark, monkeypatch, bound):
+    """A chain of 1,000 whose best pair is at one end, a tangle with ties, and a repeated pair; larger groups in rounds."""
+    monkeypatch.setattr(neighbors, "MATCHED", bound)
+    rng = random.Random(9)
+    length = 1000 if bound > 1000 else 60
+    data = [(i // 2, (i + 1) // 2, 1.0 + i) for i in range(length)] + [(10_000 + rng.randrange(9), 10_000 + rng.randrange(9), float(rng.randrange(4))) for _ in range(30)] + [(7_777, 7_777, 1.0)] * 2
+    want, left, right = set(), set(), set()
+    for a, b, _ in sorted(data, key=lambda p: (p[2], p[0], p[1])):
+        if a not in left and b not in right:
+            want.add((a, b))
+            left.add(a)
+            right.add(b)
+    pairs = spark.createDataFrame(data, "a long, b long, d double")
+    got = [(r["a"], r["b"]) for r in neighbors.mutual_best(pairs, ["a"], ["b"], [F.col("d")], []).collect()]
+    assert set(got) == want and (bound < 1000 or len(got) == len(want))
+    grouped = pairs.withColumn("g", F.lit(3))
+    assert {(r["a"], r["b"]) for r in neighbors.mutual_best(grouped, ["a"], ["b"], [F.col("d")], ["g"]).collect()} == want
+    assert neighbors.mutual_best(pairs.limit(0), ["a"], ["b"], [F.col("d")], []).columns == ["a", "b", "d"]
+
+
+def test_sample_choice_is_the_plain_one(spark):
+    """Least mean variation of information over all samples, by blocks of three; a row is missing in some samples."""
+    rng = random.Random(3)
+    data = [(p, c, t, i, (i // 3 if rng.random() < 0.7 else rng.randrange(4))) for p in (1, 2) for c in (0, 1) for t in range(1, 5) for i in range(12) if not (t == 2 and i == 5)]
+    label = {}
+    for p, c, t, i, k in data:
+        label.setdefault(p, {}).setdefault((c, t), {})[i] = k
+
+    def vi(x, y):
+        both = [(x[i], y[i]) for i in x if i in y]
+        h = lambda v: sum(v.count(k) * math.log(v.count(k)) for k in set(v))
+        return (h([a for a, _ in both]) + h([b for _, b in both]) - 2 * h(both)) / len(both)
+
+    table = spark.createDataFrame(data, "partition_id long, chain_id int, iter int, loc_id long, cluster int")
+    for r in consensus.vi_select(table, block=3).collect():
+        mean = {s: sum(vi(x, y) for y in label[r["partition_id"]].values()) / 8 for s, x in label[r["partition_id"]].items()}
+        best = min(mean, key=lambda s: (round(mean[s], 9), s))
+        assert (r["chain_id"], r["iter"]) == best and abs(r["vi"] - mean[best]) < 1e-9
+    assert consensus.vi_select(table).count() == 2 and consensus.vi_select(table.limit(0)).count() == 0
+
+
 def test_raster_mass(spark):
     c = spark.createDataFrame([(0.013, 0.021, 1e-4, r * 1e-4, 1e-4) for r in (0.0, 0.05, -0.6, 0.9)], "x double, y double, v_xx double, v_xy double, v_yy double")
     total = samples.posterior_raster(c, 0.004).agg(F.sum("mass").alias("m")).first()["m"]
