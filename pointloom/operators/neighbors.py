@@ -23,6 +23,14 @@ _AROUND = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1))
 #: Finest level of cells: 2**20 times narrower than the widest row's.
 _LEVELS = 20
 
+#: Levels of the nearest join's quadtree, of a quarter of the width each: its finest cells are 2**30 times narrower than the box.
+_DEPTH = 30
+_TREE = tuple(range(0, _DEPTH + 1, 2))
+
+#: Going down ends early once the rows left have in all at most this many candidates for each right row, and none has
+#: more than the second number.
+_LINEAR, _WIDEST = 4, 100_000
+
 #: Pairs of one group that one task matches.
 MATCHED = 1_000_000
 
@@ -109,45 +117,88 @@ def candidate_pairs(locs: DataFrame, tau_max: float, n_sigma: float = 3.0, most:
 
 
 def nearest(left: DataFrame, right: DataFrame, lid: str, rid: str, k: int = 1, skip_self: bool = False) -> DataFrame:
-    """lid, rid, d of each left row's k nearest right rows, ties to the smaller rid.
+    """lid, rid, d of each left row's k nearest right rows, ties to the smaller rid. Rows without a position have none.
 
-    Rows look in their own cell and the eight around it; a row is done when its k-th distance is inside what it has
-    looked at, the others look in cells twice as wide in the next round. Cells hold about k rows at first, on average.
+    Right rows are counted in the cells of a quadtree. All left rows first look around in one level's cells, the widest
+    in which a right row shares its cell with few others on average, and most are done: their k-th distance is inside
+    what they have looked at. The others take cells from the tree: they start at the smallest cell of their own that
+    holds k rows, or at the root, and go down, leaving out cells that lie beyond the distance within which counts alone
+    promise k rows, until few candidates are left. So neither a far row nor a crowded spot makes others look wider.
     """
-    r = right.select(F.col(rid).alias("_r"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    box = r.agg(F.count("*").alias("n"), F.min("_x").alias("a"), F.max("_x").alias("b"), F.min("_y").alias("c"), F.max("_y").alias("d")).first()
-    schema_from = left.select(F.col(lid).alias(lid)).crossJoin(r.limit(0).select(F.col("_r").alias(rid), F.lit(0.0).alias("d")))
+    need = k + int(skip_self)
+    r = right.select(F.col(rid).alias("_r"), F.col("x").alias("_x"), F.col("y").alias("_y")).filter("_x is not null and _y is not null")
+    box = r.agg(F.count("*").alias("n"), F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")).first()
     if not box["n"]:
-        return schema_from
-    side = max(box["b"] - box["a"], box["d"] - box["c"])
-    ends = [F.abs(F.col(c) - box[e]) for c, e in (("x", "a"), ("x", "b"), ("y", "c"), ("y", "d"))]
-    far = left.agg(F.max(F.greatest(*ends)).alias("m")).first()["m"] or 0.0
-    size = max(0.0 if side else 2.5 * far, (max(box["b"] - box["a"], side * 1e-3) * max(box["d"] - box["c"], side * 1e-3) * k / box["n"]) ** 0.5, side * 1e-6, 1e-12)
-    todo = left.select(F.col(lid).alias("_l"), "x", "y")
-    done = None
-    while True:
-        cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
-        probe = _around(todo.withColumns({"_cx": cell("x"), "_cy": cell("y")}), _AROUND).drop("_s")
-        hit = probe.join(r.withColumns({"_cx": cell("_x"), "_cy": cell("_y")}), ["_cx", "_cy"])
+        return left.select(F.col(lid).alias(lid)).crossJoin(r.limit(0).select(F.col("_r").alias(rid), F.lit(0.0).alias("d")))
+    x0, y0 = box["x0"], box["y0"]
+    width = max(box["x1"] - x0, box["y1"] - y0) * (1.0 + 1e-9) or 1.0
+    cells = lambda x, y, v: {"_cx": F.floor((F.col(x) - x0) / width * F.pow(F.lit(2.0), v)), "_cy": F.floor((F.col(y) - y0) / width * F.pow(F.lit(2.0), v))}
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), _DEPTH - F.col("_v"))).alias(c)
+    leaves = r.withColumns(cells("_x", "_y", F.lit(_DEPTH))).groupBy("_cx", "_cy").agg(F.count("*").alias("c"))
+    counts = leaves.withColumn("_v", F.explode(F.array(*map(F.lit, _TREE)))).groupBy("_v", up("_cx"), up("_cy")).agg(F.sum("c").alias("c"))
+    counts = settle(counts, "counts")
+    crowd = counts.groupBy("_v").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("s")).collect()  # a row a level
+    start = min((w["_v"] for w in crowd if w["s"] <= 4.0 * (need + 1) * box["n"]), default=_DEPTH)
+
+    def closest(hit: DataFrame) -> DataFrame:
         hit = hit.withColumn("d", distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")))
         if skip_self:
             hit = hit.filter("_l != _r")
-        w = Window.partitionBy("_l").orderBy("d", "_r")
-        best = hit.select("_l", "_r", "d").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k)
-        found = settle(best, "nearest")
-        last = size > 2 * max(side, far)  # everything has been looked at
-        full = found.filter((F.col("_k") == k) & (F.col("d") <= size)).select("_l")
-        ready = found if last else found.join(full, "_l", "left_semi")
-        done = ready if done is None else done.unionByName(ready)
-        if last:
-            break
-        todo = settle(todo.join(full, "_l", "left_anti"), "nearest")
-        if not todo.take(1):
-            break
-        size *= 2
+        return hit.select("_l", "_r", "d").withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("d", "_r"))).filter(F.col("_k") <= k)
+
+    todo = left.select(F.col(lid).alias("_l"), "x", "y").filter("x is not null and y is not null")
+    probe = _around(todo.withColumns(cells("x", "y", F.lit(start))), _AROUND).drop("_s")
+    found = settle(closest(probe.join(r.withColumns(cells("_x", "_y", F.lit(start))), ["_cx", "_cy"])), "nearest")
+    full = found.filter((F.col("_k") == k) & (F.col("d") <= width / 2.0**start)).select("_l")
+    todo = settle(todo.join(full, "_l", "left_anti"), "nearest")
+    done = found.join(full, "_l", "left_semi")
+    if todo.take(1):
+        wanted = _candidate_cells(todo, counts, cells, start, need, (x0, y0, width), _LINEAR * box["n"])
+        used = wanted.agg(F.collect_set("_v").alias("_used"))  # at most a number for each level
+        keyed = r.crossJoin(F.broadcast(used)).withColumn("_v", F.explode("_used")).withColumns(cells("_x", "_y", F.col("_v")))
+        done = done.unionByName(settle(closest(wanted.join(keyed, ["_v", "_cx", "_cy"])), "nearest"))
     return done.select(F.col("_l").alias(lid), F.col("_r").alias(rid), "d")
 
 
+def _candidate_cells(todo: DataFrame, counts: DataFrame, cells, start: int, need: int, box: tuple[float, float, float], light: int) -> DataFrame:
+    """_l, x, y, _v, _cx, _cy: cells of the tree that hold all ``need`` nearest rows of each row to do, and few others.
+
+    A step opens cells a quarter as wide; a row stops where its cells hold at most ``few`` rows, and all do where they
+    hold at most ``light`` together.
+    """
+    x0, y0, width = box
+    few = 1000 + 64 * need
+    above = F.array(*[F.lit(v) for v in _TREE if v <= start])
+    own = todo.withColumn("_v", F.explode(above)).withColumns(cells("x", "y", F.col("_v")))
+    level = own.join(counts.filter(F.col("c") >= need), ["_v", "_cx", "_cy"]).groupBy("_l").agg(F.max("_v").alias("_v"))
+    two = [(a, b) for a in range(-2, 3) for b in range(-2, 3)]  # as far as the diagonal of the own cell
+    near = _around(todo.join(level, "_l").withColumns(cells("x", "y", F.col("_v"))), two).drop("_s")
+    root = todo.join(level.select("_l"), "_l", "left_anti").withColumns({"_v": F.lit(0), "_cx": F.lit(0).cast("long"), "_cy": F.lit(0).cast("long")})
+    open_, out = near.unionByName(root.select(near.columns)), None
+    by_row = Window.partitionBy("_l")
+    while True:
+        size = F.lit(width) / F.pow(F.lit(2.0), F.col("_v"))
+        gap = lambda p, c, low: F.abs(F.col(p) - low - (F.col(c) + 0.5) * size)  # noqa: B023, E731
+        inside = lambda g: F.greatest(g - size / 2, F.lit(0.0))  # noqa: B023, E731
+        gx, gy, slack = gap("x", "_cx", x0), gap("y", "_cy", y0), 1e-9
+        at = open_.join(counts, ["_v", "_cx", "_cy"]).withColumns({"_lo": F.hypot(inside(gx), inside(gy)), "_hi": F.hypot(gx + size / 2, gy + size / 2)})
+        at = at.withColumn("_sum", F.sum("c").over(by_row.orderBy("_hi").rowsBetween(Window.unboundedPreceding, 0)))
+        at = at.withColumn("_far", F.min(F.when(F.col("_sum") >= need, F.col("_hi"))).over(by_row))
+        at = at.filter(F.col("_far").isNull() | (F.col("_lo") <= F.col("_far") * (1.0 + slack) + width * slack))
+        at = at.withColumn("_all", F.sum("c").over(by_row)).withColumn("_open", (F.col("_all") > few) & (F.col("_v") < _DEPTH))
+        cols = ["_l", "x", "y", "_v", "_cx", "_cy"]
+        at = settle(at.select(*cols, "_open", "_all", "c"), "frontier")
+        left = at.filter("_open").agg(F.sum("c").alias("c"), F.max("_all").alias("most")).first()
+        end = left["c"] is None or (left["c"] <= light and left["most"] <= _WIDEST)
+        closed = (at if end else at.filter("not _open")).select(*cols)
+        out = closed if out is None else out.unionByName(closed)
+        if end:
+            return out
+        open_ = at.filter("_open").select(*cols)
+        parts = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a in range(4) for b in range(4)])
+        open_ = open_.withColumn("_s", F.explode(parts)).select("_l", "x", "y", (F.col("_v") + 2).alias("_v"), (F.col("_cx") * 4 + F.col("_s.a")).alias("_cx"), (F.col("_cy") * 4 + F.col("_s.b")).alias("_cy"))
+
+
 def knn_edges(locs: DataFrame, k: int = 15) -> DataFrame:
     """Undirected edges i < j of every row to its k nearest, each once."""
     b = nearest(locs, locs.withColumnRenamed("loc_id", "other"), "loc_id", "other", k, skip_self=True)

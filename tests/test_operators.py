@@ -363,6 +363,24 @@ def test_nearest_matches_brute_force(spark):
     assert neighbors.nearest(rows(spark, a), one, "loc_id", "rid", 2).count() == len(a)
 
 
+@pytest.mark.parametrize("linear", [0, 4])
+def test_nearest_on_crowded_and_far_rows(spark, monkeypatch, linear):
+    """Two crowded spots, repeated rows and rows far off on either side: as brute force; a row without a position has none."""
+    monkeypatch.setattr(neighbors, "_LINEAR", linear)
+    rng = random.Random(6)
+    spots = [(0.0, 0.0), (1e5, 3.0)]
+    crowd = lambda n: [(x + rng.gauss(0, 0.001), y + rng.gauss(0, 0.001)) for x, y in spots for _ in range(n)]
+    a, b = [*crowd(20), (-1e7, 5.0), (5e4, 1e4), (3e4, 0.0)], [*crowd(1500), *[(2.0, 2.0)] * 30, (9e8, -9e8)]
+    right = rows(spark, b).withColumnRenamed("loc_id", "rid")
+    for k in (1, 4) if linear == 0 else (3,):
+        got = sorted((r["loc_id"], r["rid"]) for r in neighbors.nearest(rows(spark, a), right, "loc_id", "rid", k).collect())
+        far = lambda p, j: math.sqrt((p[0] - b[j][0]) ** 2 + (p[1] - b[j][1]) ** 2)
+        assert got == sorted((i, j) for i, p in enumerate(a) for j in sorted(range(len(b)), key=lambda j: (far(p, j), j))[:k])
+    lost = rows(spark, [(1, 1)]).withColumn("x", F.lit(None).cast("double"))
+    assert neighbors.nearest(lost, right, "loc_id", "rid").count() == 0
+    assert neighbors.nearest(rows(spark, a), lost.withColumnRenamed("loc_id", "rid"), "loc_id", "rid").count() == 0
+
+
 def test_pieces_along_the_curve(spark):
     rng = random.Random(5)
     pts = [(0, i, rng.choice((0.1, rng.random())), rng.choice((0.1, rng.random()))) for i in range(130)] + [(1, 200 + i, 0.0, float(i)) for i in range(20)]
