@@ -155,14 +155,22 @@ def indicator_ess(trace: DataFrame, by: list[str], reach: int = 2) -> DataFrame:
     return ess(t, [*by, "value"], "hit")
 
 
-def mixing_report(trace: DataFrame) -> DataFrame:
+def mixing_report(trace: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     """partition_id, chain_id (null for all chains), statistic, value: mean, variance and effective sizes of K and of
-    [K = k] around the mode for each chain, and the split R-hat of a partition's chains."""
+    [K = k] around the mode for each chain, and the split R-hat of a partition's chains.
+
+    With ``moves`` (partition_id, chain_id, move, accepted, total) also each chain's acceptance of each move, summed
+    over its rows; 0 where it was never tried. Rows without a move are left out.
+    """
     s = trace.groupBy(*CHAIN).agg(F.avg("k").alias("mean"), F.var_samp("k").alias("variance"))
     rows = [s.select(*CHAIN, F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in ("mean", "variance")]
     rows.append(ess(trace, CHAIN, "k").select(*CHAIN, F.lit("ess").alias("statistic"), F.col("ess").alias("value")))
     rows.append(indicator_ess(trace, CHAIN).select(*CHAIN, F.concat(F.lit("ess of k = "), F.col("value").cast("string")).alias("statistic"), F.col("ess").alias("value")))
     rows.append(split_rhat(trace, ["partition_id"], "k").select("partition_id", F.lit(None).cast("int").alias("chain_id"), F.lit("rhat").alias("statistic"), F.col("rhat").alias("value")))
+    if moves is not None:
+        sums = moves.filter("move is not null").groupBy(*CHAIN, "move").agg(F.sum("accepted").alias("accepted"), F.sum("total").alias("total"))
+        rate = F.when(F.col("total") > 0, F.coalesce(F.col("accepted"), F.lit(0)) / F.col("total")).otherwise(0.0)
+        rows.append(sums.select(*CHAIN, F.concat(F.lit("acceptance of "), F.col("move")).alias("statistic"), rate.alias("value")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

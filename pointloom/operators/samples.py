@@ -35,9 +35,9 @@ def core_weighted_k(samples: DataFrame, members: DataFrame) -> DataFrame:
 
 
 @aggregation
-def field_k_posterior(weighted: DataFrame) -> DataFrame:
-    """Histogram of the field's number of sources: partitions are summed by iteration, then rounded (half to even)."""
-    f = weighted.groupBy("iter").agg(F.sum("k").alias("k"))
+def field_k_posterior(weighted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Histogram of the field's number of sources: partitions are summed by iteration (or ``by``), then rounded (half to even)."""
+    f = weighted.groupBy(*(by or ["iter"])).agg(F.sum("k").alias("k"))
     return f.select(F.rint(F.round("k", 9)).cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 

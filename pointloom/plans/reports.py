@@ -11,7 +11,7 @@ from ..operators import consensus as H
 from ..operators import evaluation as V
 from ..operators import graph as G
 from ..operators import neighbors as N
-from ..operators.grouping import GroupingConfig, component_emitters, group_localizations, merge_groups, sample_groupings
+from ..operators.grouping import GroupingConfig, component_emitters, group_field, group_localizations, merge_groups, sample_groupings
 from ..registry import query
 from .chains import L
 from .joins import WG_SQL
@@ -136,6 +136,16 @@ def j3(spark, d):
     return group_localizations(fx.locs(spark, d))
 
 
+@query("j3_field_outputs")
+def j3_outputs(spark, d):
+    f = group_field(fx.locs(spark, d))
+    named = lambda name, key, value: [F.lit(name).alias("output"), F.col(key).cast("long").alias("k"), r(value).alias("value")]
+    k = f.field_k.withColumn("n", F.col("n").cast("double")).select(*named("field k", "k", "n"))
+    c = f.counts.withColumn("n", F.col("n").cast("double")).select(*named("clusters of k rows", "k", "n"))
+    m = f.raster.groupBy("ix").agg(F.sum("mass").alias("mass")).select(*named("mass of column k", "ix", "mass"))
+    return k.unionByName(c).unionByName(m)
+
+
 MATCH_SQL = f"""{EMITTERS_SQL}, {TRUTH_SQL}, mt as (select * from (select e.emitter_id, arg_min(t.true_id, (sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y)), t.true_id)) as true_id, min(sqrt((e.x-t.x)*(e.x-t.x)+(e.y-t.y)*(e.y-t.y))) as d from em e, truth t group by all) qualify row_number() over (partition by true_id order by d, emitter_id)=1),
 ma as (select * from mt where d<=0.02e0)"""
 
@@ -286,9 +296,12 @@ def m4(spark, d):
 
 
 @query("m5_mixing_report", f"""{TR}, {_ESS}, {_NEAR_MODE}, {_RHAT} select partition_id, chain_id, 'mean' as statistic, round(avg(k),6) as value from trace group by all union all select partition_id, chain_id, 'variance', round(var_samp(k),6) from trace group by all
- union all select partition_id, chain_id, 'ess', round(ess,6) from es union all select partition_id, chain_id, 'ess of k = ' || value, round(ess,6) from ie union all select partition_id, null, 'rhat', round(rhat,6) from rt""")
+ union all select partition_id, chain_id, 'ess', round(ess,6) from es union all select partition_id, chain_id, 'ess of k = ' || value, round(ess,6) from ie union all select partition_id, null, 'rhat', round(rhat,6) from rt
+ union all select partition_id, chain_id, 'acceptance of move' || iter%3, round(sum((iter+k)%2)/count(*),6) from trace group by partition_id, chain_id, iter%3""")
 def m5(spark, d):
-    return V.mixing_report(fx.trace(spark, d)).select("partition_id", L("chain_id"), "statistic", r("value", 6).alias("value"))
+    trace = fx.trace(spark, d)
+    moves = trace.selectExpr("partition_id", "chain_id", "concat('move', iter % 3) as move", "(iter + k) % 2 as accepted", "1 as total")
+    return V.mixing_report(trace, moves).select("partition_id", L("chain_id"), "statistic", r("value", 6).alias("value"))
 
 
 #: Fixed values: |z| at which a two-sided p is 0.05, 0.05 / 2 and 0.05 / 3; the trace has three different k.

@@ -110,6 +110,29 @@ def test_sample_choice_is_the_plain_one(spark):
     assert consensus.vi_select(table).count() == 2 and consensus.vi_select(table.limit(0)).count() == 0
 
 
+def test_the_whole_job_says_how_many_and_where(spark):
+    """Three clear sources of 6, 8 and 10 rows: their number, sizes, and a mass of one around each."""
+    rng = random.Random(2)
+    centres = {(0.0, 0.0): 6, (1.0, 0.0): 8, (0.0, 1.0): 10}
+    f = grouping.group_field(rows(spark, [(x + rng.gauss(0, 0.01), y + rng.gauss(0, 0.01)) for (x, y), n in centres.items() for _ in range(n)]), GroupingConfig(mu=8.0), pixel=0.01)
+    assert f.emitters.count() == 3
+    assert [tuple(r) for r in f.field_k.collect()] == [(3, 1)]
+    assert sorted(tuple(r) for r in f.counts.collect()) == [(6, 1), (8, 1), (10, 1)]
+    mass = {}
+    for r in f.raster.collect():
+        at = (float(round(r["ix"] * 0.01)), float(round(r["iy"] * 0.01)))
+        mass[at] = mass.get(at, 0.0) + r["mass"]
+    assert set(mass) == set(centres) and all(abs(m - 1.0) < 1e-3 for m in mass.values())
+
+
+def test_acceptance_in_the_mixing_report(spark):
+    trace = spark.createDataFrame([(1, 0, t, 2 + t % 2) for t in range(1, 9)], "partition_id long, chain_id int, iter int, k int")
+    moves = spark.createDataFrame([(1, 0, "up", 1, 4), (1, 0, "up", 2, 4), (1, 0, "down", 0, 0), (1, 0, None, 1, 1)], "partition_id long, chain_id int, move string, accepted int, total int")
+    got = {r["statistic"]: r["value"] for r in evaluation.mixing_report(trace, moves).collect()}
+    assert got["acceptance of up"] == 0.375 and got["acceptance of down"] == 0.0
+    assert len([s for s in got if s.startswith("acceptance")]) == 2 and got["mean"] == 2.5
+
+
 def test_raster_mass(spark):
     c = spark.createDataFrame([(0.013, 0.021, 1e-4, r * 1e-4, 1e-4) for r in (0.0, 0.05, -0.6, 0.9)], "x double, y double, v_xx double, v_xy double, v_yy double")
     total = samples.posterior_raster(c, 0.004).agg(F.sum("mass").alias("m")).first()["m"]
