@@ -2,20 +2,21 @@
 
 A small bidirectional window network predicts every word of a text from the words on both of its sides; the sum of
 the log-probabilities scores the document. The network knows the corpus's most frequent words, counted over all
-documents; the others share buckets by hash. Its output is a softmax in two steps (class, then word in the class). A
+documents; the others share buckets by how they end. Its output is a softmax in two steps (class, then word in the class). A
 word in a bucket has the bucket's probability times its own share of the bucket, from a table of every word's count
 that is joined by hash, so each word has a probability of its own, whatever the size of the corpus.
 
-Training runs where the data is: in each round every task trains on its own documents' share in numpy, and the
-tasks' weights are averaged by the words they saw, summed as whole numbers so that their order doesn't matter. Over
-the rounds every document is trained on once. The driver holds one model, whatever the corpus. A task starts from the
-round's weights and works through its own partition, so the fitted weights depend on how the input's files are split;
-for one split they are the same on every run.
+Training starts at the corpus's word frequencies (the output biases are their logarithms, the output weights nought), so
+a fitted network adds to a table of counts what the words around tell. Documents are dealt to shards of about ``SHARD``
+words by a hash of id and text, and each shard's words are walked in an order of their own, as ids of two bytes. A task
+trains on one shard in numpy, and the shards' weights are averaged by the words they saw, summed as whole numbers so
+that their order doesn't matter. Over the rounds every document is trained on once. The driver holds one model,
+whatever the corpus. Nothing depends on how the input's files are split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._common import documents, keyed, settle
 
-CLASSES, MEMBERS, BUCKETS = 32, 32, 64
+CLASSES, MEMBERS, BUCKETS, ENDING = 32, 32, 256, 2
 VOCABULARY = CLASSES * MEMBERS
 SIDE, WIDTH, HIDDEN = 2, 16, 24
-ROUNDS, BATCH, RATE, SEED = 3, 4096, 0.1, 7
+ROUNDS, BATCH, RATE, POWER, SEED = 3, 4096, 0.05, 1e-5, 7
+STEP, BLOCK, SHARD = 1024, 1 << 16, 1 << 21  # words of a training step, of a block that is shuffled, of a shard
 PARTIALS = 8  # sums of weights that reach the driver in a round
+SPREAD = 5.0  # of words' numbers at the start of training
 SMOOTH = 0.5  # added to the count of each word of a bucket, and of one that stands for unseen words
 _SCALE, _MOST = float(1 << 20), 1024.0  # of whole numbers that stand for weights, and the largest weight
 _SHAPES = {"words": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "bias": (HIDDEN,), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
@@ -46,7 +49,7 @@ class WindowNetwork:
             rng = np.random.default_rng(SEED)
             weights = (rng.standard_normal(_SIZE) * 0.1).astype(np.float32)
         self.weights = weights.astype(np.float32)
-        self.power = np.full(_SIZE, 0.1, np.float32)  # sums of squared gradients
+        self.power = np.full(_SIZE, POWER, np.float32)  # sums of squared gradients
         self.part, self.speed, at = {}, {}, 0
         for name, shape in _SHAPES.items():
             n = int(np.prod(shape))
@@ -122,19 +125,28 @@ class WindowNetwork:
         self._step("words", np.add.reduceat(d_x[by], first, axis=0), ids[by][first])
 
 
+def buckets(flat: W.Flat) -> np.ndarray:
+    """The bucket of each word, by its last bytes (``ENDING`` at most): words that end alike are often used alike."""
+    code = np.zeros(len(flat.word), np.uint64)
+    for k in range(1, ENDING + 1):
+        inside = flat.end - k >= flat.start
+        code = (code << W.U(8)) | np.where(inside, flat.buf[np.maximum(flat.end - k, 0)], 0).astype(np.uint64)
+    return (W.mix(code) % W.U(BUCKETS)).astype(np.int64)
+
+
 def _ids(flat: W.Flat, vocabulary: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    rare = VOCABULARY - BUCKETS + buckets(flat)
     if not len(vocabulary):
-        return ((flat.word % W.U(BUCKETS)) + W.U(VOCABULARY - BUCKETS)).astype(np.int64)
+        return rare
     at = np.minimum(np.searchsorted(vocabulary, flat.word), len(vocabulary) - 1)
-    rare = VOCABULARY - BUCKETS + (flat.word % W.U(BUCKETS)).astype(np.int64)
     return np.where(vocabulary[at] == flat.word, ids[at], rare)
 
 
-def _windows(flat: W.Flat, ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Words around each of the words lo to hi; VOCABULARY stands for none."""
-    at = np.arange(lo, hi)
-    begin, end = flat.first[flat.doc[lo:hi]], flat.first[flat.doc[lo:hi] + 1]
-    out = np.empty((hi - lo, 2 * SIDE), np.int64)
+def _around(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words around each of the words ``at``, of documents that begin at ``first``; VOCABULARY stands for none."""
+    doc = np.searchsorted(first, at, "right")
+    begin, end = first[doc - 1], first[doc]
+    out = np.empty((len(at), 2 * SIDE), np.int64)
     for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         other = at + step
         inside = (other >= begin) & (other < end)
@@ -142,28 +154,56 @@ def _windows(flat: W.Flat, ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return out
 
 
+def _windows(flat: W.Flat, ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    return _around(ids, flat.first, np.arange(lo, hi))
+
+
+def train_shard(net: WindowNetwork, documents: Iterable[np.ndarray]) -> int:
+    """Train on documents (ids of their words) in blocks of whole documents, whose words are shuffled; the words seen."""
+    rng, held, size, seen = np.random.default_rng(SEED), [], 0, 0
+
+    def block() -> None:
+        ids, first = np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held)])
+        order = rng.permutation(len(ids))
+        for lo in range(0, len(ids), STEP):
+            at = order[lo : lo + STEP]
+            net.train(_around(ids, first, at), ids[at])
+
+    for d in documents:
+        held.append(d)
+        size += len(d)
+        if size >= BLOCK:
+            block()
+            held, size, seen = [], 0, seen + size
+    if size:
+        block()
+    return seen + size
+
+
 def _flats(col: pa.Array) -> Iterator[tuple[int, int, W.Flat]]:
     for lo, hi, buf, at in W.slices(col):
         yield lo, hi, W.flatten(W.lower(buf), at)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """h, n: how often each word (by hash, A-Z lowered) is in all texts."""
+    """h, bucket, n: how often each word (by hash, A-Z lowered) is in all texts, and its bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, flat in _flats(b.column("t")):
-                h, n = np.unique(flat.word, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+                h, at, n = np.unique(flat.word, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(buckets(flat)[at].astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "bucket", "n"])
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(count, "h long, bucket int, n long").groupBy("h").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
 
 
 class Words(NamedTuple):
     hashes: np.ndarray  # sorted, of the words that have ids of their own
     ids: np.ndarray
     log_totals: np.ndarray  # of each bucket: log of its words' smoothed counts
-    counts: DataFrame  # h, n of every word
+    counts: DataFrame  # h, bucket, n of every word
+    totals: np.ndarray  # of each id: smoothed count of its words
+    n: int  # words in all texts
 
 
 def vocabulary(counts: DataFrame) -> Words:
@@ -172,38 +212,58 @@ def vocabulary(counts: DataFrame) -> Words:
     h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
     total, distinct = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in counts.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         total[r["bucket"]], distinct[r["bucket"]] = r["n"], r["words"]
-    own = (h % W.U(BUCKETS)).astype(np.int64)
+    own = np.array([r["bucket"] for r in rows], np.int64)
     np.subtract.at(total, own, np.array([r["n"] for r in rows], np.int64))
     np.subtract.at(distinct, own, 1)
-    return Words(h[order], order.astype(np.int64), np.log(total + SMOOTH * (distinct + 1)), counts)
+    known = np.array([r["n"] for r in rows] + [0] * (VOCABULARY - BUCKETS - len(rows)))
+    totals = np.concatenate([known + SMOOTH, total + SMOOTH * (distinct + 1)])
+    return Words(h[order], order.astype(np.int64), np.log(totals[VOCABULARY - BUCKETS :]), counts, totals, int(known.sum() + total.sum()))
+
+
+def start(words: Words) -> np.ndarray:
+    """Weights of a network that gives every word its frequency, whatever is around it."""
+    net = WindowNetwork()
+    by_class = words.totals.reshape(CLASSES, MEMBERS)
+    net.part["words"][:] *= SPREAD
+    net.part["inner"][:] *= 10 / np.sqrt(2 * SIDE * WIDTH)
+    net.part["classes"][:] = net.part["members"][:] = 0
+    net.part["class_bias"][:] = np.log(by_class.sum(axis=1) / by_class.sum())
+    net.part["member_bias"][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
+    return net.weights
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Words]:
     """Weights trained on every document once, and the words.
 
     Null and empty texts teach nothing; repeated rows are trained on each; words with equal counts are taken by hash;
-    very long texts are worked on whole; an empty table gives the weights at the start and no words.
+    very long texts are worked on whole; other columns are ignored; an empty table gives the weights at the start and
+    no words. Rows that repeat both id and text are of one shard.
     """
     sc = docs.sparkSession.sparkContext
     words = vocabulary(settle(word_counts(docs, text_col), "words"))
     known = sc.broadcast((words.hashes, words.ids))
-    rows = keyed(docs, id_col, text_col)
-    weights = WindowNetwork().weights
+    schema = "key long, ids binary"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, flat in _flats(b.column("_text")):
+                ids = _ids(flat, *known.value).astype(np.int16)
+                col = pa.Array.from_buffers(pa.binary(), flat.n, [None, pa.py_buffer((2 * flat.first).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, hi - lo), col], names=["key", "ids"]).filter(pa.array(flat.count() > 0))
+
+    shards = max(1, -(-words.n // (rounds * SHARD)))
+    place = F.pmod("key", F.lit(shards * rounds))
+    coded = keyed(docs, id_col, text_col).select(F.xxhash64("_id", "_th").alias("key"), "_text").mapInArrow(encode, schema)
+    coded = settle(coded.withColumns({"round": (place / shards).cast("int"), "shard": (place % shards).cast("int")}), "coded")
+    weights = start(words)
     for r in range(rounds):
-        start = sc.broadcast(weights)
+        begin = sc.broadcast(weights)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            net, seen = WindowNetwork(start.value.copy()), 0
-            rng = np.random.default_rng(SEED)
-            for b in batches:
-                for _, _, flat in _flats(b.column("_text")):
-                    ids = _ids(flat, *known.value)
-                    for lo in (rng.permutation(-(-len(ids) // BATCH)) * BATCH).tolist():
-                        hi = min(len(ids), lo + BATCH)
-                        net.train(_windows(flat, ids, lo, hi), ids[lo:hi])
-                    seen += len(ids)
+            net = WindowNetwork(begin.value.copy())
+            seen = train_shard(net, (np.frombuffer(x.as_buffer(), np.int16) for b in batches for x in b.column("ids")))
             if seen:
                 whole = np.rint(np.clip(net.weights.astype(float), -_MOST, _MOST) * _SCALE).astype(np.int64)
                 # times the words seen, in two parts that stay exact in sums of a million tasks
@@ -218,8 +278,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "blob"])
 
-        share = rows.filter(F.pmod(F.xxhash64("_id", "_th"), F.lit(rounds)) == r).select("_text")
-        sums = share.mapInArrow(train, "seen long, blob binary")
+        share = coded.filter(F.col("round") == r).repartitionById(shards, F.col("shard")).sortWithinPartitions("key", "ids")
+        sums = share.select("ids").mapInArrow(train, "seen long, blob binary")
         # added up in two steps: first in as many tasks as the number of sums asks for
         for deal in ([F.xxhash64("blob")], [PARTIALS, F.xxhash64("blob")]):
             sums = sums.repartition(*deal).mapInArrow(add, "seen long, blob binary")
@@ -272,7 +332,7 @@ def score(docs: DataFrame, weights: np.ndarray, words: Words, id_col: str = "doc
                 row += flat.n
 
     rows = settle(keyed(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, schema), "scored")
-    known_counts = words.counts.hint("shuffle_hash")
+    known_counts = words.counts.select("h", "n").hint("shuffle_hash")
     shares = rows.select("row", F.inline("rare")).join(known_counts, "h", "left").groupBy("row").agg(F.sum(F.col("c") * F.ln(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("share"))
     total = F.col("net") + F.coalesce("share", F.lit(0.0))
     return rows.drop("rare").join(shares, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))

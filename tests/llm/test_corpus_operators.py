@@ -241,6 +241,39 @@ def test_network_by_plain_loops():
         assert abs(got[t] - want) < 1e-4
 
 
+def test_training_step_by_differences():
+    """One step moves each weight by its gradient (by differences of the plain loss), scaled by what it has seen."""
+    m, rng = lm_scoring, np.random.default_rng(1)
+    net = m.WindowNetwork()
+    ids = np.array([3, 40, 3, 1000, 7, 512, 40, 3])
+    context = m._around(ids, np.array([0, 5, 5, 8]), np.arange(8))
+    assert context[4].tolist() == [3, 1000, m.VOCABULARY, m.VOCABULARY] and context[5].tolist() == [m.VOCABULARY] * 2 + [40, 3]
+    before = {k: v.astype(float) for k, v in net.part.items()}
+
+    def loss(p):
+        total = 0.0
+        for around, word in zip(context.tolist(), ids.tolist(), strict=True):
+            h = np.tanh(np.concatenate([p["words"][w] for w in around]) @ p["inner"] + p["bias"])
+            c, w = divmod(word, m.MEMBERS)
+            outer, inner = h @ p["classes"] + p["class_bias"], h @ p["members"][c] + p["member_bias"][c]
+            total -= outer[c] - np.log(np.exp(outer).sum()) + inner[w] - np.log(np.exp(inner).sum())
+        return total / len(ids)
+
+    net.train(context, ids)
+    for name, part in before.items():
+        flat, after = part.reshape(-1), net.part[name].reshape(-1)
+        picks = rng.choice(len(flat), 12).tolist() + np.argsort(-np.abs(after - flat))[:12].tolist()
+        for i in picks:
+            old, got = flat[i], after[i] - flat[i]
+            flat[i] = old + 1e-5
+            up = loss(before)
+            flat[i] = old - 1e-5
+            g = (up - loss(before)) / 2e-5
+            flat[i] = old
+            want = -m.RATE * g / np.sqrt(m.POWER + g * g)
+            assert abs(got - want) < 2e-4 + 0.02 * abs(want), (name, i)
+
+
 def test_likeness_is_near_jaccard(spark):
     rng = random.Random(3)
     w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
@@ -416,15 +449,33 @@ def test_lm_scoring_learns(docs, empty, spark):
     assert lm_scoring.score(empty, *lm_scoring.fit(empty)).count() == 0
 
 
+def test_lm_scoring_beats_counts_on_held_out_texts_whatever_the_files(spark):
+    """A network at its start is the table of word frequencies; the fitted one is better where it hasn't learned."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen, held = docs.filter("doc_id % 5 != 0"), docs.filter("doc_id % 5 = 0")
+    weights, words = lm_scoring.fit(seen)
+    other, _ = lm_scoring.fit(seen.repartition(7, "text"))
+    assert np.array_equal(weights, other)
+    total = lambda w: lm_scoring.score(held, w, words).agg(F.sum("log_likelihood"), F.sum("n_words")).first()
+    (plain, n), (better, _) = total(lm_scoring.start(words)), total(weights)
+    counts = {r["h"]: r["n"] for r in words.counts.collect()}
+    buf, at = (lambda t: (np.frombuffer("".join(t).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in t)])))([r["text"] or "" for r in held.collect()])
+    h = lm_scoring.W.flatten(lm_scoring.W.lower(buf.copy()), at).word.view(np.int64).tolist()
+    table = sum(np.log((counts.get(x, 0) + 0.5) / (words.n + 0.5 * (len(counts) + 1))) for x in h)
+    assert len(h) == n and abs(plain - table) < 0.01 * abs(table)
+    assert better > plain + 0.7 * n
+
+
 def test_lm_scoring_of_words_in_buckets(spark):
-    own, rare = [f"own{i}" for i in range(960)], [f"rare{i}" for i in range(300)]
+    own, rare = [f"own{i}" for i in range(lm_scoring.VOCABULARY - lm_scoring.BUCKETS)], [f"rare{i}" for i in range(300)]
     texts = [" ".join(own)] * 9 + [" ".join(w for i, w in enumerate(rare) if i % 5 <= k) for k in range(5)]
     texts += [f"{w} {w} {w}" for w in rare[:3]] + ["never seen"]
     corpus, scored = ([(i, t) for i, t in enumerate(x)] for x in (texts[:-1], texts))
     weights, words = lm_scoring.fit(spark.createDataFrame(corpus, "doc_id long, text string"))
     net = lm_scoring.WindowNetwork(weights)
     flat = lambda t: lm_scoring.W.flatten(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
-    bucket = lambda w: int(flat(w).word[0] % np.uint64(lm_scoring.BUCKETS))
+    ending = lambda w: int.from_bytes(w.encode()[-2:], "little")
+    bucket = lambda w: int(lm_scoring.W.mix(np.array([ending(w)], np.uint64))[0] % np.uint64(lm_scoring.BUCKETS))
     seen = Counter(w for _, t in corpus for w in t.split() if w.startswith("rare"))
     a, total, distinct = lm_scoring.SMOOTH, Counter(), Counter()
     for w, n in seen.items():
