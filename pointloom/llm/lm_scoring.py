@@ -32,7 +32,7 @@ CLASSES, MEMBERS, BUCKETS, ENDING = 32, 32, 256, 2
 VOCABULARY = CLASSES * MEMBERS
 SIDE, WIDTH, HIDDEN = 2, 16, 24
 ROUNDS, BATCH, RATE, POWER, SEED = 3, 4096, 0.05, 1e-5, 7
-STEP, BLOCK, SHARD = 1024, 1 << 16, 1 << 21  # words of a training step, of a block that is shuffled, of a shard
+STEP, BLOCK, SHARD = 2048, 1 << 16, 1 << 21  # words of a training step, of a block that is shuffled, of a shard
 PARTIALS = 8  # sums of weights that reach the driver in a round
 SPREAD = 5.0  # of words' numbers at the start of training
 SMOOTH = 0.5  # added to the count of each word of a bucket, and of one that stands for unseen words
@@ -91,7 +91,7 @@ class WindowNetwork:
     def _step(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
         speed = self.speed[name][rows]
         speed += gradient * gradient
-        if not isinstance(rows, (slice, int)):
+        if not isinstance(rows, slice):
             self.speed[name][rows] = speed
         self.part[name][rows] -= RATE * gradient / np.sqrt(speed)
 
@@ -106,15 +106,18 @@ class WindowNetwork:
         d_outer[at, target // MEMBERS] -= 1.0 / n
         d_inner[at, target % MEMBERS] -= 1.0 / n
         d_h = d_outer @ p["classes"].T
+        d_members, d_bias = np.zeros_like(p["members"]), np.zeros_like(p["member_bias"])
         for c in range(CLASSES):
             lo, hi = bounds[c], bounds[c + 1]
             if lo < hi:
                 d = d_inner[lo:hi]
                 d_h[lo:hi] += d @ p["members"][c].T
-                self._step("members", h[lo:hi].T @ d, c)
-                self._step("member_bias", _ONES[: hi - lo] @ d if hi - lo <= len(_ONES) else d.sum(axis=0), c)
+                np.matmul(h[lo:hi].T, d, out=d_members[c])
+                d_bias[c] = _ONES[: hi - lo] @ d if hi - lo <= len(_ONES) else d.sum(axis=0)
         d_h *= 1 - h * h
         d_x = (d_h @ p["inner"].T).reshape(-1, WIDTH)
+        self._step("members", d_members)
+        self._step("member_bias", d_bias)
         self._step("classes", h.T @ d_outer)
         self._step("class_bias", d_outer.sum(axis=0))
         self._step("inner", x.T @ d_h)
@@ -164,10 +167,10 @@ def train_shard(net: WindowNetwork, documents: Iterable[np.ndarray]) -> int:
 
     def block() -> None:
         ids, first = np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held)])
-        order = rng.permutation(len(ids))
+        around, order = _around(ids, first, np.arange(len(ids))), rng.permutation(len(ids))
         for lo in range(0, len(ids), STEP):
             at = order[lo : lo + STEP]
-            net.train(_around(ids, first, at), ids[at])
+            net.train(around[at], ids[at])
 
     for d in documents:
         held.append(d)
@@ -320,8 +323,8 @@ def score(docs: DataFrame, weights: np.ndarray, words: Words, id_col: str = "doc
             for lo, hi, flat in _flats(b.column("_text")):
                 ids = _ids(flat, *known.value)
                 logs = np.zeros(len(ids))
-                for s in range(0, len(ids), 4 * BATCH):
-                    e = min(len(ids), s + 4 * BATCH)
+                for s in range(0, len(ids), 2 * BATCH):
+                    e = min(len(ids), s + 2 * BATCH)
                     logs[s:e] = net.log_probabilities(_windows(flat, ids, s, e), ids[s:e])
                 at = np.flatnonzero(ids >= VOCABULARY - BUCKETS)
                 logs[at] -= log_totals[ids[at] - (VOCABULARY - BUCKETS)]
