@@ -438,6 +438,33 @@ def test_pieces_and_counts(docs, empty):
     assert piece_codec.encode(empty, path).count() == token_counts.token_counts(empty, path).count() == 0
 
 
+def test_votes_by_plain_loops(spark):
+    """Scores of a table, from the fitted space by the formula."""
+    q, d = quality_classifier, "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = q.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    assert len(model.labels) > q.NEIGHBOURS
+    got = {r["doc_id"]: r["score"] for r in q.score(docs, model).collect()}
+    idf, axes, vectors = (x.astype(float) for x in (model.idf, model.axes, model.vectors))
+    checked = 0
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        counts = q.term_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].astype(float)
+        if not counts.sum():
+            assert abs(got[r["doc_id"]] - model.labels.mean()) < 1e-6
+            continue
+        x = np.sqrt(counts / counts.sum()) * idf
+        x = (x / np.sqrt((x * x).sum())) @ axes
+        x /= np.sqrt((x * x).sum())
+        near = sorted(((float(x @ v), float(y)) for v, y in zip(vectors, model.labels, strict=True)), reverse=True)
+        if near[q.NEIGHBOURS - 1][0] - near[q.NEIGHBOURS][0] < 1e-5:
+            continue  # equally near at the end of the list: any may vote
+        votes = [(max(c, 0) ** q.POWER, y) for c, y in near[: q.NEIGHBOURS]]
+        assert abs(got[r["doc_id"]] - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-4
+        checked += 1
+    assert checked > len(got) / 2
+
+
 def test_lm_scoring_learns(docs, empty, spark):
     rows = spark.createDataFrame([(i, "the cat sat on the mat and the dog lay by the door " * 20) for i in range(30)], "doc_id long, text string")
     weights, words = lm_scoring.fit(rows)
