@@ -4,7 +4,9 @@ A small bidirectional window network predicts every word of a text from the word
 the log-probabilities scores the document. The network knows the corpus's most frequent words, counted over all
 documents; the others share buckets by how they end. Its output is a softmax in two steps (class, then word in the class). A
 word in a bucket has the bucket's probability times its own share of the bucket, from a table of every word's count
-that is joined by hash, so each word has a probability of its own, whatever the size of the corpus.
+that is joined by hash, so each word has a probability of its own, whatever the size of the corpus. The counts of the
+most frequent words (a bounded number) are broadcast beside it, so that only rarer words wait for the join. Texts are
+cut into words twice, to count them and to code them; training and scoring read the codes.
 
 Training starts at the corpus's word frequencies (the output biases are their logarithms, the output weights nought), so
 a fitted network adds to a table of counts what the words around tell. Documents are dealt to shards of about ``SHARD``
@@ -21,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +36,36 @@ VOCABULARY = CLASSES * MEMBERS
 SIDE, WIDTH, HIDDEN = 2, 16, 24
 ROUNDS, BATCH, RATE, POWER, SEED = 3, 4096, 0.05, 1e-5, 7
 STEP, BLOCK, SHARD = 2048, 1 << 16, 1 << 21  # words of a training step, of a block that is shuffled, of a shard
+SLICE = 1 << 17  # bytes of text that are cut into words at once, few enough for a processor's cache
+COUNTED = 1 << 19  # words that are counted before Spark gets them
+FREQUENT = 1 << 16  # words at most whose counts are broadcast; the others' are joined
 PARTIALS = 8  # sums of weights that reach the driver in a round
 SPREAD = 5.0  # of words' numbers at the start of training
 SMOOTH = 0.5  # added to the count of each word of a bucket, and of one that stands for unseen words
 _SCALE, _MOST = float(1 << 20), 1024.0  # of whole numbers that stand for weights, and the largest weight
 _SHAPES = {"words": (VOCABULARY + 1, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "bias": (HIDDEN,), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 LARGEST = 60.0  # of a logit, so that exponentials don't overflow
-_ONES = np.ones(BATCH, np.float32)
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_WORDS = (VOCABULARY + 1) * WIDTH
+_BOUNDS = np.arange(0, VOCABULARY + 1, MEMBERS, dtype=np.int16)
+_ONES = np.ones(2, np.float32)
+_HALVES = np.repeat(np.eye(2, dtype=np.float32), [CLASSES, MEMBERS], axis=0)  # sums over classes, and over a class's words
+_BESIDE = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
+
+
+def _parts(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of a vector of all weights by ``_SHAPES``."""
+    part, at = {}, 0
+    for name, shape in _SHAPES.items():
+        n = int(np.prod(shape))
+        part[name], at = flat[at : at + n].reshape(shape), at + n
+    return part
+
+
+def _places(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word's class, and the word in its class, stand in its row of outputs."""
+    row = np.arange(0, len(target) * (CLASSES + MEMBERS), CLASSES + MEMBERS)
+    return row + target // MEMBERS, row + (CLASSES + target % MEMBERS)
 
 
 class WindowNetwork:
@@ -50,82 +75,78 @@ class WindowNetwork:
             weights = (rng.standard_normal(_SIZE) * 0.1).astype(np.float32)
         self.weights = weights.astype(np.float32)
         self.power = np.full(_SIZE, POWER, np.float32)  # sums of squared gradients
-        self.part, self.speed, at = {}, {}, 0
-        for name, shape in _SHAPES.items():
-            n = int(np.prod(shape))
-            self.part[name], self.speed[name] = self.weights[at : at + n].reshape(shape), self.power[at : at + n].reshape(shape)
-            at += n
+        self.gradient = np.zeros(_SIZE, np.float32)
+        self.part, self.slope = _parts(self.weights), _parts(self.gradient)
+        # a class's output weights: of all classes, then of its own words; biases stand below
+        self.output = np.empty((CLASSES, HIDDEN + 1, CLASSES + MEMBERS), np.float32)
 
     def forward(self, context: np.ndarray, target: np.ndarray):
-        """Of words sorted by class: inputs, hidden layer, exponentials and their sums, classes' bounds, log-probabilities."""
-        p, n = self.part, len(target)
-        x = p["words"][context].reshape(n, -1)
-        h = x @ p["inner"]
-        h += p["bias"]
-        np.tanh(h, out=h)
-        outer = h @ p["classes"]
-        outer += p["class_bias"]
-        bounds = np.searchsorted(target, np.arange(0, VOCABULARY + 1, MEMBERS))
-        inner = np.empty((n, MEMBERS), np.float32)
+        """Of words sorted by class: inputs, hidden layer, it and a one, exponentials (of classes, then of words in the class), their sums, words' places there, classes' bounds, log-probabilities."""
+        p, n, w = self.part, len(target), self.output
+        w[:, :HIDDEN, :CLASSES], w[:, HIDDEN, :CLASSES] = p["classes"], p["class_bias"]
+        w[:, :HIDDEN, CLASSES:], w[:, HIDDEN, CLASSES:] = p["members"], p["member_bias"]
+        x = p["words"].take(context, axis=0).reshape(n, -1)
+        h = np.ones((n, HIDDEN + 1), np.float32)
+        hidden = x @ p["inner"]
+        hidden += p["bias"]
+        h[:, :HIDDEN] = np.tanh(hidden, out=hidden)
+        bounds = np.searchsorted(target, _BOUNDS).tolist()
+        out = np.empty((n, CLASSES + MEMBERS), np.float32)
         for c in range(CLASSES):
             lo, hi = bounds[c], bounds[c + 1]
             if lo < hi:
-                np.matmul(h[lo:hi], p["members"][c], out=inner[lo:hi])
-                inner[lo:hi] += p["member_bias"][c]
-        np.clip(outer, -LARGEST, LARGEST, out=outer)
-        np.clip(inner, -LARGEST, LARGEST, out=inner)
-        at = np.arange(n)
-        logs = outer[at, target // MEMBERS] + inner[at, target % MEMBERS]
-        np.exp(outer, out=outer)
-        np.exp(inner, out=inner)
-        sums = outer @ _ONES[:CLASSES], inner @ _ONES[:MEMBERS]
-        logs -= np.log(sums[0] * sums[1])
-        return x, h, outer, inner, sums, bounds, logs
+                np.matmul(h[lo:hi], w[c], out=out[lo:hi])
+        np.clip(out, -LARGEST, LARGEST, out=out)
+        at = _places(target)
+        logs = out.take(at[0])
+        logs += out.take(at[1])
+        np.exp(out, out=out)
+        sums = out @ _HALVES
+        logs -= np.log(sums) @ _ONES[:2]
+        return x, hidden, h, out, sums, at, bounds, logs
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target.astype(np.int16, copy=False), kind="stable")
         out = np.empty(len(target), np.float32)
-        out[order] = self.forward(context[order], target[order])[-1]
+        out[order] = self.forward(context.take(order, axis=0), target.take(order))[-1]
         return out
 
-    def _step(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
-        speed = self.speed[name][rows]
-        speed += gradient * gradient
-        if not isinstance(rows, slice):
-            self.speed[name][rows] = speed
-        self.part[name][rows] -= RATE * gradient / np.sqrt(speed)
-
     def train(self, context: np.ndarray, target: np.ndarray) -> None:
-        order = np.argsort(target, kind="stable")
-        context, target = context[order], target[order]
-        p, n = self.part, len(target)
-        x, h, d_outer, d_inner, sums, bounds, _ = self.forward(context, target)
-        at = np.arange(n)
-        d_outer *= (1.0 / (sums[0] * n))[:, None]
-        d_inner *= (1.0 / (sums[1] * n))[:, None]
-        d_outer[at, target // MEMBERS] -= 1.0 / n
-        d_inner[at, target % MEMBERS] -= 1.0 / n
-        d_h = d_outer @ p["classes"].T
-        d_members, d_bias = np.zeros_like(p["members"]), np.zeros_like(p["member_bias"])
+        order = np.argsort(target.astype(np.int16, copy=False), kind="stable")
+        context, target = context.take(order, axis=0), target.take(order)
+        n, g = len(target), self.slope
+        x, hidden, h, d, sums, places, bounds, _ = self.forward(context, target)
+        sums *= n
+        d.reshape(n, 2, -1)[:] *= (1 / sums)[:, :, None]
+        for at in places:
+            d.reshape(-1)[at] -= 1.0 / n
+        d_h, d_output = np.empty((n, HIDDEN), np.float32), np.zeros_like(self.output)
         for c in range(CLASSES):
             lo, hi = bounds[c], bounds[c + 1]
             if lo < hi:
-                d = d_inner[lo:hi]
-                d_h[lo:hi] += d @ p["members"][c].T
-                np.matmul(h[lo:hi].T, d, out=d_members[c])
-                d_bias[c] = _ONES[: hi - lo] @ d if hi - lo <= len(_ONES) else d.sum(axis=0)
-        d_h *= 1 - h * h
-        d_x = (d_h @ p["inner"].T).reshape(-1, WIDTH)
-        self._step("members", d_members)
-        self._step("member_bias", d_bias)
-        self._step("classes", h.T @ d_outer)
-        self._step("class_bias", d_outer.sum(axis=0))
-        self._step("inner", x.T @ d_h)
-        self._step("bias", d_h.sum(axis=0))
-        ids = context.ravel()
-        by = np.argsort(ids.astype(np.int16), kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(ids[by]) != 0]))
-        self._step("words", np.add.reduceat(d_x[by], first, axis=0), ids[by][first])
+                np.matmul(d[lo:hi], self.output[c, :HIDDEN].T, out=d_h[lo:hi])
+                np.matmul(h[lo:hi].T, d[lo:hi], out=d_output[c])
+        g["members"][:], g["member_bias"][:] = d_output[:, :HIDDEN, CLASSES:], d_output[:, HIDDEN, CLASSES:]
+        of_classes = d_output[:, :, :CLASSES].sum(axis=0)
+        g["classes"][:], g["class_bias"][:] = of_classes[:HIDDEN], of_classes[HIDDEN]
+        hidden *= hidden
+        d_h *= np.subtract(1, hidden, out=hidden)
+        np.matmul(x.T, d_h, out=g["inner"])
+        np.matmul(h[:, HIDDEN], d_h, out=g["bias"])
+        d_x = (d_h @ self.part["inner"].T).reshape(-1, WIDTH)
+        ids = context.ravel().astype(np.int16, copy=False)
+        by = np.argsort(ids, kind="stable")
+        line = ids.take(by)
+        first = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1])
+        # numbers are added up two at a time, as a complex one
+        rows, slope = line.take(first), np.add.reduceat(d_x.take(by, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+        speed = self.power[:_WORDS].reshape(-1, WIDTH)
+        now = speed.take(rows, axis=0) + slope * slope
+        speed[rows] = now
+        self.part["words"][rows] -= RATE * slope / np.sqrt(now)
+        slope, speed = self.gradient[_WORDS:], self.power[_WORDS:]  # of all weights behind the words' numbers
+        speed += slope * slope
+        self.weights[_WORDS:] -= RATE * slope / np.sqrt(speed)
 
 
 def buckets(flat: W.Flat) -> np.ndarray:
@@ -137,24 +158,38 @@ def buckets(flat: W.Flat) -> np.ndarray:
     return (W.mix(code) % W.U(BUCKETS)).astype(np.int64)
 
 
+def _find(hashes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are among sorted hashes, and where."""
+    if not len(hashes):
+        return np.zeros(len(word), bool), np.zeros(len(word), np.int64)
+    at = np.minimum(np.searchsorted(hashes, word), len(hashes) - 1)
+    return hashes.take(at) == word, at
+
+
 def _ids(flat: W.Flat, vocabulary: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    rare = VOCABULARY - BUCKETS + buckets(flat)
-    if not len(vocabulary):
-        return rare
-    at = np.minimum(np.searchsorted(vocabulary, flat.word), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == flat.word, ids[at], rare)
+    out = VOCABULARY - BUCKETS + buckets(flat)
+    found, place = _find(vocabulary, flat.word)
+    out[found] = ids[place[found]]
+    return out
+
+
+def _spaced(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of documents that begin at ``first``, with blanks (VOCABULARY) before, between and after, and each word's place."""
+    place = np.arange(len(ids))
+    place += np.repeat(np.arange(SIDE, SIDE * len(first), SIDE), np.diff(first))
+    line = np.full(len(ids) + SIDE * len(first), VOCABULARY, np.int16)
+    line[place] = ids
+    return line, place
+
+
+def _beside(line: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return line.take(place[:, None] + _BESIDE)
 
 
 def _around(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Words around each of the words ``at``, of documents that begin at ``first``; VOCABULARY stands for none."""
-    doc = np.searchsorted(first, at, "right")
-    begin, end = first[doc - 1], first[doc]
-    out = np.empty((len(at), 2 * SIDE), np.int64)
-    for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        other = at + step
-        inside = (other >= begin) & (other < end)
-        out[:, k] = np.where(inside, ids[np.clip(other, 0, len(ids) - 1)], VOCABULARY)
-    return out
+    line, place = _spaced(ids, first)
+    return _beside(line, place[at])
 
 
 def _windows(flat: W.Flat, ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -166,11 +201,11 @@ def train_shard(net: WindowNetwork, documents: Iterable[np.ndarray]) -> int:
     rng, held, size, seen = np.random.default_rng(SEED), [], 0, 0
 
     def block() -> None:
-        ids, first = np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held)])
-        around, order = _around(ids, first, np.arange(len(ids))), rng.permutation(len(ids))
+        ids, first = np.concatenate(held), np.cumsum([0, *map(len, held)])
+        order = rng.permutation(len(ids))
+        around, ids = _around(ids, first, order), ids[order]
         for lo in range(0, len(ids), STEP):
-            at = order[lo : lo + STEP]
-            net.train(around[at], ids[at])
+            net.train(around[lo : lo + STEP], ids[lo : lo + STEP])
 
     for d in documents:
         held.append(d)
@@ -184,7 +219,7 @@ def train_shard(net: WindowNetwork, documents: Iterable[np.ndarray]) -> int:
 
 
 def _flats(col: pa.Array) -> Iterator[tuple[int, int, W.Flat]]:
-    for lo, hi, buf, at in W.slices(col):
+    for lo, hi, buf, at in W.slices(col, SLICE):
         yield lo, hi, W.flatten(W.lower(buf), at)
 
 
@@ -192,10 +227,27 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """h, bucket, n: how often each word (by hash, A-Z lowered) is in all texts, and its bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            word, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(word)
+            word = word.take(order)
+            new = np.ones(len(word), bool)
+            new[1:] = word[1:] != word[:-1]
+            first = np.flatnonzero(new)
+            n = np.diff(first, append=len(word))
+            return pa.RecordBatch.from_arrays([pa.array(word.take(first).view(np.int64)), pa.array(bucket.take(order.take(first)).astype(np.int32)), pa.array(n)], names=["h", "bucket", "n"])
+
         for b in batches:
             for _, _, flat in _flats(b.column("t")):
-                h, at, n = np.unique(flat.word, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(buckets(flat)[at].astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "bucket", "n"])
+                held.append((flat.word, buckets(flat).astype(np.int16)))
+                size += len(flat.word)
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
 
     return docs.select(F.col(text_col).alias("t")).mapInArrow(count, "h long, bucket int, n long").groupBy("h").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
 
@@ -207,10 +259,12 @@ class Words(NamedTuple):
     counts: DataFrame  # h, bucket, n of every word
     totals: np.ndarray  # of each id: smoothed count of its words
     n: int  # words in all texts
+    frequent: np.ndarray  # sorted hashes of the most frequent words, FREQUENT at most
+    log_counts: np.ndarray  # log of their smoothed counts
 
 
 def vocabulary(counts: DataFrame) -> Words:
-    """The most frequent words with ids by frequency (ties go by hash), and the buckets of the others."""
+    """The most frequent words with ids by frequency (ties go by hash), the buckets of the others, and frequent words' counts."""
     rows = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS).collect()
     h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -222,7 +276,23 @@ def vocabulary(counts: DataFrame) -> Words:
     np.subtract.at(distinct, own, 1)
     known = np.array([r["n"] for r in rows] + [0] * (VOCABULARY - BUCKETS - len(rows)))
     totals = np.concatenate([known + SMOOTH, total + SMOOTH * (distinct + 1)])
-    return Words(h[order], order.astype(np.int64), np.log(totals[VOCABULARY - BUCKETS :]), counts, totals, int(known.sum() + total.sum()))
+    frequent, log_counts = _frequent(counts)
+    return Words(h[order], order.astype(np.int64), np.log(totals[VOCABULARY - BUCKETS :]), counts, totals, int(known.sum() + total.sum()), frequent, log_counts)
+
+
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and log counts of all words that are at least so frequent that there are ``FREQUENT`` of them at most."""
+    size = F.floor(F.log2("n") * 8)  # counts in steps of a tenth or less
+    least, room = None, FREQUENT
+    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    rows = [] if least is None else counts.filter(size >= least).select("h", "n").collect()
+    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], float)
+    order = np.argsort(h)
+    return h[order], np.log(n[order] + SMOOTH)
 
 
 def start(words: Words) -> np.ndarray:
@@ -237,6 +307,38 @@ def start(words: Words) -> np.ndarray:
     return net.weights
 
 
+def encode(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, key, doc_id, ids, known, rare of every text, as a table that training and scoring read in place of the texts.
+
+    ids are those of its words, two bytes each. known is what can be said at once of the shares that its words have of
+    their buckets: the logs of frequent words' counts, less those of all the buckets. rare lists its other words in
+    buckets by hash, and how often it has them; their counts are joined. key says which rows are equal.
+    """
+    tables = docs.sparkSession.sparkContext.broadcast((words.hashes, words.ids, words.log_totals, words.frequent, words.log_counts))
+    schema = "row long, key long, doc_id long, ids binary, known double, rare array<struct<h:bigint,c:bigint>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, own, log_totals, frequent, log_counts = tables.value
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for lo, hi, flat in _flats(b.column("_text")):
+                ids = _ids(flat, hashes, own).astype(np.int16)
+                at = np.flatnonzero(ids >= VOCABULARY - BUCKETS)
+                share = -log_totals.take(ids.take(at) - (VOCABULARY - BUCKETS))
+                found, place = _find(frequent, flat.word.take(at))
+                share[found] += log_counts.take(place[found])
+                # of no words at all, bincount gives whole numbers: the type is set below
+                known = np.bincount(flat.doc.take(at), weights=share, minlength=flat.n)  # each document by itself
+                bounds, h, c = _distinct(flat, at[~found])
+                rare = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"]))
+                coded = pa.Array.from_buffers(pa.binary(), flat.n, [None, pa.py_buffer((2 * flat.first).astype(np.int32)), pa.py_buffer(ids)])
+                key, doc_id = (b.column(c).slice(lo, hi - lo) for c in ("key", "_id"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + flat.n)), key, doc_id, coded, pa.array(known, pa.float64()), rare], names=["row", "key", "doc_id", "ids", "known", "rare"])
+                row += flat.n
+
+    return settle(keyed(docs, id_col, text_col).select(F.xxhash64("_id", "_th").alias("key"), "_id", "_text").mapInArrow(run, schema), "coded")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Words]:
     """Weights trained on every document once, and the words.
 
@@ -244,27 +346,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     very long texts are worked on whole; other columns are ignored; an empty table gives the weights at the start and
     no words. Rows that repeat both id and text are of one shard.
     """
-    sc = docs.sparkSession.sparkContext
     words = vocabulary(settle(word_counts(docs, text_col), "words"))
-    known = sc.broadcast((words.hashes, words.ids))
-    schema = "key long, ids binary"
+    return train(encode(docs, words, id_col, text_col), words, rounds), words
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, flat in _flats(b.column("_text")):
-                ids = _ids(flat, *known.value).astype(np.int16)
-                col = pa.Array.from_buffers(pa.binary(), flat.n, [None, pa.py_buffer((2 * flat.first).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, hi - lo), col], names=["key", "ids"]).filter(pa.array(flat.count() > 0))
 
+def train(coded: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights trained on all documents of a table that ``encode`` has made."""
+    sc = coded.sparkSession.sparkContext
     shards = max(1, -(-words.n // (rounds * SHARD)))
     place = F.pmod("key", F.lit(shards * rounds))
-    coded = keyed(docs, id_col, text_col).select(F.xxhash64("_id", "_th").alias("key"), "_text").mapInArrow(encode, schema)
-    coded = settle(coded.withColumns({"round": (place / shards).cast("int"), "shard": (place % shards).cast("int")}), "coded")
     weights = start(words)
     for r in range(rounds):
         begin = sc.broadcast(weights)
 
-        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             net = WindowNetwork(begin.value.copy())
             seen = train_shard(net, (np.frombuffer(x.as_buffer(), np.int16) for b in batches for x in b.column("ids")))
             if seen:
@@ -281,8 +376,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "blob"])
 
-        share = coded.filter(F.col("round") == r).repartitionById(shards, F.col("shard")).sortWithinPartitions("key", "ids")
-        sums = share.select("ids").mapInArrow(train, "seen long, blob binary")
+        share = coded.filter((F.floor(place / shards) == r) & (F.octet_length("ids") > 0)).select("key", "ids")
+        share = share.repartitionById(shards, (place % shards).cast("int")).sortWithinPartitions("key", "ids")
+        sums = share.select("ids").mapInArrow(run, "seen long, blob binary")
         # added up in two steps: first in as many tasks as the number of sums asks for
         for deal in ([F.xxhash64("blob")], [PARTIALS, F.xxhash64("blob")]):
             sums = sums.repartition(*deal).mapInArrow(add, "seen long, blob binary")
@@ -291,7 +387,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
         if seen:
             high, low = sum(np.frombuffer(x["blob"], np.int64) for x in sums).reshape(2, _SIZE).astype(float)
             weights = ((high * (1 << 20) + low) / (seen * _SCALE)).astype(np.float32)
-    return weights, words
+    return weights
 
 
 def _distinct(flat: W.Flat, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,38 +405,38 @@ def score(docs: DataFrame, weights: np.ndarray, words: Words, id_col: str = "doc
 
     A null, empty or blank text has no words, a sum of 0 and a null mean. Equal texts have equal scores but for
     rounding, each row its own; other columns are ignored; an empty table gives an empty one.
-
-    One pass writes the network's sums and each row's words in buckets; these meet the words' counts in a shuffle.
     """
-    sc = docs.sparkSession.sparkContext
-    model, known = sc.broadcast(weights), sc.broadcast((words.hashes, words.ids))
-    log_totals = words.log_totals
-    schema = "row long, doc_id long, n_words long, net double, rare array<struct<h:bigint,c:bigint>>"
+    return score_coded(encode(docs, words, id_col, text_col), weights, words)
+
+
+def score_coded(coded: DataFrame, weights: np.ndarray, words: Words) -> DataFrame:
+    """The scores of a table that ``encode`` has made: the network's sums, and words' counts that meet the rows in a shuffle."""
+    model = coded.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, row = WindowNetwork(model.value), TaskContext.get().partitionId() << 40
+        net = WindowNetwork(model.value)
         for b in batches:
-            for lo, hi, flat in _flats(b.column("_text")):
-                ids = _ids(flat, *known.value)
+            for lo, hi, buf, at in W.slices(b.column("ids"), 2 * BLOCK):
+                ids, first = buf.view(np.int16), at // 2
+                line, place = _spaced(ids, first)
                 logs = np.zeros(len(ids))
                 for s in range(0, len(ids), 2 * BATCH):
                     e = min(len(ids), s + 2 * BATCH)
-                    logs[s:e] = net.log_probabilities(_windows(flat, ids, s, e), ids[s:e])
-                at = np.flatnonzero(ids >= VOCABULARY - BUCKETS)
-                logs[at] -= log_totals[ids[at] - (VOCABULARY - BUCKETS)]
-                sums = np.bincount(flat.doc, weights=logs, minlength=flat.n)  # each document by itself
-                bounds, h, c = _distinct(flat, at)
-                rare = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + flat.n)), b.column("_id").slice(lo, hi - lo), pa.array(flat.count().astype(np.int64)), pa.array(sums), rare], names=["row", "doc_id", "n_words", "net", "rare"])
-                row += flat.n
-
-    rows = settle(keyed(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, schema), "scored")
-    known_counts = words.counts.select("h", "n").hint("shuffle_hash")
-    shares = rows.select("row", F.inline("rare")).join(known_counts, "h", "left").groupBy("row").agg(F.sum(F.col("c") * F.ln(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("share"))
+                    logs[s:e] = net.log_probabilities(_beside(line, place[s:e]), ids[s:e])
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))
+                sums = np.bincount(doc, weights=logs, minlength=hi - lo)  # each document by itself
+                row, doc_id, known = (b.column(c).slice(lo, hi - lo) for c in ("row", "doc_id", "known"))
+                yield pa.RecordBatch.from_arrays([row, doc_id, pa.array(np.diff(first)), pc.add(known, pa.array(sums, pa.float64()))], names=["row", "doc_id", "n_words", "net"])
+
+    rows = coded.select("row", "doc_id", "ids", "known").mapInArrow(run, "row long, doc_id long, n_words long, net double")
+    counts = words.counts.select("h", "n").hint("shuffle_hash")
+    shares = coded.select("row", F.inline("rare")).join(counts, "h", "left").groupBy("row").agg(F.sum(F.col("c") * F.ln(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("share"))
     total = F.col("net") + F.coalesce("share", F.lit(0.0))
-    return rows.drop("rare").join(shares, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
+    return rows.join(shares, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score(docs, *fit(docs))
+    words = vocabulary(settle(word_counts(docs), "words"))
+    coded = encode(docs, words)
+    return score_coded(coded, train(coded, words), words)

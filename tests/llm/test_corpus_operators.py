@@ -516,3 +516,37 @@ def test_lm_scoring_of_words_in_buckets(spark):
         want = float(net.log_probabilities(lm_scoring._windows(f, ids, 0, len(ids)), ids).astype(float).sum())
         want += sum(np.log((seen[w] + a) / (total[bucket(w)] + a * (distinct[bucket(w)] + 1))) for w in t.split() if not w.startswith("own"))
         assert abs(got[i]["log_likelihood"] - want) < 1e-3 * max(1, abs(want)) and got[i]["n_words"] == len(t.split())
+
+
+def test_lm_scoring_of_large_outputs_and_of_texts_without_words(spark):
+    """Sums of exponentials of large outputs don't overflow, and a table of nothing but blank texts is scored."""
+    net = lm_scoring.WindowNetwork()
+    for name in ("classes", "members"):
+        net.part[name][:] = 0
+    net.part["class_bias"][:] = net.part["member_bias"][:] = lm_scoring.LARGEST
+    got = net.log_probabilities(np.full((3, 2 * lm_scoring.SIDE), lm_scoring.VOCABULARY), np.array([0, 500, 1023]))
+    assert np.abs(got + np.log(lm_scoring.VOCABULARY)).max() < 1e-3
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " \n ")], "doc_id long, text string")
+    rows = lm_scoring.score(blank, *lm_scoring.fit(blank)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["log_likelihood"], r["mean_log_likelihood"]) for r in rows) == [(i, 0, 0.0, None) for i in (1, 2, 3)]
+
+
+def test_lm_scoring_joins_only_rare_words(spark, monkeypatch):
+    """Frequent words' counts are known when texts are coded; only other words wait for the join, and scores are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    weights, words = lm_scoring.fit(docs)
+    counts = {r["h"]: r["n"] for r in words.counts.collect()}
+    scores = []
+    for most in (0, 3000, lm_scoring.FREQUENT):
+        monkeypatch.setattr(lm_scoring, "FREQUENT", most)
+        hashes, logs = lm_scoring._frequent(words.counts)
+        known = hashes.view(np.int64).tolist()
+        assert len(known) <= most and all(abs(np.exp(x) - counts[h] - lm_scoring.SMOOTH) < 1e-6 * counts[h] for h, x in zip(known, logs.tolist(), strict=True))
+        if 0 < len(known) < len(counts):
+            assert min(counts[h] for h in known) > max(n for h, n in counts.items() if h not in set(known))
+        coded = lm_scoring.encode(docs, words._replace(frequent=hashes, log_counts=logs))
+        left = {x["h"] for r in coded.select("rare").collect() for x in r["rare"]}
+        own = set(words.hashes.view(np.int64).tolist())
+        assert left == set(counts) - own - set(known)
+        scores.append({r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score_coded(coded, weights, words).collect()})
+    assert len(scores[0]) == docs.count() and all(abs(s[d] - x) < 1e-6 * max(1, abs(x)) for s in scores for d, x in scores[0].items())
