@@ -1,11 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pointloom import fixtures
-from pointloom.operators import calibration, clusters, consensus, evaluation, graph, grouping, localizations, neighbors, samples, scoring
+from pointloom.operators import calibration, clusters, consensus, evaluation, graph, grouping, localizations, neighbors, samples, scoring, together
 from pointloom.operators.clusters import cluster_stats, remove_rows
 from pointloom.operators.grouping import GroupingConfig, merge_groups, sample_groupings
 from pointloom.plans import chains, reports
@@ -454,3 +455,48 @@ def test_consensus_over_samples(spark):
     assert set(em) == {10, 11} and all(r["n"] == 3 for r in em.values())
     assert em[10]["x"] == pytest.approx(0.01 / 3) and em[11]["y"] == pytest.approx(1 + 0.01 / 3)
     assert em[10]["sigma_x"] == pytest.approx(0.01 / 3**0.5)
+
+
+@pytest.fixture(scope="module")
+def drawn(spark):
+    """Two overlapping partitions of six samples; one row is in a cluster twice, some rows or labels are missing."""
+    r = random.Random(3)
+    s = [(p, c, i, n, r.randrange(4)) for p in range(2) for c in range(2) for i in range(3) for n in range(p * 5, p * 5 + 9) if r.random() < 0.8]
+    s += [(1, 0, 1, 6, 2), (1, 0, 1, 6, 2), (1, 0, 1, None, 1), (1, 0, 9, 12, None)]
+    return spark.createDataFrame(s, "partition_id long, chain_id int, iter int, loc_id long, cluster long")
+
+
+def plain_pairs(s):
+    """p of pairs by partition, by plain loops."""
+    got, runs = {}, {}
+    for r in s:
+        runs.setdefault(r[0], set()).add(tuple(r[1:3]))
+    for a in s:
+        for b in s:
+            if a[:3] == b[:3] and None not in (a[3], a[4], b[3]) and a[4] == b[4] and a[3] < b[3]:
+                got[a[0], a[3], b[3]] = got.get((a[0], a[3], b[3]), 0) + 1
+    return {k: n / len(runs[k[0]]) for k, n in got.items()}
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_pairs_of_samples_without_a_join(drawn):
+    p = samples.psm(drawn)
+    assert {(r["partition_id"], r["i"], r["j"]): r["p"] for r in p.collect()} == plain_pairs([tuple(r) for r in drawn.collect()])
+    assert "Join" not in plan(p)  # no table has a row for each pair and sample
+
+
+@pytest.mark.parametrize("entries", [1, 20, 1 << 21])
+def test_sums_over_pairs_in_blocks(monkeypatch, entries):
+    monkeypatch.setattr(together, "ENTRIES", entries)
+    r = np.random.default_rng(2)
+    for n, width in ((9, 4), (4, 9)):
+        row, col = r.integers(0, n, 40), r.integers(0, width, 40)
+        h = np.zeros((n, width))
+        np.add.at(h, (row, col), 1)
+        g, up = h @ h.T, np.triu(np.ones((n, n)), 1)
+        whole, pairs, inside = together.Together(np.arange(n), row, col, width).sums()
+        assert whole == (g * g * up).sum()
+        assert pairs.tolist() == [(np.outer(c, c) * up).sum() for c in h.T] and inside.tolist() == [(np.outer(c, c) * g * up).sum() for c in h.T]
