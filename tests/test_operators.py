@@ -500,3 +500,10 @@ def test_sums_over_pairs_in_blocks(monkeypatch, entries):
         whole, pairs, inside = together.Together(np.arange(n), row, col, width).sums()
         assert whole == (g * g * up).sum()
         assert pairs.tolist() == [(np.outer(c, c) * up).sum() for c in h.T] and inside.tolist() == [(np.outer(c, c) * g * up).sum() for c in h.T]
+
+
+def test_association_distance_without_pairs(drawn):
+    key = lambda df: {tuple(r)[:3]: r["distance"] for r in df.collect()}
+    d = consensus.association_distance(drawn)
+    assert key(d) == pytest.approx(key(consensus.association_distance(drawn, samples.psm(drawn))), abs=1e-9) and len(key(d)) == 13
+    assert "Join" not in plan(d)
