@@ -507,3 +507,12 @@ def test_association_distance_without_pairs(drawn):
     d = consensus.association_distance(drawn)
     assert key(d) == pytest.approx(key(consensus.association_distance(drawn, samples.psm(drawn))), abs=1e-9) and len(key(d)) == 13
     assert "Join" not in plan(d)
+
+
+@pytest.mark.parametrize("query", [chains.h9])
+def test_consensus_queries_store_no_pairs(spark, many_pairs, monkeypatch, query):
+    stored = []
+    for m in (chains.N, chains.H):
+        monkeypatch.setattr(m, "settle", lambda df, name: stored.append(df.columns) or tables.settle(df, name))
+    assert query(spark, many_pairs).count()
+    assert not any({"i", "j"} <= set(c) for c in stored)
