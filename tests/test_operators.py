@@ -509,10 +509,17 @@ def test_association_distance_without_pairs(drawn):
     assert "Join" not in plan(d)
 
 
-@pytest.mark.parametrize("query", [chains.h9])
+@pytest.mark.parametrize("query", [chains.h9, chains.h10])
 def test_consensus_queries_store_no_pairs(spark, many_pairs, monkeypatch, query):
     stored = []
     for m in (chains.N, chains.H):
         monkeypatch.setattr(m, "settle", lambda df, name: stored.append(df.columns) or tables.settle(df, name))
     assert query(spark, many_pairs).count()
     assert not any({"i", "j"} <= set(c) for c in stored)
+
+
+def test_stability_without_pairs(drawn):
+    labels = drawn.filter("chain_id = 0 and iter = 0 and loc_id < 13").unionByName(drawn.limit(1).selectExpr("cast(7 as long) as partition_id", "chain_id", "iter", "loc_id", "cluster"))
+    key = lambda df: {(r["partition_id"], r["cluster"]): (r["n"], pytest.approx(r["stability"], abs=1e-12)) for r in df.collect()}
+    got = key(consensus.cluster_stability(labels, samples=drawn))
+    assert got == {k: (n, s.expected) for k, (n, s) in key(consensus.cluster_stability(labels, samples.psm(drawn))).items()} and len(got) > 4
