@@ -509,7 +509,7 @@ def test_association_distance_without_pairs(drawn):
     assert "Join" not in plan(d)
 
 
-@pytest.mark.parametrize("query", [chains.h9, chains.h10])
+@pytest.mark.parametrize("query", [chains.h6, chains.h7, chains.h9, chains.h10, chains.h11])
 def test_consensus_queries_store_no_pairs(spark, many_pairs, monkeypatch, query):
     stored = []
     for m in (chains.N, chains.H):
@@ -523,3 +523,17 @@ def test_stability_without_pairs(drawn):
     key = lambda df: {(r["partition_id"], r["cluster"]): (r["n"], pytest.approx(r["stability"], abs=1e-12)) for r in df.collect()}
     got = key(consensus.cluster_stability(labels, samples=drawn))
     assert got == {k: (n, s.expected) for k, (n, s) in key(consensus.cluster_stability(labels, samples.psm(drawn))).items()} and len(got) > 4
+
+
+def test_components_of_a_partition_are_its_own(spark):
+    """Rows 1 and 2 are together only in partition 1: in partition 0 they stay apart."""
+    s = [(p, 0, i, n, c) for i in (1, 2) for p, n, c in ((0, 1, 1), (0, 2, 2), (0, 3, 1), (1, 1, 5), (1, 2, 5))]
+    smp = spark.createDataFrame(s, "partition_id long, chain_id long, iter long, loc_id long, cluster long")
+    members = smp.select("partition_id", "loc_id").distinct().unionByName(spark.createDataFrame([(1, 9)], "partition_id long, loc_id long"))
+    assert {r["partition_id"]: r["k"] for r in consensus.psm_components(smp, members).collect()} == {0: 2, 1: 2}
+
+
+def test_rows_are_not_broadcast(spark, many_pairs):
+    s, locs = fixtures.samples(spark, many_pairs), fixtures.locs(spark, many_pairs)
+    for df in (consensus.sample_emitters(s, locs), consensus.contingency(s, s.filter("iter = 1"))):
+        assert "Broadcast" not in plan(df)
