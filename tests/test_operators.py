@@ -537,3 +537,24 @@ def test_rows_are_not_broadcast(spark, many_pairs):
     s, locs = fixtures.samples(spark, many_pairs), fixtures.locs(spark, many_pairs)
     for df in (consensus.sample_emitters(s, locs), consensus.contingency(s, s.filter("iter = 1"))):
         assert "Broadcast" not in plan(df)
+
+
+@pytest.mark.parametrize("cov", [0.0, 4e-5])
+def test_local_means_on_a_grid(spark, cov):
+    """Grid and look-up against plain loops, and no table of cells and rows."""
+    r = random.Random(4)
+    pts = [(g, r.random() / 10, r.random() / 10, 0.01 + r.random() / 200, 0.01, cov) for g in (1, 2) for _ in range(5)]
+    df = spark.createDataFrame(pts, "g long, x double, y double, sigma_x double, sigma_y double, sigma_xy double")
+    grid = scoring.locmix_grid(df, ["g"])
+    assert "Join" not in plan(grid) and "BroadcastExchange" not in plan(grid)
+    got = {(c["g"], c["ix"], c["iy"]): c for c in grid.collect()}
+    for (g, ix, iy), c in got.items():
+        each = []
+        for _, x, y, a, b, k in (p for p in pts if p[0] == g):
+            dx, dy, det = c["x0"] + ix * c["h"] - x, c["y0"] + iy * c["h"] - y, a * a * b * b - k * k
+            each.append(math.exp(-0.5 * (b * b * dx * dx - 2 * k * dx * dy + a * a * dy * dy) / det) / (2 * math.pi * det**0.5))
+        if (s := sum(each)) > 1e-250:
+            assert c["logg"] == pytest.approx(math.log(s / 5), abs=1e-9)
+    asked = spark.createDataFrame([(1, 7, 0.03, 0.04), (1, 8, -9.0, 0.05), (2, 7, 0.5, 0.01), (3, 7, 0.0, 0.0)], "g long, k long, x double, y double")
+    key = lambda d: {(v["g"], v["k"]): v["logg"] for v in d.collect()}
+    assert key(scoring.locmix_lookup(asked, df, ["g"], ["k"])) == pytest.approx(key(scoring.bilinear(asked, grid, ["g"], ["k"])))
