@@ -558,3 +558,14 @@ def test_local_means_on_a_grid(spark, cov):
     asked = spark.createDataFrame([(1, 7, 0.03, 0.04), (1, 8, -9.0, 0.05), (2, 7, 0.5, 0.01), (3, 7, 0.0, 0.0)], "g long, k long, x double, y double")
     key = lambda d: {(v["g"], v["k"]): v["logg"] for v in d.collect()}
     assert key(scoring.locmix_lookup(asked, df, ["g"], ["k"])) == pytest.approx(key(scoring.bilinear(asked, grid, ["g"], ["k"])))
+
+
+def test_near_rows_are_connected_by_few_links(spark):
+    r = random.Random(5)
+    pts = [(i, r.random(), r.random() / 4, 0.002 * 4 ** r.randrange(3), 0.003, 0.0) for i in range(250)] + [(300, 0.5, 0.1, 0.0, 0.0, 0.0), (301, 0.5, 0.1, None, 0.1, 0.0)]
+    pts += [(400 + i, 3 + i / 1e5, 0.0, 0.01, 0.01, 0.0) for i in range(100)]
+    df = spark.createDataFrame(pts, LOCS)
+    key = lambda d: {v["loc_id"]: v["component"] for v in d.collect()}
+    want = key(graph.components(df, neighbors.neighbor_pairs(df)))
+    assert key(graph.near_components(df)) == want and 5 < len(set(want.values())) < 200
+    assert neighbors.near_links(df).filter("a >= 400").count() == 99  # of 4950 pairs
