@@ -587,3 +587,17 @@ def test_pairs_are_counted_at_all_taus_as_they_are_found(spark, many_pairs, monk
     want = {t: neighbors.neighbor_pairs(localizations.apply_tau(locs, t)).count() for t in (0.0, 0.002, 0.005)}
     monkeypatch.setattr(joins.N, "candidate_count", lambda *a: 1 << 40)  # however many there are
     assert {v["tau"]: v["n"] for v in joins.c3(spark, many_pairs).collect()} == want
+
+
+def test_an_archive_has_as_many_folders_however_many_partitions(spark, tmp_path):
+    path = f"{tmp_path}/archive"
+    draw = lambda ids, sync: spark.createDataFrame([(p, 0, sync, p * 10 + n, n) for p in ids for n in range(2)], "partition_id long, chain_id int, iter int, loc_id long, cluster long")
+    hyper = spark.createDataFrame([(1, 1.0)], "iter int, mu double")
+    tables.archive_samples(draw(range(300), 1), hyper, path, "flat", 1)
+    tables.archive_samples(draw(range(100), 1), hyper, path, "flat", 1)  # again, some of them
+    got = tables.read_archive(spark, path)
+    assert got.count() == 600 and got.select("partition_id", "loc_id").distinct().count() == 600
+    assert len(list((tmp_path / "archive" / "samples").glob("*=*"))) <= tables.BUCKETS
+    one = tables.read_archive(spark, path, 7)
+    assert {r["loc_id"] for r in one.collect()} == {70, 71} and len(one.inputFiles()) >= 1
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
