@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,31 +113,84 @@ def throughput(runs: DataFrame) -> DataFrame:
 CHAIN = ["partition_id", "chain_id"]
 
 
+#: Values of chains that are worked on at a time.
+ENTRIES = 1 << 20
+
+
+def _chains(trace: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, c: each chain's iterations and values, in order; a chain has few rows beside the number of chains."""
+    return trace.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("iter", F.col(value).cast("double").alias("x")))).alias("c"))
+
+
+def _rho(x: np.ndarray, at: np.ndarray, known: np.ndarray, top: int) -> np.ndarray:
+    """Autocorrelations at lags 0 to top of chains of one length (chains x rows): sums over rows that are lag iterations
+    apart, which the chain's length and variance divide; ones for a chain that doesn't move."""
+    n = x.shape[1]
+    with np.errstate(all="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # a chain without values
+        d = x - np.nanmean(x, 1, keepdims=True)
+        v, still = np.nanmean(d * d, 1), np.nanmax(x, 1) == np.nanmin(x, 1)
+    d = np.where(np.isnan(d) | ~known, 0.0, d)
+    sums = np.stack([(d[:, : n - k] * d[:, k:]).sum(1) for k in range(top + 1)], 1)
+    for c in np.flatnonzero(~(known.all(1) & (at == at[:, :1] + np.arange(n)).all(1))):  # with gaps or twins
+        u, inv = np.unique(at[c][known[c]], return_inverse=True)
+        s = np.bincount(inv, d[c][known[c]], len(u))
+        for k in range(top + 1):
+            to = np.minimum(np.searchsorted(u, u + k), max(0, len(u) - 1))
+            sums[c, k] = (s * np.where(u[to] == u + k, s[to], 0.0)).sum() if len(u) else 0.0
+    with np.errstate(all="ignore"):
+        return np.where(still[:, None], 1.0, sums / (n * v)[:, None])
+
+
+def _per_chain(chains: DataFrame, by: list[str], work: Callable[[np.ndarray, int], pa.Array], most: int, share: int, kind: str) -> DataFrame:
+    """by, v: what ``work`` makes of the autocorrelations of chains of one length."""
+    schema = ", ".join([*[f"`{c}` {chains.schema[c].dataType.simpleString()}" for c in by], f"v {kind}"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.column("c")
+            size, flat = c.value_lengths().to_numpy(), c.flatten()
+            start = np.cumsum(size) - size
+            it, x = flat.field("iter"), flat.field("x").to_numpy(zero_copy_only=False)
+            known, at = pc.is_valid(it).to_numpy(zero_copy_only=False), pc.fill_null(it.cast(pa.int64()), 0).to_numpy()
+            for n in np.unique(size).tolist():
+                alike, step = np.flatnonzero(size == n), max(1, ENTRIES // n)
+                for lo in range(0, len(alike), step):
+                    own = alike[lo : lo + step]
+                    k = start[own][:, None] + np.arange(n)
+                    found = work(_rho(x[k], at[k], known[k], min(n // share, most)), n)
+                    yield pa.RecordBatch.from_arrays([*[b.column(g).take(pa.array(own)) for g in by], found], names=[*by, "v"])
+
+    return chains.select(*by, "c").mapInArrow(run, schema)
+
+
 def autocorrelation(trace: DataFrame, by: list[str], value: str, most: int = 500, share: int = 4) -> DataFrame:
-    """lag, rho for lags 0 to min(n div share, most) of each chain; all ones for a chain that doesn't move.
+    """lag, rho for lags 0 to min(n div share, most) of each chain; all ones for a chain that doesn't move."""
 
-    A self-join on iter + lag; a chain has few rows beside the number of chains.
-    """
-    s = trace.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    t = trace.join(s, by).withColumn("x", F.col(value) - F.col("m")).select(*by, "iter", "x", "n", "v")
-    lags = t.withColumn("lag", F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("n") / share), F.lit(most)).cast("int"))))
-    o = t.select(*by, (F.col("iter")).alias("_i"), F.col("x").alias("_x"))
-    j = lags.join(o, [*[lags[c] == o[c] for c in by], lags["iter"] + lags["lag"] == o["_i"]], "left").select(*[lags[c] for c in by], "lag", "x", "_x", "n", "v")
-    g = j.groupBy(*by, "lag").agg(F.sum(F.col("x") * F.coalesce("_x", F.lit(0.0))).alias("s"), F.first("n").alias("n"), F.first("v").alias("v"))
-    return g.select(*by, "lag", F.when(F.col("v") == 0, 1.0).otherwise(F.col("s") / (F.col("n") * F.col("v"))).alias("rho"))
+    def work(rho: np.ndarray, n: int) -> pa.Array:
+        return pa.array(list(rho), pa.list_(pa.float64()))
+
+    r = _per_chain(_chains(trace.dropna(subset=by), by, value), by, work, most, share, "array<double>")
+    return r.select(*by, F.posexplode("v").alias("lag", "rho"))
+
+
+def _ess(chains: DataFrame, by: list[str]) -> DataFrame:
+    def work(rho: np.ndarray, n: int) -> pa.Array:
+        if n < 4:
+            return pa.array(np.full(len(rho), float(n)))
+        m = (rho.shape[1] - 1) // 2
+        s = np.round(rho[:, 1 : 2 * m : 2] + rho[:, 2 : 2 * m + 1 : 2], 12)
+        kept = np.where(np.minimum.accumulate(s, 1) >= 0, s, 0.0).sum(1) if m else np.zeros(len(rho))
+        return pa.array(np.maximum(1.0, np.minimum(float(n), n / (1.0 + 2.0 * kept))))
+
+    return _per_chain(chains, by, work, 1 << 30, 2, "double").withColumnRenamed("v", "ess")
 
 
 def ess(trace: DataFrame, by: list[str], value: str) -> DataFrame:
     """Effective sample size n / tau, 1 to n: tau is 1 and twice the autocorrelations of lags 1 + 2, 3 + 4, ... up to
     half of n, as far as no such sum is negative. A chain that doesn't move is worth about one row; one of fewer than
     four rows, its rows."""
-    a = autocorrelation(trace, by, value, 1 << 30, 2).filter("lag > 0")
-    p = a.withColumn("pair", F.floor((F.col("lag") - 1) / 2)).groupBy(*by, "pair").agg(F.round(F.sum("rho"), 12).alias("s"), F.count("*").alias("c")).filter("c = 2")
-    w = Window.partitionBy(*by).orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
-    kept = p.withColumn("low", F.min("s").over(w)).filter("low >= 0").groupBy(*by).agg(F.sum("s").alias("s"))
-    n = trace.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
-    e = F.col("n") / (1.0 + 2.0 * F.coalesce("s", F.lit(0.0)))
-    return n.join(kept, by, "left").select(*by, F.when(F.col("n") < 4, F.col("n")).otherwise(F.greatest(F.lit(1.0), F.least(F.col("n"), e))).alias("ess"))
+    return _ess(_chains(trace, by, value), by)
 
 
 def split_rhat(trace: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -151,8 +209,9 @@ def indicator_ess(trace: DataFrame, by: list[str], reach: int = 2) -> DataFrame:
     """Effective sample size of [K = k] for k around the mode (the smallest of equal modes)."""
     mode = trace.groupBy("k").agg(F.count("*").alias("c")).agg(F.max_by("k", F.struct("c", -F.col("k"))).alias("mode"))
     ks = mode.select(F.explode(F.sequence(F.col("mode") - reach, F.col("mode") + reach)).alias("value"))
-    t = trace.crossJoin(F.broadcast(ks)).withColumn("hit", F.when(F.col("k") == F.col("value"), 1.0).otherwise(0.0))
-    return ess(t, [*by, "value"], "hit")
+    # a chain is gathered once, and its indicators are made of that
+    hit = F.transform("c", lambda c: F.struct(c["iter"].alias("iter"), F.when(c["x"] == F.col("value"), 1.0).otherwise(0.0).alias("x")))
+    return _ess(_chains(trace, by, "k").crossJoin(F.broadcast(ks)).select(*by, "value", hit.alias("c")), [*by, "value"])
 
 
 def mixing_report(trace: DataFrame, moves: DataFrame | None = None) -> DataFrame:

@@ -601,3 +601,20 @@ def test_an_archive_has_as_many_folders_however_many_partitions(spark, tmp_path)
     one = tables.read_archive(spark, path, 7)
     assert {r["loc_id"] for r in one.collect()} == {70, 71} and len(one.inputFiles()) >= 1
     assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lags_without_a_row_for_each(spark):
+    """Gaps and twins in the iterations, missing values; no join of a chain with itself."""
+    chains_ = {0: [(i, i * i % 7) for i in range(12)], 1: [(3 * i, i % 4) for i in range(9)], 2: [(0, 1), (0, 2), (1, 5), (2, None), (4, 2), (5, 1)]}
+    t = spark.createDataFrame([(c, i, k) for c, v in chains_.items() for i, k in v], "chain long, iter long, k long")
+    df = evaluation.autocorrelation(t, ["chain"], "k", 500, 2)
+    assert "Join" not in plan(df)
+    got = {(r["chain"], r["lag"]): r["rho"] for r in df.collect()}
+    for c, v in chains_.items():
+        some = [k for _, k in v if k is not None]
+        m, n = sum(some) / len(some), len(v)
+        var = sum((k - m) ** 2 for k in some) / len(some)
+        for lag in range(n // 2 + 1):
+            s = sum((a - m) * (b - m) for i, a in v for j, b in v if j == i + lag and None not in (a, b))
+            assert got.pop((c, lag)) == pytest.approx(s / (n * var))
+    assert not got
